@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from . import common, mixing, sharding
+from . import common, decontamination, mixing, sharding, token_files
+
+
+def op1_benchmark_decontamination(spark, sf_dir):
+    docs, items = common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark")
+    return decontamination.digest(decontamination.decontaminate(docs, items))
 
 
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix(common.documents(spark, sf_dir)).drop("source")
 
 
+def op5_arrow_token_files(spark, sf_dir):
+    return token_files.round_trip(common.documents(spark, sf_dir))
+
+
 def op9_hash_tree_sharding(spark, sf_dir):
     return sharding.shard(common.documents(spark, sf_dir), shards=16)
 
 
 def queries():
-    return {f.__name__: f for f in (op3_source_mixing, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_source_mixing, op5_arrow_token_files, op9_hash_tree_sharding)}
 
 
 def oracle_sql():
-    return {"op3_source_mixing": mixing.ORACLE_SQL}
+    return {"op1_benchmark_decontamination": decontamination.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL}
