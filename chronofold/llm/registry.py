@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import common, decontamination, mixing, sharding, token_files
+from pyspark.sql import functions as F
+
+from . import common, decontamination, language, mixing, sharding, token_files, toxicity
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -10,6 +12,12 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.decontaminate(docs, items))
 
 
+def op2_language_id(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    held_out = common.fold_of(F.col("doc_id"), 4) == 2
+    return language.identify(docs.select("doc_id", "text", "lang")).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix(common.documents(spark, sf_dir)).drop("source")
 
@@ -18,12 +26,16 @@ def op5_arrow_token_files(spark, sf_dir):
     return token_files.round_trip(common.documents(spark, sf_dir))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.detect(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
 def op9_hash_tree_sharding(spark, sf_dir):
     return sharding.shard(common.documents(spark, sf_dir), shards=16)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_source_mixing, op5_arrow_token_files, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op5_arrow_token_files, op7_toxicity, op9_hash_tree_sharding)}
 
 
 def oracle_sql():
