@@ -52,7 +52,10 @@ class Features:
     words: bool = True
 
     def buckets(self, texts: list[str | None]):
-        """For all features of the texts: (index of the text, bucket) arrays, in pieces."""
+        """All features of the texts, in pieces: (word, bucket) of each feature, and the text of each word.
+
+        sizes are at least 2. Words are numbered within a piece; a text may be cut into pieces.
+        """
         group, size = [], 0
         for i, t in enumerate(texts):
             raw = b" " + (t or "").lower().encode("utf-8", "replace") + b" "
@@ -80,26 +83,29 @@ class Features:
         gap = low == 32
         gaps = np.zeros(n + 1, np.int32)
         np.cumsum(gap, out=gaps[1:])
+        begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        text_of = which[np.searchsorted(offsets, begin, "right") - 1]
+        n_begun = np.zeros(n, np.int32)
+        n_begun[begin] = 1
+        n_begun = np.cumsum(n_begun, dtype=np.int32) - 1
         shift = np.uint64(64 - self.bits)
+        words, hashes = [], []
         for k in self.sizes:
             if n < k:
                 continue
-            inner = gaps[k - 1 : n] - gaps[1 : n - k + 2] if k > 1 else gap[:n].astype(np.int32)
-            at = np.flatnonzero(inner == 0) if k != 2 else np.flatnonzero(~(gap[:-1] & gap[1:]))
-            h = (total[at + k] - total[at]) * inverse[at] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            yield which[np.searchsorted(offsets, at, "right") - 1], (common.mix64(h) >> shift).astype(np.int32)
+            inner = gaps[k - 1 : n] - gaps[1 : n - k + 2]
+            at = np.flatnonzero(inner == 0) if k > 2 else np.flatnonzero(~(gap[:-1] & gap[1:]))
+            hashes.append((total[at + k] - total[at]) * inverse[at] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            words.append(n_begun[at + gap[at]])
         if self.words:
-            begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-            end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-            if len(end) < len(begin):
-                end = np.append(end, n)
-            h = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            yield which[np.searchsorted(offsets, begin, "right") - 1], (common.mix64(h) >> shift).astype(np.int32)
+            hashes.append((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            words.append(np.arange(len(begin), dtype=np.int32))
+        yield np.concatenate(words), (common.mix64(np.concatenate(hashes)) >> shift).astype(np.int32), text_of
 
     def bag(self, texts: list[str | None]):
         """CSR of mean weights: (first, bucket, weight) with rows of weights summing to 1."""
-        rows, cols = zip(*self.buckets(texts))
-        key = np.concatenate([r.astype(np.int64) << 32 | c for r, c in zip(rows, cols)])
+        key = np.concatenate([text_of[word].astype(np.int64) << 32 | bucket for word, bucket, text_of in self.buckets(texts)])
         key, count = np.unique(key, return_counts=True)
         row = (key >> 32).astype(np.int64)
         n = np.bincount(row, weights=count, minlength=len(texts))
@@ -121,12 +127,27 @@ class Model:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.table.shape[1]))
         count = np.zeros(len(texts))
-        for row, bucket in self.features.buckets(texts):
+        for word, bucket, text_of in self.features.buckets(texts):
+            row = text_of[word]
             count += np.bincount(row, minlength=len(texts))
             for c in range(out.shape[1]):
                 out[:, c] += np.bincount(row, weights=self.table[bucket, c], minlength=len(texts))
         return out / np.maximum(count, 1)[:, None] + self.bias
 
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        """For two classes: the text's mean margin, and the greatest mean margin of one of its words."""
+        difference = self.table[:, 1] - self.table[:, 0]
+        out, count = np.zeros((len(texts), 2)), np.zeros(len(texts))
+        for word, bucket, text_of in self.features.buckets(texts):
+            v = difference[bucket]
+            by_word = np.bincount(word, weights=v, minlength=len(text_of))
+            n = np.bincount(word, minlength=len(text_of))
+            out[:, 0] += np.bincount(text_of, weights=by_word, minlength=len(texts))
+            count += np.bincount(text_of, weights=n, minlength=len(texts))
+            np.maximum.at(out[:, 1], text_of, by_word / np.maximum(n, 1))
+        out[:, 0] /= np.maximum(count, 1)
+        return out
+
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         return softmax(self.logits(texts) * self.slope + self.shift)
 
@@ -136,7 +157,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str | None], labels: list, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32, held_back: float = 0.15, seed: int = 7) -> Model:
+def split(n: int, held_back: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(held back, fitted) row numbers."""
+    order = np.random.default_rng(seed).permutation(n)
+    return tuple(np.split(order, [int(n * held_back)]))
+
+
+def train(texts: list[str | None], labels: list, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32, held_back: float = 0.15, rows_seen: int = 3, seed: int = 7) -> Model:
     """Fit embeddings and the linear layer together by stochastic gradient descent (Adagrad steps).
 
     A part of the rows is held back for calibration: a temperature (and with two classes a shift)
@@ -148,8 +175,9 @@ def train(texts: list[str | None], labels: list, features: Features, dim: int =
         return Model(features, classes or [None], np.zeros((1 << features.bits, max(1, len(classes))), np.float32), np.zeros(max(1, len(classes))))
     y = np.searchsorted(classes, labels)
     first, bucket, weight = features.bag(texts)
-    order = rng.permutation(len(texts))
-    back, fit = np.split(order, [int(len(order) * held_back)])
+    seen_in = np.bincount(bucket, minlength=1 << features.bits)
+    weight = np.where(seen_in[bucket] >= rows_seen, weight, 0).astype(np.float32)
+    back, fit = split(len(texts), held_back, seed)
     n_class = len(classes)
     size = 1 << features.bits
     e = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
@@ -186,6 +214,7 @@ def train(texts: list[str | None], labels: list, features: Features, dim: int =
             b_sum += gb * gb
             w -= (step * gw / np.sqrt(w_sum)).astype(np.float32)
             b -= (step * gb / np.sqrt(b_sum)).astype(np.float32)
+    e[seen_in < rows_seen] = 0
     model = Model(features, classes, (e @ w).astype(np.float32), b.astype(np.float64))
     if len(back) and len(set(y[back])) > 1:
         row, col, val = gathered(back)
@@ -205,6 +234,18 @@ def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     _, model.slope, model.shift = best
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Weights and intercept of least penalised log loss, by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.append(np.ones(x.shape[1] - 1), 1e-3)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        w -= step / max(1.0, float(np.abs(step).max()))
+    return w
+
+
 def drawn(rows, key, most: int, by=None, count=None):
     """About `most` rows of each class, drawn by a hash of the key: a fraction of most / class size.
 

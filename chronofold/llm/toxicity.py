@@ -1,36 +1,75 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax: unseen spellings and
-inflections share the vectors of their character n-grams."""
+inflections share the vectors of their character n-grams.
+
+Embeddings and softmax are trained jointly on whole texts' means. As a few words make a long text
+toxic, a text is scored by its mean margin together with the margin of its most toxic word (the
+mean over that word's subwords), through a logistic fitted on rows held back from the training.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, subword
 
-FEATURES = subword.Features(sizes=(4, 5, 6), bits=18)
-#: Rows of each label that the model is fitted on, at most about (drawn by a hash).
+FEATURES = subword.Features(sizes=(4, 5, 6), bits=20)
+#: Toxic rows that the model is fitted on, at most about (drawn by a hash), and others for each.
 SAMPLE_ROWS = 1500
+OTHERS = 2
+HELD_BACK = 0.3
+SEED = 7
 THRESHOLD = 0.7
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> subword.Model:
+@dataclass
+class Detector:
+    model: subword.Model | None
+    weights: np.ndarray
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probabilities of label 1."""
+        if self.model is None:
+            return np.zeros(len(texts))
+        z = scaled(self.model.margins(texts)) @ self.weights[:-1] + self.weights[-1]
+        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
+
+
+def scaled(margins: np.ndarray) -> np.ndarray:
+    """Mean margins as they are, word margins by their square root: both of the order of 10."""
+    return np.column_stack([np.clip(margins[:, 0], -10, 10), np.sqrt(np.maximum(margins[:, 1], 0))])
+
+
+def train(texts: list[str | None], labels: list[int]) -> Detector:
+    """Two classes, 0 and 1; with fewer there is no model and all scores are 0."""
+    if len(set(labels)) < 2:
+        return Detector(None, np.zeros(3))
+    model = subword.train(texts, labels, FEATURES, dim=4, epochs=int(np.clip(16_000 // len(texts), 5, 40)), rows_seen=min(8, 2 + len(texts) // 100), held_back=HELD_BACK, seed=SEED)
+    back, _ = subword.split(len(texts), HELD_BACK, SEED)
+    y = np.array(labels)[back]
+    return Detector(model, subword.fit_logistic(scaled(model.margins([texts[i] for i in back])), y))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Detector:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic) outside the held-out fold."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(common.fold_of(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    chosen = subword.drawn(known, F.col("doc_id"), sample_rows, "toxic")
+    known = known.filter("toxic in (0, 1)")
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    chosen = subword.drawn(known, F.col("doc_id"), sample_rows, "toxic", {0: sizes.get(0, 0) / OTHERS, 1: sizes.get(1, 0)})
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = sorted((r.toxic, r.doc_id, r.text or "") for r in texts.toLocalIterator())
-    return subword.train([r[2] for r in sample], [r[0] for r in sample], FEATURES, epochs=8)
+    return train([r[2] for r in sample], [r[0] for r in sample])
 
 
-def score(docs: DataFrame, model: subword.Model) -> DataFrame:
+def score(docs: DataFrame, model: Detector) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text, ...).
 
     A null text scores as an empty one: the model's prior. Repeated rows score alike.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    toxic = model.classes.index(1) if 1 in model.classes else None
 
     def run(batches):
         import pyarrow as pa
@@ -39,15 +78,14 @@ def score(docs: DataFrame, model: subword.Model) -> DataFrame:
             _, offsets = common.text_buffers(batch.column(2))
             for i, j in common.runs_of(offsets, 1 << 22):
                 part = batch.slice(i, j - i)
-                p = sent.value.probabilities(part.column(2).to_pylist())
-                p = np.zeros(len(p)) if toxic is None else np.round(p[:, toxic], 9)
+                p = sent.value.scores(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), (common.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def detect(docs: DataFrame, labels: DataFrame, model: subword.Model | None = None) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, model: Detector | None = None) -> DataFrame:
     """Fit (unless a model is given) and score all rows. Empty tables give empty results; without
     labels every score is 0."""
     return score(docs, model or fit(docs, labels))
