@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language, mixing, sharding, token_files, toxicity
+from . import common, decontamination, jaccard, language, mixing, sharding, token_files, toxicity
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -26,6 +26,10 @@ def op5_arrow_token_files(spark, sf_dir):
     return token_files.round_trip(common.documents(spark, sf_dir))
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.join(common.documents(spark, sf_dir))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.detect(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
@@ -35,8 +39,8 @@ def op9_hash_tree_sharding(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op5_arrow_token_files, op7_toxicity, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op9_hash_tree_sharding)}
 
 
 def oracle_sql():
-    return {"op1_benchmark_decontamination": decontamination.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL}
+    return {"op1_benchmark_decontamination": decontamination.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL, "op6_ngram_jaccard_join": jaccard.ORACLE_SQL}

@@ -105,11 +105,14 @@ class Features:
 
     def bag(self, texts: list[str | None]):
         """CSR of mean weights: (first, bucket, weight) with rows of weights summing to 1."""
-        key = np.concatenate([text_of[word].astype(np.int64) << 32 | bucket for word, bucket, text_of in self.buckets(texts)])
-        key, count = np.unique(key, return_counts=True)
-        row = (key >> 32).astype(np.int64)
-        n = np.bincount(row, weights=count, minlength=len(texts))
-        return np.searchsorted(row, np.arange(len(texts) + 1)), (key & 0xFFFFFFFF).astype(np.int32), (count / n[row]).astype(np.float32)
+        first, cols, weights = [0], [], []
+        for text in texts:
+            found = [bucket for _, bucket, _ in self.buckets([text])]
+            col, count = np.unique(np.concatenate(found), return_counts=True)
+            cols.append(col.astype(np.int32))
+            weights.append((count / max(1, count.sum())).astype(np.float32))
+            first.append(first[-1] + len(col))
+        return np.array(first), np.concatenate(cols), np.concatenate(weights)
 
 
 @dataclass

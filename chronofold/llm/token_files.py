@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -29,9 +30,19 @@ from . import common
 SEQUENCE = 2048
 BATCH = 64
 #: Distinct text units whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 _UNITS = re.compile(" (?=\\S)")
+_ODD = re.compile(" (?:\\s|$)")
+_MARKED = re.compile("([^\\W\\d_]+)([^\\w\\s'<]+)")
+_ENCODERS: dict[str, "Encoder"] = {}
+
+
+def encoder(path: str) -> "Encoder":
+    """This process's encoder of a vocabulary: what it remembers serves all tasks of a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Encoder:
@@ -49,29 +60,57 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.marks: dict[str, bytes] = {}
+        self.code = "H" if self.dtype is np.uint16 else "I"
 
-    def _learn(self, units: set[str], prefix: str) -> None:
-        if len(self.known) + len(units) > REMEMBERED:
-            self.known.clear()
-        units = list(units)
+    def _library(self, units: list[str], prefix: str, into: dict[str, bytes]) -> None:
         for i in range(0, len(units), 4096):
             part = units[i : i + 4096]
             encoded = self.library.encode_batch_fast([prefix + u for u in part], add_special_tokens=False)
-            self.known.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(part, encoded))
+            into.update((u, array(self.code, e.ids).tobytes()) for u, e in zip(part, encoded))
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters alone, many in a text: each begins at the next token that has a space."""
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            at = (np.flatnonzero(self.spaced[ids]) * self.dtype().itemsize).tolist()
+            if len(at) != len(part):
+                self._library(part, " ", self.known)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+
+    def _learn(self, units: set[str]) -> None:
+        """Marks after letters are a unit of their own: the pre-tokeniser parts them (apart from
+        an apostrophe's contractions, which stay with their letters here)."""
+        known, marks, parted, new = self.known, self.marks, [], set()
+        for u in units:
+            if not u.isalpha() and (m := _MARKED.fullmatch(u)) and m[1].isalpha():
+                parted.append((u, m[1], m[2]))
+            else:
+                new.add(u)
+        new.update(stem for _, stem, _ in parted if stem not in known)
+        self._words([u for u in new if u.isalpha()])
+        self._library([u for u in new if not u.isalpha()], " ", known)
+        self._library(list({mark for _, _, mark in parted if mark not in marks}), "", marks)
+        known.update((u, known[stem] + marks[mark]) for u, stem, mark in parted)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as bytes of dtype."""
         tail = np.array([end], self.dtype).tobytes()
-        cut = [_UNITS.split(t) for t in texts]
-        heads = self.library.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        rest = [c[1:] for c in cut]
-        new = set().union(*rest).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = set().union(*rest)
-            self._learn(new, " ")
+        cut = [_UNITS.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        heads = self.library.encode_batch_fast([c.pop(0) for c in cut], add_special_tokens=False)
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.marks.clear()
+            new = set().union(*cut)
+        self._learn(new)
         get = self.known.__getitem__
-        return [b"".join([np.array(h.ids, self.dtype).tobytes(), *map(get, r), tail]) for h, r in zip(heads, rest)]
+        return [b"".join([array(self.code, h.ids).tobytes(), *map(get, c), tail]) for h, c in zip(heads, cut)]
 
 
 def filesystem(uri: str):
@@ -194,7 +233,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, sequence:
             data, offsets = common.text_buffers(batch.column(1))
             for i, j in common.runs_of(offsets, 1 << 20):
                 if writer is None:
-                    coder = Encoder(tokenizer)
+                    coder = encoder(tokenizer)
                     writer = Writer(path, coder.dtype, sequence)
                 own = batch.slice(i, j - i)
                 for doc_id, ids in zip(own.column(0).to_pylist(), coder.encode(own.column(1).to_pylist(), end)):
