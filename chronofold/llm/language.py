@@ -10,7 +10,7 @@ from . import common, subword
 
 FEATURES = subword.Features(sizes=(2, 3, 4), bits=17)
 #: Rows of each language that the model is fitted on, at most about (drawn by a hash).
-SAMPLE_ROWS = 700
+SAMPLE_ROWS = 500
 #: Of held-back rows that the model doesn't reject, at least this share is right.
 KEPT_ACCURACY = 0.99
 UNKNOWN = "und"

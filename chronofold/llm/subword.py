@@ -103,16 +103,21 @@ class Features:
             words.append(np.arange(len(begin), dtype=np.int32))
         yield np.concatenate(words), (common.mix64(np.concatenate(hashes)) >> shift).astype(np.int32), text_of
 
-    def bag(self, texts: list[str | None]):
-        """CSR of mean weights: (first, bucket, weight) with rows of weights summing to 1."""
+    def bag(self, texts: list[str | None], rows_seen: int = 1):
+        """CSR (first, bucket, weight) of the texts' features that rows_seen texts have at least;
+        weights are shares of all of a text's features. Texts are read twice to hold little."""
+        seen = np.zeros(1 << self.bits, np.int32)
+        for text in texts:
+            for _, col, _ in self.buckets([text]):
+                seen[np.unique(col)] += 1
         first, cols, weights = [0], [], []
         for text in texts:
-            found = [bucket for _, bucket, _ in self.buckets([text])]
-            col, count = np.unique(np.concatenate(found), return_counts=True)
-            cols.append(col.astype(np.int32))
-            weights.append((count / max(1, count.sum())).astype(np.float32))
-            first.append(first[-1] + len(col))
-        return np.array(first), np.concatenate(cols), np.concatenate(weights)
+            col, count = np.unique(np.concatenate([bucket for _, bucket, _ in self.buckets([text])]), return_counts=True)
+            kept = seen[col] >= rows_seen
+            cols.append(col[kept].astype(np.int32))
+            weights.append((count[kept] / max(1, count.sum())).astype(np.float32))
+            first.append(first[-1] + int(kept.sum()))
+        return np.array(first), np.concatenate(cols), np.concatenate(weights), seen
 
 
 @dataclass
@@ -177,9 +182,7 @@ def train(texts: list[str | None], labels: list, features: Features, dim: int =
     if len(classes) < 2:
         return Model(features, classes or [None], np.zeros((1 << features.bits, max(1, len(classes))), np.float32), np.zeros(max(1, len(classes))))
     y = np.searchsorted(classes, labels)
-    first, bucket, weight = features.bag(texts)
-    seen_in = np.bincount(bucket, minlength=1 << features.bits)
-    weight = np.where(seen_in[bucket] >= rows_seen, weight, 0).astype(np.float32)
+    first, bucket, weight, seen_in = features.bag(texts, rows_seen)
     back, fit = split(len(texts), held_back, seed)
     n_class = len(classes)
     size = 1 << features.bits
