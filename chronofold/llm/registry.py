@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard, language, mixing, sharding, token_files, toxicity
+from . import common, decontamination, jaccard, language, metric_join, mixing, sharding, token_files, toxicity
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -38,9 +38,13 @@ def op9_hash_tree_sharding(spark, sf_dir):
     return sharding.shard(common.documents(spark, sf_dir), shards=16)
 
 
+def op10_metric_range_join(spark, sf_dir):
+    return metric_join.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op9_hash_tree_sharding, op10_metric_range_join)}
 
 
 def oracle_sql():
-    return {"op1_benchmark_decontamination": decontamination.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL, "op6_ngram_jaccard_join": jaccard.ORACLE_SQL}
+    return {"op1_benchmark_decontamination": decontamination.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL, "op6_ngram_jaccard_join": jaccard.ORACLE_SQL, "op10_metric_range_join": metric_join.ORACLE_SQL}
