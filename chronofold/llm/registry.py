@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard, language, metric_join, mixing, sharding, token_files, toxicity
+from . import common, decontamination, jaccard, language, metric_join, mixing, pii, sharding, token_files, toxicity
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -22,6 +22,10 @@ def op3_source_mixing(spark, sf_dir):
     return mixing.mix(common.documents(spark, sf_dir)).drop("source")
 
 
+def op4_pii_boosting(spark, sf_dir):
+    return pii.digest(pii.detect(common.documents(spark, sf_dir)))
+
+
 def op5_arrow_token_files(spark, sf_dir):
     return token_files.round_trip(common.documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_metric_range_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op9_hash_tree_sharding, op10_metric_range_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op4_pii_boosting, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op9_hash_tree_sharding, op10_metric_range_join)}
 
 
 def oracle_sql():
