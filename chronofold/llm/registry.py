@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard, language, metric_join, mixing, pii, sharding, token_files, toxicity
+from . import common, decontamination, jaccard, language, lm_scoring, metric_join, mixing, pii, sharding, token_files, toxicity
 
 
 def op1_benchmark_decontamination(spark, sf_dir):
@@ -38,6 +38,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.detect(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
 
+def op8_elias_fano_lm(spark, sf_dir):
+    return lm_scoring.score_all(common.documents(spark, sf_dir))
+
+
 def op9_hash_tree_sharding(spark, sf_dir):
     return sharding.shard(common.documents(spark, sf_dir), shards=16)
 
@@ -47,7 +51,7 @@ def op10_metric_range_join(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op4_pii_boosting, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op9_hash_tree_sharding, op10_metric_range_join)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_source_mixing, op4_pii_boosting, op5_arrow_token_files, op6_ngram_jaccard_join, op7_toxicity, op8_elias_fano_lm, op9_hash_tree_sharding, op10_metric_range_join)}
 
 
 def oracle_sql():

@@ -1,8 +1,65 @@
-"""The training-data pipeline."""
+"""A training-data pipeline: each stage takes what its predecessor kept, as documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofold.llm import common, decontamination, jaccard, language, mixing, sharding
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: rejected documents go (no letter, or a score under the calibrated level)."""
+    return language.identify(docs).filter("not rejected").select(docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join of 5-word shingles at 0.8: of each component the document of the
+    smallest id stays, once. Documents without words or without an id stay."""
+    joined = jaccard.join(docs, size=5, near=80)
+    gone = joined.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    unnamed = kept.filter("doc_id is null")
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: contaminated documents (a twentieth of the words hit) go."""
+    found = decontamination.digest(decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark")))
+    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources: a document is repeated as often as the mix takes it, to the nearest whole
+    number; what the mix takes less than half of is left out. Documents without words stay once."""
+    taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).alias("_times"))
+    taken = taken.groupBy("doc_id").agg(F.max("_times").cast("int").alias("_times")).withColumnRenamed("doc_id", "_id")
+    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_times > 0")
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: the final placement of every row."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("language", identified),
+    ("near_duplicates", deduplicated),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: SQL can express neither the language model nor crc32; tests hold stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents, each written as Parquet to the shared folder and read again."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
