@@ -1,15 +1,473 @@
-"""Registered time-series queries and their SQL twins."""
+"""Registered time-series queries and their SQL twins.
+
+Points of the queries: `events` as FLOAT points (metric event_type, tags user and cluster), order
+lines as INT points with many writes of one time, and `put` lines rendered from events.
+Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import model
+from .functions import generations, parsing
+from .operators import filters, rollup, series
+from .plans import metadata, query, routing
+from .sources import store
+
+#: 2024-01-01 00:00 UTC, when events begin.
+T0 = 1_704_067_200
+DAY = 86_400
+PERIODS = generations.calendar([("01/01/24", 1)])
+NOW = T0 + 9 * DAY
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(spark, sf_dir):
+    return model.event_points(_table(spark, sf_dir, "events"))
+
+
+def _flat(points: DataFrame) -> DataFrame:
+    return points.select("metric", "series_key", "ts", F.round("value", 6).alias("value"))
+
+
+def _grouped(spark, sf_dir):
+    """Points with the cluster as group."""
+    p = _points(spark, sf_dir)
+    return p.select("metric", F.col("tags")["cluster"].alias("cluster"), "series_key", "ts", "value", "kind", "write_seq", "tags")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.round("value", 6))
+
+
+P = """
+p AS (
+  SELECT event_type AS metric, user_id::VARCHAR AS user, 'c' || (user_id % 4)::VARCHAR AS cluster,
+         'cluster=c' || (user_id % 4)::VARCHAR || ',user=' || user_id::VARCHAR AS series_key,
+         epoch_us(ts) // 1000000 AS ts, (value::FLOAT)::DOUBLE AS value, event_id AS write_seq, props
+  FROM events
+)"""
+_Q = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+L = f"""
+d AS (
+  SELECT 'cluster=s' || (l_suppkey % 4)::VARCHAR || ',linestatus=' || l_linestatus || ',returnflag=' || l_returnflag AS series_key,
+         epoch_us(l_shipdate) // 1000000 AS ts, l_quantity::BIGINT AS value, row({_Q}) AS seq
+  FROM lineitem
+)"""
+
+
+def _segments_sql(source: str, group: str = "metric, cluster") -> str:
+    """CTEs s (segments), x (times) and i (values by time) over a relation with group, series_key, ts, value."""
+    g = [c.strip() for c in group.split(",")]
+    same = " AND ".join(f"x.{c} = s.{c}" for c in g)
+    picked = ", ".join(f"x.{c}" for c in g)
+    return f"""
+s AS (
+  SELECT * FROM (
+    SELECT {group}, series_key, ts AS x1, value AS y1, lead(ts) OVER w AS x2, lead(value) OVER w AS y2, row_number() OVER w = 1 AS first
+    FROM {source} WINDOW w AS (PARTITION BY {group}, series_key ORDER BY ts)) WHERE x2 IS NOT NULL
+), x AS (SELECT {group}, x1 AS ts FROM s UNION SELECT {group}, x2 FROM s),
+i AS (
+  SELECT {picked}, x.ts, CASE WHEN x.ts = x2 THEN y2 WHEN x.ts = x1 THEN y1 ELSE y1 + ((y2 - y1) * (x.ts - x1)) / (x2 - x1) END AS value
+  FROM x JOIN s ON {same} AND x.ts <= x2 AND (x.ts > x1 OR (first AND x.ts = x1))
+)"""
+
+
+def _interp_sql(source: str, agg: str, before: str = "", group: str = "metric, cluster") -> str:
+    return f"WITH {P}{before}, {_segments_sql(source, group)} SELECT {group}, ts, round({agg}(value), 6) AS value FROM i GROUP BY {group}, ts"
+
+
+def _down_sql(n: int, agg: str, keys: str = "metric, cluster, series_key", source: str = "p") -> str:
+    return f"SELECT {keys}, ts - ts % {n} + {n // 2} AS ts, {agg}(value) AS value FROM {source} GROUP BY {keys}, ts - ts % {n}"
+
+
+_RATE = "SELECT * FROM (SELECT {keys}, ts, (value - lag(value) OVER w) / (ts - lag(ts) OVER w) AS value FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY ts)) WHERE value IS NOT NULL"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group a metric's series by cluster and sum them by interpolation."""
+    q = query.Query("click", "sum", tuple(filters.from_mapping({"cluster": "c0|c1|c2|c3"})))
+    rows = query.plan(_points(spark, sf_dir), query.Request(T0, T0 + 31 * DAY, (q,)), q)
+    return rows.select("group", "ts", F.round("value", 6).alias("value"))
+
+
+# ---- put lines ----------------------------------------------------------------------------
+
+_CASES = 12
+_LINE = {
+    0: ("'put ' || {m} || ' ' || {t} || ' ' || {v}", "not enough arguments"),
+    1: ("'put ' || {m} || ' ' || {t} || ' abc cluster=c1 user=' || {u}", "invalid value"),
+    2: ("'put ' || {m} || ' ' || {t} || ' ' || {v} || ' cluster=c1 cluster=c2'", "duplicate tag"),
+    3: ("'put ' || {m} || ' ' || {t} || ' ' || {v} || ' cluster=c1 us#er=' || {u}", "illegal character"),
+    4: ("'put ' || {m} || ' ' || {t} || ' ' || {v} || ' user=' || {u}", "exactly one shard tag needed"),
+    5: ("'put ' || {m} || ' -5 ' || {v} || ' cluster=c1 user=' || {u}", "invalid timestamp"),
+    6: ("'get ' || {m} || ' ' || {t} || ' ' || {v} || ' cluster=c1 user=' || {u}", "unknown command"),
+    7: ("'put ' || {m} || ' ' || {t} || ' [1,2,3.0] cluster=c1  user=' || {u}", None),
+    8: ("'put ' || {m} || ' ' || {t} || ' [4,5] cluster=c1 user=' || {u}", None),
+    9: ("'put ' || {m} || ' 4294967000 ' || {v} || ' cluster=c1 user=' || {u}", "timestamp out of range"),
+    10: ("'put ' || {m} || ' ' || {t} || ' ' || {i} || ' cluster=c' || {c} || ' user=' || {u}", None),
+    11: ("'put ' || {m} || ' ' || {t} || ' ' || {h} || ' cluster=c' || {c} || ' user=' || {u} || '\\r'", None),
+}
+
+
+def _line_case(names: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN event_id % {_CASES} = {k} THEN {v.format(**names)}" for k, (v, _) in _LINE.items()) + " END"
+
+
+def _lines(spark, sf_dir):
+    names = {"m": "event_type", "t": "cast(timestampdiff(SECOND, timestamp_ntz'1970-01-01', ts) as string)", "v": "'1.5'", "u": "cast(user_id as string)", "i": "cast(event_id as string)", "h": "concat(cast(event_id as string), '.5')", "c": "cast(user_id % 4 as string)"}
+    return _table(spark, sf_dir, "events").select("event_id", F.expr(_line_case(names).replace("'\\r'", "chr(13)")).alias("line"))
+
+
+def _error_sql() -> str:
+    return "CASE " + " ".join(f"WHEN event_id % {_CASES} = {k} THEN '{e}'" for k, (_, e) in _LINE.items() if e) + " END"
+
+
+def parse_put_line(spark, sf_dir):
+    valid, _ = parsing.split_valid(parsing.parse_lines(_lines(spark, sf_dir)))
+    return valid.filter("kind in ('INT', 'FLOAT')").select("event_id", "metric", "series_key", "ts", "kind", model.widened(F.col("int_value"), F.col("float_value")).alias("value"))
+
+
+def parse_list_value(spark, sf_dir):
+    valid, _ = parsing.split_valid(parsing.parse_lines(_lines(spark, sf_dir)))
+    lists = valid.filter("kind in ('INT_LIST', 'FLOAT_LIST')")
+    return lists.select("event_id", "metric", "ts", "kind", F.posexplode(model.widened_list(F.col("int_list"), F.col("float_list"))).alias("i", "value"))
+
+
+def validate_points(spark, sf_dir):
+    _, bad = parsing.split_valid(parsing.parse_lines(_lines(spark, sf_dir)))
+    return bad.select("event_id", "error")
+
+
+def error_counts(spark, sf_dir):
+    _, bad = parsing.split_valid(parsing.parse_lines(_lines(spark, sf_dir)))
+    return metadata.error_counts(bad)
+
+
+# ---- the queries --------------------------------------------------------------------------
+
+
+def scan_time_range(spark, sf_dir):
+    return _flat(filters.select(_points(spark, sf_dir), "click", T0 + DAY, T0 + 3 * DAY))
+
+
+def filter_single_tag(spark, sf_dir):
+    return _flat(filters.select(_points(spark, sf_dir), filters=[filters.of("cluster", "c1")]))
+
+
+def filter_multi_tag(spark, sf_dir):
+    return _flat(filters.select(_points(spark, sf_dir), filters=[filters.of("user", "1|2|3|77")]))
+
+
+def filter_any_tag(spark, sf_dir):
+    return _flat(filters.select(_points(spark, sf_dir), "view", filters=[filters.of("user", "*")]))
+
+
+def filter_conjunction(spark, sf_dir):
+    return _flat(filters.select(_points(spark, sf_dir), filters=filters.from_text("cluster->c0 c2;user->*")).filter(F.col("ts") >= T0 + 20 * DAY))
+
+
+def dedup_last_write(spark, sf_dir):
+    rows = model.quantity_points(_table(spark, sf_dir, "lineitem"))
+    return series.last_write(rows).select("series_key", "ts", "value")
+
+
+def value_widening(spark, sf_dir):
+    rows = _points(spark, sf_dir)
+    return rows.select("write_seq", "value")
+
+
+def group_by_tag(spark, sf_dir):
+    rows = filters.select(_points(spark, sf_dir), filters=[filters.of("cluster", "*")])
+    return rows.groupBy(F.col("metric"), filters.group_key(["cluster"]).alias("group")).agg(F.countDistinct("series_key").alias("n_series"), F.count("*").alias("n_points"))
+
+
+def _aligned(agg):
+    def run(spark, sf_dir):
+        grid = series.last_write(_grouped(spark, sf_dir).withColumn("ts", F.col("ts") - F.col("ts") % 3600))
+        return _rounded(grid.groupBy("metric", "cluster", "ts").agg(getattr(F, agg)("value").alias("value")))
+
+    return run
+
+
+def _downsample(agg):
+    def run(spark, sf_dir):
+        return _rounded(series.downsample(_points(spark, sf_dir), ["metric", "series_key"], 7200, agg))
+
+    return run
+
+
+def _interp(agg, method="auto"):
+    def run(spark, sf_dir):
+        return _rounded(series.interpolate(_grouped(spark, sf_dir), ["metric", "cluster"], ["series_key"], agg, method))
+
+    return run
+
+
+def rate(spark, sf_dir):
+    rows = series.rate(_points(spark, sf_dir).select("metric", "series_key", "ts", "value"), ["metric", "series_key"])
+    return rows.withColumn("value", F.round("value", 9))
+
+
+def segments(spark, sf_dir):
+    return series.segments(_points(spark, sf_dir), ["metric", "series_key"]).drop("first")
+
+
+def union_times(spark, sf_dir):
+    return series.output_times(series.segments(_grouped(spark, sf_dir), ["metric", "cluster", "series_key"]), ["metric", "cluster"])
+
+
+def interp_downsample(spark, sf_dir):
+    return _rounded(series.interpolate_and_downsample(_grouped(spark, sf_dir), ["metric", "cluster"], ["series_key"], "max", DAY))
+
+
+def full_query_group_rate_downsample(spark, sf_dir):
+    body = {"start": T0 * 1000, "end": (T0 + 25 * DAY) * 1000, "queries": [{"metric": "click", "aggregator": "max", "rate": True, "downsample": "2h-sum", "tags": {"cluster": "c0|c1|c2"}}]}
+    request = query.parse(body)
+    rows = query.plan(_points(spark, sf_dir), request, request.queries[0])
+    return rows.select("group", "ts", F.round("value", 6).alias("value"))
+
+
+def rate_then_aggregate(spark, sf_dir):
+    own = series.rate(_grouped(spark, sf_dir).select("metric", "cluster", "series_key", "ts", "value"), ["metric", "cluster", "series_key"])
+    return _rounded(series.interpolate(own, ["metric", "cluster"], ["series_key"], "min"))
+
+
+def _rolled(resolution):
+    def run(spark, sf_dir):
+        rows = rollup.hourly(_points(spark, sf_dir), ["metric", "series_key"]).filter(F.col("resolution") == resolution)
+        return rows.select("metric", "series_key", "agg", "ts", F.round("value", 3).alias("value"))
+
+    return run
+
+
+def rollup_1d(spark, sf_dir):
+    hours = rollup.hourly(_points(spark, sf_dir), ["metric", "series_key"])
+    return rollup.daily(hours, ["metric", "series_key"]).select("metric", "series_key", "agg", "ts", F.round("value", 2).alias("value"))
+
+
+def rollup_transparent(spark, sf_dir):
+    """Two-hourly maxima: hourly rollups to the 20th day, five-minute ones to the 25th, then raw points."""
+    raw = _points(spark, sf_dir).select("metric", "series_key", "ts", "value")
+    rolled = rollup.hourly(raw, ["metric", "series_key"]).filter("agg = 'max'")
+    ends = {rollup.HOUR: T0 + 20 * DAY, rollup.MINUTE5: T0 + 25 * DAY}
+    return _rounded(routing.read(raw, rolled, ["metric", "series_key"], T0, T0 + 31 * DAY, 7200, "max", ends))
+
+
+def _suggest(kind, prefix):
+    def run(spark, sf_dir):
+        return metadata.suggest(metadata.names(_points(spark, sf_dir)), prefix, kind)
+
+    return run
+
+
+def distinct_tag_values(spark, sf_dir):
+    return metadata.distinct_values(_points(spark, sf_dir), "user")
+
+
+def health_check(spark, sf_dir):
+    return metadata.health(_points(spark, sf_dir), "click", [filters.of("cluster", "c1")], "user", T0 + 10 * DAY, 2 * DAY)
+
+
+def _generation_rows(spark, sf_dir):
+    return _points(spark, sf_dir).select("metric", "series_key", "ts", generations.generation(F.col("ts"), PERIODS, NOW).alias("generation"))
+
+
+def generation_id(spark, sf_dir):
+    return _generation_rows(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def outlander_split(spark, sf_dir):
+    return _generation_rows(spark, sf_dir).filter(F.col("generation") == generations.OUTLANDER).select("metric", "series_key", "ts")
+
+
+def shard_predicate(spark, sf_dir):
+    rows = _points(spark, sf_dir).withColumn("tags", F.when(F.col("write_seq") % 5 == 0, F.map_filter("tags", lambda k, v: k != "cluster")).otherwise(F.col("tags")))
+    shard = model.shard_of(F.col("tags"))
+    return rows.filter(shard.isNotNull()).groupBy(model.shard_name(F.lit("cluster"), shard).alias("shard")).agg(F.count("*").alias("n"))
+
+
+def json_props_tag(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
+    return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+def json_write_points(spark, sf_dir):
+    """JSON bodies rendered from events, parsed back."""
+    bodies = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('[{"h'), F.col("user_id"), F.lit("/"), F.col("event_type"), F.lit('": {"value": '), F.col("event_id"), F.lit(', "timestamp": '), model.epoch_seconds("ts"), F.lit(', "type": "numeric"}}]')).alias("body"))
+    rows = parsing.parse_json(bodies)
+    return rows.select("event_id", "metric", F.col("tags")["host"].alias("host"), "ts", "kind", "int_value")
+
+
+def list_points_scan(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    lists = p.groupBy("metric", "series_key", F.map_entries("tags").alias("_t"), (F.col("ts") - F.col("ts") % DAY).alias("ts")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), "float_value"))), lambda x: x["float_value"]).alias("float_list"))
+    lists = lists.withColumns({"tags": F.map_from_entries("_t"), "int_list": F.lit(None).cast("array<bigint>")}).drop("_t")
+    found = store.list_points(lists, "click", T0 + 2 * DAY, T0 + 9 * DAY, [filters.of("cluster", "c1|c3")])
+    return found.select("series_key", "ts", F.posexplode("values").alias("i", "value"))
+
+
+def latest_timestamp(spark, sf_dir):
+    return _points(spark, sf_dir).groupBy("metric").agg(F.max("ts").alias("latest"))
+
+
+def names_dimension(spark, sf_dir):
+    return metadata.names(_points(spark, sf_dir)).select("kind", "name")
+
+
+def result_json(spark, sf_dir):
+    q = query.Query("click", "sum", tuple(filters.from_mapping({"cluster": "c0|c1"})), downsample=(DAY, "avg"))
+    rows = query.plan(_points(spark, sf_dir), query.Request(T0, T0 + 31 * DAY, (q,)), q)
+    return query.to_json_rows(rows.withColumn("value", F.round("value", 4)), "click")
+
+
+def result_text(spark, sf_dir):
+    q = query.Query("click", "sum", tuple(filters.from_text("cluster->c0 c1")), downsample=(DAY, "avg"))
+    rows = query.plan(_points(spark, sf_dir), query.Request(T0, T0 + 31 * DAY, (q,)), q)
+    return query.to_text_lines(rows.withColumn("value", F.round("value", 4)))
+
+
+def lag_gauge(spark, sf_dir):
+    """Unread counts by user: what came after the middle of the month, in all and at most."""
+    from .streaming import ingest
+
+    p = _points(spark, sf_dir).select(F.col("tags")["user"].alias("partition"), "ts")
+    written = p.groupBy("partition").agg(F.count("*").alias("offset"))
+    read = p.filter(F.col("ts") < T0 + 15 * DAY).groupBy("partition").agg(F.count("*").alias("offset"))
+    return ingest.lag(written, read)
+
+
+_F = "SELECT metric, series_key, ts, round(value, 6) AS value FROM p WHERE "
+_ROLL = """SELECT metric, series_key, agg, ts, round((v::FLOAT)::DOUBLE, 3) AS value FROM (
+  SELECT metric, series_key, ts - ts % {n} AS ts, max(value) AS max, min(value) AS min, sum(value) AS sum, avg(value) AS avg FROM p GROUP BY ALL
+) UNPIVOT (v FOR agg IN (max, min, sum, avg))"""
+
+
+def _tables():
+    """name: (query, SQL or None)."""
+    out = {
+        "scan_time_range": (scan_time_range, f"WITH {P} {_F} metric = 'click' AND ts >= {T0 + DAY} AND ts < {T0 + 3 * DAY}"),
+        "filter_single_tag": (filter_single_tag, f"WITH {P} {_F} cluster = 'c1'"),
+        "filter_multi_tag": (filter_multi_tag, f"WITH {P} {_F} user IN ('1', '2', '3', '77')"),
+        "filter_any_tag": (filter_any_tag, f"WITH {P} {_F} metric = 'view' AND user IS NOT NULL"),
+        "filter_conjunction": (filter_conjunction, f"WITH {P} {_F} cluster IN ('c0', 'c2') AND ts >= {T0 + 20 * DAY}"),
+        "dedup_last_write": (dedup_last_write, f"WITH {L} SELECT series_key, ts, arg_max(value, seq)::DOUBLE AS value FROM d GROUP BY series_key, ts"),
+        "value_widening": (value_widening, f"WITH {P} SELECT write_seq, value FROM p"),
+        "group_by_tag": (group_by_tag, f"WITH {P} SELECT metric, 'cluster=' || cluster AS \"group\", count(DISTINCT series_key) AS n_series, count(*) AS n_points FROM p GROUP BY ALL"),
+        "rate": (rate, f"WITH {P} SELECT metric, series_key, ts, round(value, 9) AS value FROM ({_RATE.format(keys='metric, series_key', source='p')})"),
+        "segments": (segments, f"WITH {P} SELECT * FROM (SELECT metric, series_key, ts AS x1, value AS y1, lead(ts) OVER w AS x2, lead(value) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY metric, series_key ORDER BY ts)) WHERE x2 IS NOT NULL"),
+        "union_times": (union_times, f"WITH {P}, {_segments_sql('p')} SELECT metric, cluster, ts FROM x"),
+        "interp_sum_join": (_interp("sum", "join"), _interp_sql("p", "sum")),
+        "interp_sum_sweep": (_interp_sweep, f"SELECT metric, cluster, count(*) AS n, round(avg(value), 3) AS mean FROM ({_interp_sql('p', 'sum').replace('round(sum(value), 6)', 'sum(value)')}) GROUP BY metric, cluster"),
+        "interp_downsample": (interp_downsample, f"SELECT metric, cluster, ts - ts % {DAY} + {DAY // 2} AS ts, round(avg(value), 6) AS value FROM (WITH {P}, {_segments_sql('p')} SELECT metric, cluster, ts, max(value) AS value FROM i GROUP BY ALL) GROUP BY metric, cluster, ts - ts % {DAY}"),
+        "full_query_group_rate_downsample": (full_query_group_rate_downsample, f"""WITH {P}, c AS (SELECT 'cluster=' || cluster AS g, series_key, ts, value FROM p WHERE metric = 'click' AND cluster IN ('c0', 'c1', 'c2') AND ts >= {T0} AND ts < {T0 + 25 * DAY}),
+          w AS ({_down_sql(7200, 'sum', 'g, series_key', 'c')}), r AS ({_RATE.format(keys='g, series_key', source='w')}), {_segments_sql('r', 'g')}
+          SELECT g AS "group", ts, round(value, 6) AS value FROM (SELECT g, ts - ts % 7200 + 3600 AS ts, avg(value) AS value FROM (SELECT g, ts, max(value) AS value FROM i GROUP BY ALL) GROUP BY g, ts - ts % 7200)"""),
+        "rate_then_aggregate": (rate_then_aggregate, _interp_sql("r", "min", f", r AS ({_RATE.format(keys='metric, cluster, series_key', source='p')})")),
+        "rollup_5m": (_rolled(300), f"WITH {P} {_ROLL.format(n=300)}"),
+        "rollup_1h": (_rolled(3600), f"WITH {P} {_ROLL.format(n=3600)}"),
+        "rollup_1d": (rollup_1d, f"""WITH {P}, h AS ({_ROLL.format(n=3600).replace('round((v::FLOAT)::DOUBLE, 3)', '(v::FLOAT)::DOUBLE')})
+          SELECT metric, series_key, agg, ts - ts % {DAY} AS ts, round(((CASE agg WHEN 'max' THEN max(value) WHEN 'min' THEN min(value) WHEN 'sum' THEN sum(value) ELSE avg(value) END)::FLOAT)::DOUBLE, 2) AS value
+          FROM h GROUP BY metric, series_key, agg, ts - ts % {DAY}"""),
+        "rollup_transparent": (rollup_transparent, f"WITH {P} SELECT metric, series_key, ts - ts % 7200 + 3600 AS ts, round(max(value), 6) AS value FROM p WHERE ts >= {T0} AND ts < {T0 + 31 * DAY} GROUP BY metric, series_key, ts - ts % 7200"),
+        "suggest_metric": (_suggest("metrics", "c"), f"WITH {P} SELECT DISTINCT metric AS name FROM p WHERE metric LIKE 'c%' ORDER BY 1 LIMIT 25"),
+        "suggest_tagk": (_suggest("tagk", ""), "SELECT unnest(['cluster', 'user']) AS name"),
+        "suggest_tagv": (_suggest("tagv", "1"), f"WITH {P} SELECT DISTINCT user AS name FROM p WHERE user LIKE '1%' ORDER BY 1 LIMIT 25"),
+        "distinct_tag_values": (distinct_tag_values, f"WITH {P} SELECT count(DISTINCT user) AS n FROM p"),
+        "health_check": (health_check, f"""WITH {P}, c AS (SELECT count(DISTINCT user) FILTER (ts < {T0 + 6 * DAY}) AS count1, count(DISTINCT user) FILTER (ts >= {T0 + 6 * DAY}) AS count2
+          FROM p WHERE metric = 'click' AND cluster = 'c1' AND ts >= {T0 + 4 * DAY} AND ts < {T0 + 8 * DAY}) SELECT *, coalesce((count1 - count2)::DOUBLE / nullif(count1, 0) < 0.3, false) AS healthy FROM c"""),
+        "generation_id": (generation_id, f"WITH {P}, g AS (SELECT ts, ((ts - {PERIODS[0].start}) // {PERIODS[0].length})::INTEGER AS g FROM p) SELECT CASE WHEN g > {generations.generation_at(NOW, PERIODS) + 1} THEN -1 ELSE g END AS generation, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY 1"),
+        "outlander_split": (outlander_split, f"WITH {P} SELECT metric, series_key, ts FROM p WHERE (ts - {PERIODS[0].start}) // {PERIODS[0].length} > {generations.generation_at(NOW, PERIODS) + 1}"),
+        "shard_predicate": (shard_predicate, f"WITH {P} SELECT '{{cluster: ' || cluster || '}}_7_' || length(cluster)::VARCHAR AS shard, count(*) AS n FROM p WHERE write_seq % 5 <> 0 GROUP BY 1"),
+        "parse_put_line": (parse_put_line, f"""WITH {P} SELECT write_seq AS event_id, metric, series_key, ts, CASE WHEN write_seq % {_CASES} = 10 THEN 'INT' ELSE 'FLOAT' END AS kind,
+          CASE WHEN write_seq % {_CASES} = 10 THEN write_seq::DOUBLE ELSE ((write_seq::VARCHAR || '.5')::FLOAT)::DOUBLE END AS value FROM p WHERE write_seq % {_CASES} IN (10, 11)"""),
+        "parse_list_value": (parse_list_value, f"""WITH {P}, l AS (SELECT write_seq, metric, ts, CASE write_seq % {_CASES} WHEN 7 THEN [1.0::DOUBLE, 2.0, 3.0] ELSE [4.0::DOUBLE, 5.0] END AS v FROM p WHERE write_seq % {_CASES} IN (7, 8))
+          SELECT write_seq AS event_id, metric, ts, CASE len(v) WHEN 3 THEN 'FLOAT_LIST' ELSE 'INT_LIST' END AS kind, (i - 1)::INTEGER AS i, v[i] AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM l)"""),
+        "validate_points": (validate_points, f"SELECT * FROM (SELECT event_id, {_error_sql()} AS error FROM events) WHERE error IS NOT NULL"),
+        "error_counts": (error_counts, f"SELECT error, count(*) AS n FROM (SELECT {_error_sql()} AS error FROM events) WHERE error IS NOT NULL GROUP BY error"),
+        "json_props_tag": (json_props_tag, "SELECT event_type, props->>'$.k' AS k, count(*) AS n FROM events GROUP BY ALL"),
+        "json_write_points": (json_write_points, f"WITH {P} SELECT write_seq AS event_id, 'l.' || metric AS metric, 'h' || user AS host, ts, 'INT' AS kind, write_seq AS int_value FROM p"),
+        "list_points_scan": (list_points_scan, f"""WITH {P} SELECT series_key, ts - ts % {DAY} AS ts, (row_number() OVER (PARTITION BY series_key, ts - ts % {DAY} ORDER BY ts) - 1)::INTEGER AS i, value
+          FROM p WHERE metric = 'click' AND cluster IN ('c1', 'c3') AND ts >= {T0 + 2 * DAY} AND ts < {T0 + 9 * DAY}"""),
+        "latest_timestamp": (latest_timestamp, f"WITH {P} SELECT metric, max(ts) AS latest FROM p GROUP BY metric"),
+        "names_dimension": (names_dimension, f"WITH {P} SELECT DISTINCT 'metric' AS kind, metric AS name FROM p UNION SELECT 'tagk', unnest(['cluster', 'user']) UNION SELECT 'tagv', user FROM p UNION SELECT 'tagv', cluster FROM p"),
+        "lag_gauge": (lag_gauge, f"WITH {P}, c AS (SELECT user, count(*) FILTER (ts >= {T0 + 15 * DAY}) AS n FROM p GROUP BY user) SELECT sum(n)::BIGINT AS total, max(n) AS max FROM c"),
+        "result_json": (result_json, None),
+        "result_text": (result_text, None),
+        "streaming_rollup": (streaming_rollup, f"WITH {P} SELECT metric, series_key, ts - ts % 3600 AS ts, round((max(value)::FLOAT)::DOUBLE, 3) AS max, round((min(value)::FLOAT)::DOUBLE, 3) AS min FROM p GROUP BY metric, series_key, ts - ts % 3600"),
+        "streaming_failover": (streaming_failover, f"SELECT 'drop' AS sink, count(*) AS n FROM events WHERE event_id % {_CASES} IN (7, 8, 10, 11) UNION ALL SELECT 'quarantine', count(*) FROM events WHERE event_id % {_CASES} NOT IN (7, 8, 10, 11)"),
+        "stored_scan": (stored_scan, f"WITH {P} {_F} metric = 'view' AND cluster IN ('c1', 'c2') AND ts >= {T0 + DAY} AND ts < {T0 + 20 * DAY}"),
+    }
+    for a in ("sum", "min", "max", "avg"):
+        out[f"agg_{a}_aligned"] = (_aligned(a), f"WITH {P}, a AS (SELECT metric, cluster, series_key, ts - ts % 3600 AS ts, arg_max(value, write_seq) AS value FROM p GROUP BY metric, cluster, series_key, ts - ts % 3600) SELECT metric, cluster, ts, round({a}(value), 6) AS value FROM a GROUP BY ALL")
+        out[f"downsample_{a}"] = (_downsample(a), f"WITH {P} SELECT metric, series_key, ts, round(value, 6) AS value FROM ({_down_sql(7200, a, 'metric, series_key')})")
+        out[f"interp_{a}"] = (_interp(a), _interp_sql("p", a))
+    return out
+
+
+def _interp_sweep(spark, sf_dir):
+    """The sweep cancels large sums, so single values differ in the last places: means of groups."""
+    rows = series.interpolate(_grouped(spark, sf_dir), ["metric", "cluster"], ["series_key"], "sum", "sweep")
+    return rows.groupBy("metric", "cluster").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"))
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where none is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="chronofold-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_scan(spark, sf_dir):
+    """Points written to the partitioned store, compacted, and scanned with pruning."""
+    path, packed = _shared(spark, "store"), _shared(spark, "packed")
+    store.write(store.placed(_points(spark, sf_dir), PERIODS, T0 + 31 * DAY), path)
+    store.compact(spark, path, packed)
+    return _flat(store.scan(spark, packed, "view", T0 + DAY, T0 + 20 * DAY, filters.from_mapping({"cluster": "c1|c2", "user": "*"}), PERIODS))
+
+
+def streaming_rollup(spark, sf_dir):
+    """Events as a stream, rolled up by the hour into a table; the last open buckets are closed by
+    a point far ahead that itself stays open."""
+    from .streaming import ingest
+
+    source, out = _shared(spark, "stream"), _shared(spark, "rolled")
+    own = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    own.write.parquet(source)
+    ahead = own.limit(1).select("event_id", F.expr("timestamp_ntz'2030-01-01 00:00:00'").alias("ts"), "user_id", "event_type", "value", "props")
+    rows = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    started = lambda: ingest.rollup_stream(model.event_points(rows), rollup.HOUR).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    started().awaitTermination()
+    ahead.write.mode("append").parquet(source)
+    started().awaitTermination()
+    return spark.read.parquet(out).select("metric", "series_key", "ts", F.round("max", 3).alias("max"), F.round("min", 3).alias("min"))
+
+
+def streaming_failover(spark, sf_dir):
+    """Lines as a stream into a main sink that always fails: valid points land in the drop."""
+    from .streaming import ingest
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+    folder = _shared(spark, "failover")
+    _lines(spark, sf_dir).select("line").withColumn("line", F.regexp_replace("line", "\r", "")).write.text(f"{folder}/in")
+    lines = spark.readStream.text(f"{folder}/in").withColumnRenamed("value", "line")
+    ingest.ingest(lines, ingest.failing, ingest.parquet_sink(f"{folder}/drop"), ingest.parquet_sink(f"{folder}/bad"), f"{folder}/state").awaitTermination()
+    dropped = spark.read.parquet(f"{folder}/drop").agg(F.lit("drop").alias("sink"), F.count("*").alias("n"))
+    return dropped.unionByName(spark.read.parquet(f"{folder}/bad").agg(F.lit("quarantine").alias("sink"), F.count("*").alias("n")))
 
 
 def queries():
-    return {}
+    return {k: q for k, (q, _) in _tables().items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: sql for k, (_, sql) in _tables().items() if sql}
