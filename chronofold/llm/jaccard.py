@@ -4,14 +4,16 @@ A document's distinct word shingles are XOR-hashed into a bit sketch: each shing
 bit, so the Hamming distance of two sketches is at most the symmetric difference of the sets.
 Sets of J >= t whose sizes lie in one band differ in at most D shingles, D known from the band.
 The sketch of a band is cut into D + 1 + x blocks: of two such sets, x + 1 blocks at least are
-equal. A block is keyed by the XOR of its toggled bits' codes, and equal keys are joined. Blocks
-with fewer than two shingles, which many unlike sets share, are left out where a set has at most x
-of them: an equal block that is kept remains. Joined pairs pass a Hamming test on a 1024-bit
-folded sketch and are verified on their whole sets.
+equal. A block is keyed by the XOR of its toggled bits' codes, and equal keys are joined. Each set
+leaves out x blocks, those with the fewest shingles, which unlike sets share most; the order is by
+content alone, so of the equal blocks the two sets leave out nested parts, x at most, and one
+remains. Joined pairs pass a Hamming test on a 1024-bit folded sketch and are verified on whole sets.
 
 Sets that are equal are one node. Keys shared by up to SMALL nodes give their pairs; the nodes of
-larger keys form clouds, which are compared in tiles of bounded size, each giving only a forest of
-verified links. So rows grow with the nodes, never with a group's pairs.
+larger keys form clouds, whose sketches are compared in tiles of bounded size, each giving only a
+forest of its possible links. Nodes that possible links connect then meet with their whole sets,
+again in tiles, which give a forest of verified links. So rows grow with the nodes, never with a
+group's pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +32,14 @@ NEAR = 85
 SKETCH_BITS = 1024
 #: Nodes that share a key and are still joined pair by pair.
 SMALL = 16
-#: Bytes of sets in a chunk; a tile compares two chunks.
-CHUNK_BYTES = 4 << 20
-BAND_GROWTH = 1.5
+#: Bytes of whole sets in a chunk; a tile compares two chunks.
+CHUNK_BYTES = 8 << 20
+BAND_GROWTH = 1.25
+#: Blocks left out, as a part of those needed.
+SPARE = 3
+#: Nodes in a tile's chunk, and ids that may be broadcast (8 bytes each).
+CHUNK_NODES = 4096
+MOST_SENT = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -80,18 +87,15 @@ def block_keys(own: np.ndarray, ends: np.ndarray, near: int = NEAR) -> np.ndarra
         d = int(most_apart(2 * (int(ends[k + 1]) - 1), near))
         if d == 0:
             continue
-        spare = max(1, (d + 1) // 10)
+        spare = max(1, (d + 1) // SPARE)
         blocks = d + 1 + spare
         at = ((own >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        held = np.bincount(at, minlength=blocks)
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        held = np.diff(first, append=n)
-        code = np.bitwise_xor.reduceat(common.mix64(own + _MIX[3]), first)
-        where = at[first]
-        if blocks - int((held >= 2).sum()) <= spare:
-            code, where = code[held >= 2], where[held >= 2]
-        elif len(where) < blocks:
-            empty = np.setdiff1d(np.arange(blocks), where, assume_unique=True)
-            code, where = np.concatenate([code, np.zeros(len(empty), np.uint64)]), np.concatenate([where, empty])
+        code = np.zeros(blocks, np.uint64)
+        code[at[first]] = np.bitwise_xor.reduceat(common.mix64(own + _MIX[3]), first)
+        where = np.lexsort((code, held))[spare:]
+        code = code[where]
         out.append(common.mix64(code ^ common.mix64(where.astype(np.uint64) + np.uint64(k << 40))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -219,55 +223,38 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """Pairs whose sets have J >= near / 100."""
-    a, b = (sets.select(F.col("sid").alias(c), F.col("own").alias(f"o{c}")) for c in "ab")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), near) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "oa", "ob").mapInArrow(run, "a bigint, b bigint")
-
-
-def _tiled(clouds: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """A forest of the verified links inside each cloud(sid, cloud), tile by tile."""
-    rows = common.written(clouds.join(sets, "sid").withColumn("bytes", F.octet_length("own")), "clouds")
-    chunks = rows.groupBy("cloud").agg(F.ceil(F.sum("bytes") / F.lit(CHUNK_BYTES)).cast("int").alias("c"))
-    rows = rows.join(chunks, "cloud").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select("cloud", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "own")
+def _tiled(rows: DataFrame, chunk: str, near: int, exact: bool) -> DataFrame:
+    """A forest of the links inside each cloud of rows(cloud, sid, n, sketch or own), tile by tile:
+    links by the Hamming test, or with exact by whole sets. chunk: SQL for the number of chunks."""
+    chunks = rows.groupBy("cloud").agg(F.expr(chunk).cast("int").alias("c"))
+    payload = "own" if exact else "sketch"
+    dealt = rows.join(chunks, "cloud").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select("cloud", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "n", payload)
 
     def tile(frame):
         import pandas as pd
 
-        sid, side = frame["sid"].to_numpy(), frame["i"].to_numpy()
-        sets = [np.frombuffer(o, np.uint64) for o in frame["own"]]
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        sid, side, sets = sid[order], side[order], [sets[k] for k in order]
-        n = np.array([len(s) for s in sets])
-        sketch = np.frombuffer(b"".join(map(folded, sets)), np.uint64).reshape(len(sets), -1)
-        alike = len(np.unique(side)) == 1
-        forest, out = Forest(len(sets)), []
-        upto = np.searchsorted(100 * n, n * (10_000 / near), "right")
-        for p in range(len(sets)):
-            q = np.arange(p + 1, min(len(sets), upto[p] + 1))
+        frame = frame.sort_values(["n", "sid"], kind="stable")
+        sid, side, n = (frame[c].to_numpy() for c in ("sid", "i", "n"))
+        sets = [np.frombuffer(o, np.uint64) for o in frame["own"]] if exact else []
+        sketch = np.frombuffer(b"".join(map(folded, sets)) if exact else b"".join(frame["sketch"]), np.uint64).reshape(len(sid), -1)
+        alike = side.min() == side.max()
+        forest, out = Forest(len(sid)), []
+        upto = np.searchsorted(near * n, 100 * n, "right")
+        for p in range(len(sid)):
+            q = np.arange(p + 1, upto[p])
             if not alike:
                 q = q[side[q] != side[p]]
             if not len(q):
                 continue
             for k in q[near_enough(sketch[p], sketch[q], n[p], n[q], near)].tolist():
                 x, y = forest.root(p), forest.root(k)
-                if x != y and linked(sets[p], sets[k], near):
+                if x != y and (not exact or linked(sets[p], sets[k], near)):
                     forest.up[max(x, y)] = min(x, y)
                     out.append((sid[p], sid[k]))
         return pd.DataFrame({"a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
 
-    return rows.groupBy("cloud", "x", "y").applyInPandas(tile, "a bigint, b bigint")
+    return dealt.groupBy("cloud", "x", "y").applyInPandas(tile, "a bigint, b bigint")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -282,6 +269,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[i : i + 256]], pa.int64()), pa.array([x[1] for x in rows[i : i + 256]], pa.binary())], ["sid", "own"])
 
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "sid")
     return texts.mapInArrow(run, "sid bigint, own binary").dropDuplicates(["sid"])
 
@@ -300,11 +288,15 @@ def join(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     nodes = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     nodes = common.written(nodes, "nodes")
     found = common.written(matched(exploded(nodes)).distinct(), "matches")
-    pairs = common.written(_filtered(found.filter("not large").select("a", "b"), nodes, near), "pairs")
-    clouds = common.written(components.components(found.filter("large").select("a", "b")).select(F.col("node").alias("sid"), F.col("root").alias("cloud")), "cloud-nodes")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(clouds.select("sid")).distinct()
-    sets = common.written(_whole_sets(docs, nodes.select("doc_id", "sid").join(wanted, "sid"), size), "sets")
-    links = common.written(_verified(pairs, sets, near).unionByName(_tiled(clouds, sets, near)), "verified")
+    clouds = components.components(found.filter("large").select("a", "b")).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
+    clouds = common.written(clouds.join(nodes.select("sid", "n", "sketch"), "sid"), "clouds")
+    pairs = _filtered(found.filter("not large").select("a", "b"), nodes, near)
+    possible = common.written(pairs.unionByName(_tiled(clouds, f"ceil(count(*) / {CHUNK_NODES})", near, False)), "possible")
+    groups = components.components(possible).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
+    groups = common.written(groups.join(nodes.select("sid", "n", "doc_id"), "sid"), "groups")
+    sets = _whole_sets(docs, groups.select("doc_id", "sid"), size)
+    members = common.written(groups.join(sets, "sid").select("cloud", "sid", "n", "own"), "sets")
+    links = common.written(_tiled(members, f"ceil(sum(octet_length(own)) / {CHUNK_BYTES})", near, True), "verified")
     roots = components.components(links)
     named = nodes.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
