@@ -24,7 +24,7 @@ DISCOUNT = 0.75
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of text counted or scored at once, and values that a segment is meant to hold.
 RUN_BYTES = 2 << 20
-SEGMENT_VALUES = 4_000_000
+SEGMENT_VALUES = 1_000_000
 #: Rows of the sample that places the segments' bounds (balance only; results don't depend on it).
 BOUND_ROWS = 400
 
@@ -138,7 +138,7 @@ def _level(docs: DataFrame, model: Model, order: int, folder: str, n_segments: i
             for _, _, hashes, first in tokens(batch.column(0)):
                 held.append(np.unique(_values(model, order, hashes, first), return_counts=True))
                 size += len(held[-1][0])
-                if size > 1_500_000:
+                if size > 700_000:
                     yield runs(held)
                     held, size = [], 0
         if size:
@@ -158,7 +158,7 @@ def _level(docs: DataFrame, model: Model, order: int, folder: str, n_segments: i
             for x, y in zip(batch.column("values").to_pylist(), batch.column("counts").to_pylist()):
                 waiting.append((np.cumsum(expand(x, np.uint64), dtype=np.uint64), expand(y, np.uint32)))
                 size += len(waiting[-1][0])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     v, c = merged()
                     waiting, size = [], 0
         if waiting:
