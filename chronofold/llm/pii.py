@@ -107,7 +107,7 @@ def _vector(kind: str, c: Column) -> Column:
     n, kept = F.char_length(m), lambda pattern: F.char_length(F.regexp_replace(m, pattern, ""))
     group = lambda x: F.when(x.isNull() | (x == ""), 0).when(x.rlike("^[\\x20\\t]$"), 1).when(x.rlike("^[.,;:!?]$"), 2).when(x.rlike("^[\\r\\n]$"), 3).when(x.rlike("^[0-9+]$"), 4).when(x.rlike("^\\p{L}$"), 5).otherwise(6)
     # what stands just before a span may be the part that makes a wider base span: look past it
-    before = F.regexp_replace(c["b"], "\\+?[0-9]{0,3}[\\x20.-]?$", "") if kind == "phone" else c["b"]
+    before = F.regexp_replace(c["b"], "\\+[0-9]{0,3}[\\x20.-]?$", "") if kind == "phone" else c["b"]
     values = {
         "digits": F.least(F.floor(kept("[^0-9]") / 2), F.lit(9)),
         "length": F.least(F.floor(n / 4), F.lit(9)),
