@@ -259,3 +259,39 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_http_front(spark):
+    import threading
+    import urllib.request
+
+    from chronofold.plans import http
+
+    p = points(spark, [("m", {"cluster": "c", "h": h}, t, float(t), t) for h in "xy" for t in (0, 10, 20)]).cache()
+    server = http.serve(http.Service(p, now=lambda: 30), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    body = json.dumps({"start": 0, "queries": [{"metric": "m", "aggregator": "sum", "tags": {"cluster": "c"}}]}).encode()
+    got = json.loads(urllib.request.urlopen(urllib.request.Request(f"{url}/api/query", body)).read())
+    assert got == [{"metric": "m", "tags": {}, "dps": {"0": 0.0, "10": 20.0, "20": 40.0}}]
+    assert json.loads(urllib.request.urlopen(f"{url}/api/suggest?type=tagv&q=x").read()) == ["x"]
+    assert urllib.request.urlopen(f"{url}/points/m?start=0&end=11&attrs=cluster-%3Ec;h-%3Ex&agrg=max").read() == b"{}\n0 0.0\n10 10.0\n"
+    assert json.loads(urllib.request.urlopen(f"{url}/health?metric=m&fixed_attrs=cluster-%3Ec&count_attr=h&time_interval=10").read()) == {"count1": 2, "count2": 2, "healthy": True}
+    service = http.Service(p)
+    assert service.answer("GET", "/nowhere")[0] == 404 and service.answer("POST", "/api/query", '{"start": 0, "queries": [{"metric": "m", "aggregator": "median"}]}')[0] == 400
+    server.shutdown()
+
+
+def test_entry_without_the_training_data_subpackage(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "chronofold", tmp_path / "chronofold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'interp_sum' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q), q; assert set(o) <= set(q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+        (tmp_path / "chronofold" / "llm").mkdir(exist_ok=True)
