@@ -66,11 +66,13 @@ def test_prefix_sums(spark):
         assert {r.total for r in got if r.g == g} == {at}
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("in_task", [400_000, 0])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, in_task):
+    monkeypatch.setattr(components, "MOST_IN_TASK", in_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(200, 200), (None, 3), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)} | {300: 300, 301: 300}
-    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op3_source_mixing", "op4_pii_boosting", "op5_arrow_token_files", "op9_hash_tree_sharding"])
