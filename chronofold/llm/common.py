@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SPACES = "[^\\x20\\x09-\\x0D]+"
@@ -40,21 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df_or_path, spark: SparkSession | None = None) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    if isinstance(df_or_path, DataFrame):
-        spark = df_or_path.sparkSession
-        files = df_or_path.inputFiles()
-        if not files:
-            return
-        path = files[0].rsplit("/", 1)[0]
-    else:
-        path = df_or_path
-    if "/" not in path.replace("://", "") or not path.startswith(shared_dir(spark).replace("file://", "file:")[:5]):
-        return
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more; only folders in the shared one are touched."""
+    spark = table.sparkSession
+    local = lambda x: re.sub("^file:/+", "/", x)
+    base = local(shared_dir(spark)) + "/"
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        if local(folder).startswith(base):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,5 +199,3 @@ def runs_of(offsets: np.ndarray, most_bytes: int):
         yield i, j
         i = j
 
-
-LONG = T.LongType()

@@ -211,14 +211,13 @@ def to_block(rows: list, size: int) -> Block:
     return Block(vocab, wide, lengths, np.array(owner, np.int32), names)
 
 
-def blocks(items: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """items in blocks of about block_words, read to the driver one at a time."""
+def blocks(items: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[Block]]:
+    """How many blocks of about block_words the items make, and the blocks, read to the driver one at a time."""
     words = common.written(query_words(items), "query-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // block_words)) if total > block_words else 1
-    for i in range(n):
-        mine = words if n == 1 else words.filter(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n)) == i)
-        yield to_block([(r.item_id, r.hashes) for r in mine.select("item_id", "hashes").toLocalIterator()], size)
+    n = 1 if total <= block_words else -(-2 * total // block_words)
+    part = lambda i: words if n == 1 else words.filter(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n)) == i)
+    return n, (to_block([(r.item_id, r.hashes) for r in part(i).select("item_id", "hashes").toLocalIterator()], size) for i in range(n))
 
 
 HITS = "segment long, bits binary, docs array<int>, items array<string>"
@@ -263,16 +262,20 @@ def _rows(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def search(index: DataFrame, queries: list[Block]) -> DataFrame:
-    """FOUND rows: for every indexed document its words, hit words, items and hit spans (word offsets)."""
+def search(index: DataFrame, queries: Iterator[Block], n: int) -> DataFrame:
+    """FOUND rows: for every indexed document its words, hit words, items and hit spans (word offsets).
+
+    One block is broadcast and answered in one pass. Of several, each is broadcast in turn, its
+    hits by segment are written, and a last pass merges them.
+    """
     sc = index.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in queries]
-    if len(sent) == 1:
+    if n == 1:
+        sent = sc.broadcast(next(iter(queries)))
 
         def whole(batches):
             for row in _rows(batches):
                 segment = Segment(row)
-                yield _reported(segment, *_search(segment, sent[0].value))
+                yield _reported(segment, *_search(segment, sent.value))
 
         return index.mapInArrow(whole, FOUND)
 
@@ -287,8 +290,9 @@ def search(index: DataFrame, queries: list[Block]) -> DataFrame:
         return run
 
     hits = None
-    for block in sent:
+    for block in map(sc.broadcast, queries):
         own = common.written(index.mapInArrow(part(block), HITS), "query-hits")
+        block.unpersist()
         hits = own if hits is None else hits.unionByName(own)
     hits = hits.groupBy("segment").agg(F.collect_list("bits").alias("bits"), F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("items")).alias("items"))
 
@@ -312,10 +316,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_w
     count once. Without documents the result is empty; without items nothing is hit. Other columns
     are ignored.
     """
-    queries = list(blocks(items, size, block_words))
-    vocab = np.unique(np.concatenate([b.vocab for b in queries]))
-    index = common.written(build_index(docs, vocab), "postings")
-    return search(index, queries)
+    n, queries = blocks(items, size, block_words)
+    if n == 1:
+        queries = list(queries)
+    index = common.written(build_index(docs, queries[0].vocab if n == 1 else None), "postings")
+    return search(index, queries, n)
 
 
 def near(index: DataFrame, terms: list[str], slop: int) -> DataFrame:
