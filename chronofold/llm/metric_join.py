@@ -156,7 +156,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     labelled = labelled.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     member = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("e"))
     least = member.filter("label is not null and vec_id is not null and e is not null").groupBy("label", "e").agg(F.min("vec_id").alias("node"))
-    own = member.join(least, ["label", "e"], "left").select("vec_id", "node").join(labelled, "node", "left")
+    own = member.join(least, ["label", "e"], "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("node")).alias("node")).join(labelled, "node", "left")
     return own.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
 
 
