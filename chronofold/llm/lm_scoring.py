@@ -23,7 +23,7 @@ DISCOUNT = 0.75
 #: Hash of the end token: a fixed value.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of text counted or scored at once, and values that a segment is meant to hold.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 SEGMENT_VALUES = 1_000_000
 #: Rows of the sample that places the segments' bounds (balance only; results don't depend on it).
 BOUND_ROWS = 400
@@ -158,7 +158,7 @@ def _level(docs: DataFrame, model: Model, order: int, folder: str, n_segments: i
             for x, y in zip(batch.column("values").to_pylist(), batch.column("counts").to_pylist()):
                 waiting.append((np.cumsum(expand(x, np.uint64), dtype=np.uint64), expand(y, np.uint32)))
                 size += len(waiting[-1][0])
-                if size > 1_000_000:
+                if size > 500_000:
                     v, c = merged()
                     waiting, size = [], 0
         if waiting:

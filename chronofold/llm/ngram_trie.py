@@ -16,6 +16,8 @@ import re
 import numpy as np
 
 BLOCK = 64
+#: Queries that a sequence answers at once.
+QUERIES = 1 << 15
 _OPEN: dict[str, "Segment"] = {}
 
 _ZEROS = np.array([[k for k in range(8) if not b >> k & 1] + [0] * bin(b).count("1") for b in range(256)], np.uint8)
@@ -64,9 +66,9 @@ class Sequence:
 
     def _zero(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero (from 0) in each row of 24 bytes."""
-        upto = np.cumsum(_N_ZEROS[rows], axis=1, dtype=np.int32)
-        byte = (upto <= k[:, None]).sum(axis=1)
-        before = np.where(byte > 0, upto[np.arange(len(k)), np.maximum(byte - 1, 0)], 0)
+        upto = np.cumsum(_N_ZEROS[rows], axis=1, dtype=np.uint8)  # at most 192
+        byte = (upto <= k.astype(np.uint8)[:, None]).sum(axis=1)
+        before = np.where(byte > 0, upto[np.arange(len(k)), np.maximum(byte - 1, 0)], 0).astype(np.int64)
         return byte * 8 + _ZEROS[rows[np.arange(len(k)), byte], k - before]
 
     def _low(self, block: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -78,7 +80,13 @@ class Sequence:
         return low & ((np.uint64(1) << w.astype(np.uint64)) - np.uint64(1))
 
     def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of values below q, whether q is there) of uint64 queries."""
+        """(number of values below q, whether q is there) of uint64 queries, QUERIES at a time."""
+        if len(q) <= QUERIES:
+            return self._search(q)
+        parts = [self._search(q[i : i + QUERIES]) for i in range(0, len(q), QUERIES)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, found = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
         if not self.n or not len(q):
             return rank, found
