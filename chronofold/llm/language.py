@@ -14,6 +14,8 @@ SAMPLE_ROWS = 500
 #: Of held-back rows that the model doesn't reject, at least this share is right.
 KEPT_ACCURACY = 0.99
 UNKNOWN = "und"
+#: The rejection level at most: a text of two languages, near a half of each, is not rejected.
+MOST_LEVEL = 0.35
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> subword.Model:
@@ -38,7 +40,7 @@ def rejection(model: subword.Model, texts: list[str], langs: list[str]) -> float
     kept = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(kept >= KEPT_ACCURACY)
     chance = 1 / len(model.classes)
-    return float(min(max(chance, top[order][good[-1]] if len(good) else 0.5), 0.5))
+    return float(min(max(chance, top[order][good[-1]] if len(good) else MOST_LEVEL), MOST_LEVEL))
 
 
 def predict(docs: DataFrame, model: subword.Model) -> DataFrame:
