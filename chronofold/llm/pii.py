@@ -3,8 +3,10 @@
 Base patterns give spans that always stay. High-recall generators propose further, overlapping
 spans of looser formats. Boosted trees score them by format and context. They learn from the base
 spans without being told what made these valid: a candidate that overlaps a valid base span of its
-kind is positive, any other negative, and the features leave out the checks (Luhn, octets, plus).
-Features are small integers, so the training data are counts by distinct feature vector: Spark
+kind is right; one that fails a check of its kind (Luhn, octets, length, domain), stands in a decoy
+context or lies on a valid span of another kind is wrong; any other is unlabelled. Only right and
+wrong ones are fitted and calibrated on, and unlabelled ones over the threshold are added, so how
+common they are does not matter. The features leave out the checks. Features are small integers, so the training data are counts by distinct feature vector: Spark
 counts them over all candidates of all documents, the driver boosts on that bounded table, and the
 trees go back into the plan as CASE expressions. Thresholds come from documents held back.
 
@@ -32,15 +34,27 @@ BASE = {
 }
 #: Generators: wider formats, each with its own bounded repeats.
 LOOSE = {
-    "email": ["(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[\\x20]?(?:@|[(\\[]at[)\\]])[\\x20]?[A-Za-z0-9-]{1,63}+(?:[\\x20]?(?:\\.|[(\\[]dot[)\\]])[\\x20]?[A-Za-z0-9-]{1,63}+){1,8}"],
-    "ip": ["(?<![0-9.])[0-9]{1,5}+(?:[.,\\[\\]]{1,3}[0-9]{1,5}+){3}(?![0-9])"],
-    "card": ["(?<![0-9])[0-9](?:[\\x20.-]?[0-9]){11,18}(?![0-9])"],
-    "phone": ["(?<![0-9])\\(?[0-9]{2,4}\\)?[\\x20.-][0-9]{3}[\\x20.-][0-9]{4}(?![0-9])"],
+    "email": ["(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[\\x20]?(?:@|[(\\[]at[)\\]])[\\x20]?[A-Za-z0-9-]{1,63}+(?:[\\x20]?(?:\\.|[(\\[]dot[)\\]])[\\x20]?[A-Za-z0-9-]{1,63}+){1,8}",
+              "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\\x20at\\x20[A-Za-z0-9-]{1,63}+(?:\\x20dot\\x20[A-Za-z0-9-]{1,63}+){1,8}"],
+    "ip": ["(?<![0-9.])[0-9]{1,5}+(?:[.,\\[\\]]{1,3}[0-9]{1,5}+){3}(?![0-9])",
+           "(?<![0-9.])[0-9]{1,5}+(?:\\x20?[(\\[](?:dot|\\.)[)\\]]\\x20?[0-9]{1,5}+){3}(?![0-9])"],
+    "card": ["(?<![0-9])[0-9](?:[\\x20.-]?[0-9]){11,18}(?![0-9])",
+             "(?<![0-9])[0-9]{4}(?:[\\x20._/-]{1,2}[0-9]{4}){3}(?![0-9])"],
+    "phone": ["(?<![0-9])\\(?[0-9]{2,4}\\)?[\\x20.-][0-9]{3}[\\x20.-][0-9]{4}(?![0-9])",
+              "(?<![0-9])\\([0-9]{2,5}\\)\\x20?[0-9]{3,4}[\\x20.-]?[0-9]{3,4}(?![0-9])",
+              "(?<![0-9])0[0-9]{1,4}[\\x20/.-][0-9]{2,4}(?:[\\x20.-]?[0-9]{2,4}){1,3}(?![0-9])"],
 }
 #: A cheap test that a kind's patterns can match at all.
-NEEDS = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9][.,\\[]", "card": "[0-9][\\x20.-]?[0-9]", "phone": "[0-9]"}
+NEEDS = {"email": "@|[(\\[]at[)\\]]|\\x20dot\\x20", "ip": "[0-9][.,\\[]|[0-9]\\x20?[(\\[]", "card": "[0-9][\\x20.-]?[0-9]", "phone": "[0-9]"}
 #: Words before a span that tell its kind: fixed values.
 HINTS = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|credit|pay", "phone": "tel|phone|call|fax|mobile"}
+#: The last word before a span that is no personal data.
+DECOY = "(?i)(?:^|[^\\p{L}])(?:version|ver|v|rev|build|release|section|chapter|order|invoice|isbn|issn|serial|sku|part|code|ref|item|lot|batch|model|article|id|no)[^\\p{L}]*$"
+#: Candidates known to be wrong that are counted beside a corpus's own, which may have none.
+DECOYS = (
+    "take 2 @ 3.50 or 12 @ 10.75", "300 @ 1.25.00", "section 10.300.2.999 and 1,234,567,890", "version 2.500.3.700, build 10.20.300.4000",
+    "order 1234 5678 9012 3456, serial 9876543210987654", "isbn 9780306406157x", "part 212-555-0100x, code 12-345-6789x", "serial 000 000 0000, ref (000) 000-0000a",
+)
 FEATURES = ("digits", "length", "separators", "brackets", "letters", "before", "after", "hint", "repeats", "first")
 ROUNDS, RATE, DEPTH, BINS = 40, 0.3, 3, 6
 #: Share of right spans above a threshold, on documents held back; distinct feature vectors at most.
@@ -101,13 +115,18 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _before(kind: str, c: Column) -> Column:
+    """The text before a candidate. What stands just there may be the part that makes a wider base
+    span: it is looked past."""
+    return F.regexp_replace(c["b"], "\\+[0-9]{0,3}[\\x20.-]?$", "") if kind == "phone" else c["b"]
+
+
 def _vector(kind: str, c: Column) -> Column:
     """A candidate's features: integers from 0 to 9."""
     m = c["m"]
     n, kept = F.char_length(m), lambda pattern: F.char_length(F.regexp_replace(m, pattern, ""))
     group = lambda x: F.when(x.isNull() | (x == ""), 0).when(x.rlike("^[\\x20\\t]$"), 1).when(x.rlike("^[.,;:!?]$"), 2).when(x.rlike("^[\\r\\n]$"), 3).when(x.rlike("^[0-9+]$"), 4).when(x.rlike("^\\p{L}$"), 5).otherwise(6)
-    # what stands just before a span may be the part that makes a wider base span: look past it
-    before = F.regexp_replace(c["b"], "\\+[0-9]{0,3}[\\x20.-]?$", "") if kind == "phone" else c["b"]
+    before = _before(kind, c)
     values = {
         "digits": F.least(F.floor(kept("[^0-9]") / 2), F.lit(9)),
         "length": F.least(F.floor(n / 4), F.lit(9)),
@@ -123,11 +142,39 @@ def _vector(kind: str, c: Column) -> Column:
     return F.struct(*[values[f].cast("int").alias(f) for f in FEATURES])
 
 
+def known_wrong(kind: str, c: Column) -> Column:
+    """Whether a candidate that overlaps no base span of its kind fails a check or stands in a decoy context."""
+    m, d = c["m"], digits_of(c["m"])
+    if kind == "email":
+        domain = F.lower(m).rlike("(?:\\.|dot)[)\\]]?\\x20?(?:[a-z]{2,63}|xn--[a-z0-9-]+)$")
+        return ~domain | m.rlike("^\\.|\\.\\.|\\.[\\x20]?(?:@|[(\\[]at[)\\]])")
+    before = _before(kind, c)
+    decoy = F.regexp_replace(before, "[\\x20(]+$", "").rlike(DECOY) | F.right(before, F.lit(1)).rlike("\\p{L}") | c["a"].rlike("^\\p{L}") | d.rlike("^([0-9])\\1+$")
+    n = F.char_length(d)
+    if kind == "card":
+        return decoy | ~n.between(12, 19) | ~luhn(d)
+    if kind == "phone":
+        return decoy | ~n.between(7, 15)
+    octets = F.filter(F.split(m, "[^0-9]+"), lambda p: p != "")
+    return decoy | m.rlike("^[0-9]{1,3}(?:,[0-9]{3}){3}$") | ~F.forall(octets, lambda p: p.cast("int") <= 255)
+
+
+def with_decoys(docs: DataFrame) -> DataFrame:
+    """doc_id, text and fold of docs, and rows of DECOYS, ten of each, with a fold under 0 or (held back) of 0 and decoy set."""
+    own = docs.select("doc_id", "text", common.fold_of(F.col("doc_id"), 5).cast("int").alias("fold"), F.lit(False).alias("decoy"))
+    texts, n = F.array(*map(F.lit, DECOYS)), len(DECOYS)
+    more = docs.sparkSession.range(0, 10 * n, 1, 1).select(
+        F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.get(texts, (F.col("id") % n).cast("int")).alias("text"),
+        F.when(F.col("id") < 2 * n, 0).otherwise(-1).alias("fold"), F.lit(True).alias("decoy"),
+    )
+    return own.unionByName(more)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, fold, and per kind: base_<kind> (valid spans) and loose_<kind> (candidates with
-    features f and the label y)."""
+    """doc_id, fold, decoy, and per kind: base_<kind> (valid spans) and loose_<kind> (candidates with
+    features f, y where they overlap a valid base span, and w where they are known to be wrong)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("text"), common.fold_of(F.col("doc_id"), 5).cast("int").alias("fold"))
+    rows = with_decoys(docs).withColumn("text", text)
     columns = {}
     for kind in KINDS:
         usable = F.when(F.col("text").rlike(NEEDS[kind]), F.col("text")).otherwise(F.lit(""))
@@ -143,16 +190,26 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def judged(k):
         every = F.concat(*[F.col(f"q_{k}{i}") for i in range(len(LOOSE[k]))])
-        return F.transform(every, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _vector(k, c).alias("f"), F.exists(F.col(f"base_{k}"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("y")))
+        on = lambda kind, c: F.exists(F.col(f"base_{kind}"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+
+        def one(c):
+            wrong = known_wrong(k, c)
+            for other in KINDS:
+                wrong = wrong | on(other, c) if other != k else wrong
+            right = on(k, c)
+            return F.struct(c["s"].alias("s"), c["e"].alias("e"), _vector(k, c).alias("f"), right.alias("y"), (~right & wrong).alias("w"))
+
+        return F.array_distinct(F.transform(every, one))
 
-    return rows.select("doc_id", "fold", *[f"base_{k}" for k in KINDS], *[judged(k).alias(f"loose_{k}") for k in KINDS])
+    return rows.select("doc_id", "fold", "decoy", *[f"base_{k}" for k in KINDS], *[judged(k).alias(f"loose_{k}") for k in KINDS])
 
 
 def counted(found: DataFrame) -> list:
-    """(kind, held, y, f..., n): candidates of all documents by feature vector; at most MOST_VECTORS rows."""
+    """(kind, held, y, f..., n): right and wrong candidates of all documents by feature vector; at
+    most MOST_VECTORS rows."""
     parts = None
     for k in KINDS:
-        own = found.select(F.lit(k).alias("kind"), (F.col("fold") == 0).alias("held"), F.explode(f"loose_{k}").alias("c")).select("kind", "held", F.col("c.y").alias("y"), "c.f.*")
+        own = found.select(F.lit(k).alias("kind"), (F.col("fold") == 0).alias("held"), F.explode(f"loose_{k}").alias("c")).filter("c.y or c.w").select("kind", "held", F.col("c.y").alias("y"), "c.f.*")
         parts = own if parts is None else parts.unionByName(own)
     rows = parts.groupBy("kind", "held", "y", *FEATURES).agg(F.count("*").alias("n"))
     out = rows.orderBy(F.desc("n"), "kind", "held", "y", *FEATURES).limit(MOST_VECTORS + 1).collect()
@@ -254,11 +311,11 @@ def fit(found: DataFrame) -> dict[str, Booster]:
 
 
 def selected(kind: str, model: Booster) -> Column:
-    """Candidates above the threshold that overlap no base span, the leftmost of overlapping ones."""
+    """Unlabelled candidates above the threshold; of overlapping ones the leftmost, then the longest."""
     if math.isinf(model.threshold):
         return F.array().cast("array<struct<s:bigint,e:bigint>>")
-    chosen = F.filter(F.col(f"loose_{kind}"), lambda c: ~c["y"] & (model.column(c["f"]) >= model.threshold))
-    plain = F.array_sort(F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))))
+    chosen = F.filter(F.col(f"loose_{kind}"), lambda c: ~c["y"] & ~c["w"] & (model.column(c["f"]) >= model.threshold))
+    plain = F.transform(F.array_sort(F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e")))), lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e")))
     return F.aggregate(plain, F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda acc, c: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > c["s"]), acc).otherwise(F.concat(acc, F.array(c))))
 
 
@@ -281,7 +338,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     found = common.written(candidates(docs), "candidates")
     models = fit(found)
-    found = found.withColumns({f"extra_{k}": selected(k, models[k]) for k in KINDS})
+    found = found.filter("not decoy").withColumns({f"extra_{k}": selected(k, models[k]) for k in KINDS})
     found = found.withColumns({f"both_{k}": F.concat(f"base_{k}", f"extra_{k}") for k in KINDS})
     return found.select("doc_id", *[f"base_{k}" for k in KINDS], _kinds("base").alias("base"), _kinds("both").alias("all"))
 

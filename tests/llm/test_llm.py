@@ -261,6 +261,30 @@ def test_pii_boosting_adds_like_spans(spark):
     assert spans[5000] == "phone:18:32" and spans[1000] == ""
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5])
+def test_pii_boosting_adds_common_non_base_spans(spark, share):
+    rng = random.Random(6)
+    number = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    n = int(400 * share)
+    rows = [(i, f"please call me at {'' if i < n else '+1 '}{number()} today") for i in range(400)]
+    rows += [(1000 + i, f"see order {number()} there") for i in range(40)] + [(2000, "write to jo [at] mail [dot] org")]
+    rows += [(3000 + i, f"write to jo{i}@mail.org") for i in range(40)] + [(4000 + i, f"pay 2 @ {i}.50 now") for i in range(40)]
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.detect(docs(spark, rows))).collect()}
+    assert sum(spans[i].startswith("phone:18:") for i in range(n)) >= 0.9 * n
+    assert not any(spans[1000 + i] or spans[4000 + i] for i in range(40))
+    assert spans[2000] == "email:9:31"
+
+
+def test_pii_known_wrong(spark):
+    texts = ["4111 1111 1111 1112", "4111.1111.1111.1111", "1[.]2[.]3[.]999", "1[.]2[.]3[.]99", "1,234,567,890", "version 1,2,3,4", "order 212-555-0100", "tel 212-555-0100", "a [at] b [dot] c3", "a [at] b [dot] com", "0171/5551234"]
+    found = {r.doc_id: r for r in pii.candidates(docs(spark, list(enumerate(texts)))).filter("not decoy").collect()}
+    state = lambda i, k: {"right" if c.y else "wrong" if c.w else "open" for c in found[i][f"loose_{k}"]}
+    assert state(0, "card") == {"wrong"} and state(1, "card") == {"open"}
+    assert [state(i, "ip") for i in (2, 3, 4, 5)] == [{"wrong"}, {"open"}, {"wrong"}, {"wrong"}]
+    assert [state(i, "phone") for i in (6, 7, 10)] == [{"wrong"}, {"open"}, {"open"}]
+    assert state(8, "email") == {"wrong"} and state(9, "email") == {"open"}
+
+
 def test_boosting_fits_counts():
     v = lambda *x: tuple(x) + (0,) * (len(pii.FEATURES) - len(x))
     counts = [(v(a, b), held, (a > 2) != (b > 1), 20) for a in range(5) for b in range(4) for held in (False, True)]
