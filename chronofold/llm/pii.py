@@ -57,7 +57,8 @@ DECOYS = (
 )
 FEATURES = ("digits", "length", "separators", "brackets", "letters", "before", "after", "hint", "repeats", "first")
 ROUNDS, RATE, DEPTH, BINS = 40, 0.3, 3, 6
-#: Share of right spans above a threshold, on documents held back; distinct feature vectors at most.
+#: Share of right spans above a threshold, on documents held back; distinct feature vectors on the
+#: driver at most: past it, features are halved until they fit. Three times leaves 2**7 * 2 vectors.
 PRECISION = 0.98
 MOST_VECTORS = 200_000
 CONTEXT = 24
@@ -204,18 +205,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "fold", "decoy", *[f"base_{k}" for k in KINDS], *[judged(k).alias(f"loose_{k}") for k in KINDS])
 
 
-def counted(found: DataFrame) -> list:
-    """(kind, held, y, f..., n): right and wrong candidates of all documents by feature vector; at
-    most MOST_VECTORS rows."""
+def counted(found: DataFrame) -> tuple[list, int]:
+    """(kind, held, y, f..., n): right and wrong candidates of all documents by feature vector, and
+    by how many bits features are coarsened: the least that gives at most MOST_VECTORS rows."""
     parts = None
     for k in KINDS:
         own = found.select(F.lit(k).alias("kind"), (F.col("fold") == 0).alias("held"), F.explode(f"loose_{k}").alias("c")).filter("c.y or c.w").select("kind", "held", F.col("c.y").alias("y"), "c.f.*")
         parts = own if parts is None else parts.unionByName(own)
-    rows = parts.groupBy("kind", "held", "y", *FEATURES).agg(F.count("*").alias("n"))
-    out = rows.orderBy(F.desc("n"), "kind", "held", "y", *FEATURES).limit(MOST_VECTORS + 1).collect()
-    if len(out) > MOST_VECTORS:
-        raise ValueError("more distinct feature vectors than the features allow for")
-    return out
+    for bits in range(4):
+        coarse = [F.shiftright(f, bits).alias(f) if f != "hint" else F.col(f) for f in FEATURES]
+        rows = parts.select("kind", "held", "y", *coarse).groupBy("kind", "held", "y", *FEATURES).agg(F.count("*").alias("n"))
+        out = rows.orderBy(F.desc("n"), "kind", "held", "y", *FEATURES).limit(MOST_VECTORS + 1).collect()
+        if len(out) <= MOST_VECTORS:
+            break
+    return out, bits
 
 
 # ---- boosting on counts -------------------------------------------------------------------
@@ -253,6 +256,14 @@ def value(tree, v: tuple) -> float:
     return tree
 
 
+def refined(tree, bits: int):
+    """A tree over features coarsened by bits as one over the features themselves."""
+    if not isinstance(tree, tuple):
+        return tree
+    f, upto, left, right = tree
+    return f, upto if FEATURES[f] == "hint" else ((upto + 1) << bits) - 1, refined(left, bits), refined(right, bits)
+
+
 class Booster:
     """Boosted trees of one kind with a calibrated threshold; margin() in Python, column() in SQL."""
 
@@ -306,8 +317,11 @@ def boost(counts: list[tuple[tuple, bool, bool, int]]) -> Booster:
 
 
 def fit(found: DataFrame) -> dict[str, Booster]:
-    rows = counted(found)
-    return {k: boost([(tuple(r[f] for f in FEATURES), r.held, r.y, r.n) for r in rows if r.kind == k]) for k in KINDS}
+    rows, bits = counted(found)
+    models = {k: boost([(tuple(r[f] for f in FEATURES), r.held, r.y, r.n) for r in rows if r.kind == k]) for k in KINDS}
+    for model in models.values():
+        model.trees = [refined(t, bits) for t in model.trees]
+    return models
 
 
 def selected(kind: str, model: Booster) -> Column:

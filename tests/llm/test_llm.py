@@ -285,6 +285,20 @@ def test_pii_known_wrong(spark):
     assert state(8, "email") == {"wrong"} and state(9, "email") == {"open"}
 
 
+def test_pii_coarsens_features_past_the_bound(spark, monkeypatch):
+    rng = random.Random(8)
+    number = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    table = docs(spark, [(i, f"call me at {'' if i % 5 == 0 else '+1 '}{number()} today") for i in range(100)] + [(200 + i, f"{'x' * (i % 9)} code {rng.randint(10, 99)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}x") for i in range(40)])
+    found = common.written(pii.candidates(table), "t")
+    fine, bits = pii.counted(found)
+    assert bits == 0
+    monkeypatch.setattr(pii, "MOST_VECTORS", len(fine) - 1)
+    coarse, bits = pii.counted(found)
+    assert bits > 0 and len(coarse) < len(fine) and sum(r.n for r in coarse) == sum(r.n for r in fine)
+    assert pii.refined((0, 1, -1.0, 1.0), 2) == (0, 7, -1.0, 1.0)
+    assert pii.digest(pii.detect(table)).filter("n_phone > 0").count() == 80
+
+
 def test_boosting_fits_counts():
     v = lambda *x: tuple(x) + (0,) * (len(pii.FEATURES) - len(x))
     counts = [(v(a, b), held, (a > 2) != (b > 1), 20) for a in range(5) for b in range(4) for held in (False, True)]
