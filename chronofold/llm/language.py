@@ -21,10 +21,11 @@ MOST_LEVEL = 0.35
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> subword.Model:
     """Learn from text and lang of docs(doc_id, text, lang, ...) outside the held-out fold."""
     rows = docs.filter("lang is not null and text is not null").filter(common.fold_of(F.col("doc_id"), 4) != 2).select("doc_id", "lang", "text")
-    sample = subword.drawn(rows, F.col("doc_id"), sample_rows, "lang").select("doc_id", "lang", "text")
-    sample = sorted((r.lang, r.doc_id, r.text) for r in sample.toLocalIterator() if subword.has_letter(r.text))
-    model = subword.train([r[2] for r in sample], [r[0] for r in sample], FEATURES, epochs=5)
-    model.reject_below = rejection(model, [r[2] for r in sample], [r[0] for r in sample])
+    # by id and text, as ids may be null or repeated (a hash leaves nulls out)
+    sample = subword.drawn(rows, F.xxhash64("doc_id", "text"), sample_rows, "lang").select("doc_id", "lang", "text")
+    sample = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.text) for r in sample.toLocalIterator() if subword.has_letter(r.text))
+    model = subword.train([r[3] for r in sample], [r[0] for r in sample], FEATURES, epochs=5)
+    model.reject_below = rejection(model, [r[3] for r in sample], [r[0] for r in sample])
     return model
 
 

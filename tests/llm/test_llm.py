@@ -161,6 +161,14 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(docs(spark, [(1, "a b")]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_fits_on_null_and_repeated_ids(spark):
+    rows = ODD + [(4, "the cat"), (None, "the dog")] + [(None, f"the man and the cat {i}") for i in range(2000)]
+    assert language.identify(docs(spark, rows)).count() == len(rows)
+    named = docs(spark, rows).filter("text is not null")
+    drawn = subword.drawn(named, F.xxhash64("doc_id", "text"), 500, "lang").count()
+    assert 350 < drawn < 650
+
+
 def test_toxicity_learns_words_and_unseen_spellings():
     rng = random.Random(3)
     stems = ["".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
