@@ -1,4 +1,4 @@
-"""Structured Streaming: lines to stored points with fail-over, replay of the drop, rollups."""
+"""Structured Streaming: lines to stored points with fail-over, rollups."""
 
 from __future__ import annotations
 
