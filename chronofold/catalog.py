@@ -445,7 +445,7 @@ def streaming_rollup(spark, sf_dir):
     own = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     own.write.parquet(source)
     ahead = own.limit(1).select("event_id", F.expr("timestamp_ntz'2030-01-01 00:00:00'").alias("ts"), "user_id", "event_type", "value", "props")
-    rows = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    rows = spark.readStream.schema(own.schema).parquet(source)
     started = lambda: ingest.rollup_stream(model.event_points(rows), rollup.HOUR).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     started().awaitTermination()
     ahead.write.mode("append").parquet(source)

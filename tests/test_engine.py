@@ -295,3 +295,19 @@ def test_entry_without_the_training_data_subpackage(tmp_path):
     for _ in range(2):
         subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
         (tmp_path / "chronofold" / "llm").mkdir(exist_ok=True)
+
+
+def test_streaming_rollup_keeps_points_of_many_files(spark, tmp_path):
+    from chronofold import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1010)
+    sf = str(tmp_path)
+    rows.repartition(1010, "event_id").sortWithinPartitions("ts").write.option("maxRecordsPerFile", 1).parquet(f"{sf}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64KB")
+    try:
+        got = catalog.streaming_rollup(spark, sf).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    points = catalog._points(spark, sf)
+    assert got == points.select("metric", "series_key", F.expr("ts - ts % 3600")).distinct().count()
