@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
@@ -42,16 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more; only folders in the shared one are touched."""
-    spark = table.sparkSession
+    remove(table.sparkSession, *{f.rsplit("/", 1)[0] for f in table.inputFiles()})
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that lie in the shared one."""
     local = lambda x: re.sub("^file:/+", "/", x)
     base = local(shared_dir(spark)) + "/"
-    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
     for folder in folders:
         if local(folder).startswith(base):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession, *folders: str) -> None:
+    """After a written step: delete its scratch folders, and let Spark drop the shuffle files of
+    plans that nothing refers to (it does so when the driver's garbage is collected)."""
+    remove(spark, *folders)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

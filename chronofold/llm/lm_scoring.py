@@ -1,342 +1,423 @@
 """Language-model scores of texts from an Elias-Fano n-gram trie.
 
-Interpolated absolute discounting over words, bigrams and trigrams. Levels are built one after the
-other: tasks count a level's values in their texts, sorted and summed, and send them as compressed
-runs to the segment that holds the range of values; a segment sums its runs and writes its file.
-The next level names its contexts by the nodes of the level before. Scoring maps the files.
-The driver sees only the list of segments.
+Interpolated absolute discounting over words, bigrams and trigrams. The corpus is cut into runs of
+some megabytes of text, each kept as numbers of its own sorted dictionary. Level by level, a run
+sends its distinct values, sorted and with their training counts, to the segments that hold their
+ranges; a segment merges what it gets, writes its part of the level to a file, searches the values
+in it, and answers each run in the run's own order. So a segment is opened by one task, tasks hold
+one run or one segment, whatever the size of the corpus, and nothing is collected by the driver.
+
+Values are (context, successor): for words the context is empty and the successor the word's hash;
+for bigrams both are word numbers; for trigrams the context is a bigram's node and the successor
+the rank of the last word among the successors of the middle one. The next level's segment of a
+context follows from running sums of the contexts' occurrences, so that segments have about
+SEGMENT_VALUES values; a context with more is split over several by its successors, and the sums
+of such a context are put together from the parts.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, ngram_trie
 
 DISCOUNT = 0.75
 #: Hash of the end token: a fixed value.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-#: Bytes of text counted or scored at once, and values that a segment is meant to hold.
-RUN_BYTES = 1 << 19
-SEGMENT_VALUES = 1_000_000
-#: Rows of the sample that places the segments' bounds (balance only; results don't depend on it).
-BOUND_ROWS = 400
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Bytes of an array, transposed so that like bytes are together, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
-
-
-def expand(raw: bytes, dtype) -> np.ndarray:
-    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
-
-
-def tokens(column):
-    """(first text, end text, hashes, first token of each text) in runs: each text's words and its end."""
-    data, offsets = common.text_buffers(column)
-    for i, j in common.runs_of(offsets, RUN_BYTES):
-        w = common.word_hashes(data, offsets[i : j + 1], common.SPACE_WORD)
-        n = np.diff(w.first)
-        ends = np.cumsum(n + 1) - 1
-        out = np.empty(len(w.hashes) + j - i, np.uint64)
-        out[ends] = END
-        inside = np.ones(len(out), bool)
-        inside[ends] = False
-        out[inside] = np.where(w.hashes == END, END + np.uint64(1), w.hashes)
-        yield i, j, out, np.concatenate([[0], ends + 1])
-
-
-@dataclass
-class Model:
-    """levels[k] has the (k + 1)-grams; n tokens, v distinct ones; widths to name successors."""
-
-    levels: list[ngram_trie.Level]
-    n: int
-    v: int
-    width: int = 1
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / (self.n + 0.5 * (self.v + 1)))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers; -1 for unknown words."""
-        rank, found = self.levels[0].search(hashes)
-        return np.where(found, rank, -1)
-
-    def second(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Values of the bigrams that end at each token; those without one are left out: (token, value)."""
-        ok = np.ones(len(word), bool)
-        ok[first[:-1]] = False
-        at = np.flatnonzero(ok)
-        at = at[(word[at] >= 0) & (word[at - 1] >= 0)]
-        return at, word[at - 1].astype(np.uint64) * np.uint64(self.v) + word[at].astype(np.uint64)
-
-    def nodes(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Bigram nodes by token; -1 without one."""
-        at, value = self.second(word, first)
-        out = np.full(len(word), -1, np.int64)
-        rank, found = self.levels[1].search(value)
-        out[at] = np.where(found, rank, -1)
-        return out
-
-    def third(self, word: np.ndarray, node: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, value) of the trigrams whose two bigrams are known."""
-        ok = np.zeros(len(word), bool)
-        ok[1:] = (node[1:] >= 0) & (node[:-1] >= 0)
-        at = np.flatnonzero(ok)
-        relative = node[at] - self.levels[0].gather("child", word[at - 1], ".extra").astype(np.int64) if len(at) else at
-        return at, node[at - 1].astype(np.uint64) * np.uint64(self.width) + relative.astype(np.uint64)
-
-
-def _values(model: Model, order: int, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    if order == 1:
-        return hashes
-    word = model.ids(hashes)
-    if order == 2:
-        return model.second(word, first)[1]
-    return model.third(word, model.nodes(word, first), first)[1]
-
-
-def _level(docs: DataFrame, model: Model, order: int, folder: str, n_segments: int) -> ngram_trie.Level:
-    """Count the values of an order over docs(text) and write its segments: sequence and counts."""
-    bounds = np.zeros(1, np.uint64)
-    if n_segments > 1:
-        sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(_share(docs, BOUND_ROWS))).select("text")
-
-        def some(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                for _, _, hashes, first in tokens(batch.column(0)):
-                    v = _values(model, order, hashes, first)[::7]
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary())], ["v"])
-
-        got = np.sort(np.concatenate([np.zeros(1, np.uint64), *(np.frombuffer(r.v, np.uint64) for r in sample.mapInArrow(some, "v binary").collect())]))
-        bounds = np.unique(np.concatenate([np.zeros(1, np.uint64), got[(np.arange(1, n_segments) * len(got)) // n_segments]]))
-
-    def count(batches):
-        import pyarrow as pa
+#: Bytes of text in a run (a longer text is a run of its own), and values that a segment is meant to hold.
+RUN_BYTES = (1 << 22) - 8
+SEGMENT_VALUES = 3_000_000
+
+RUNS = "run bigint, file string, at int, entries bigint"
+#: What a run asks of a segment: values relative to the context `base`, training counts, other counts, lower-order codes.
+ASKED = "segment bigint, run bigint, file string, at int, state string, base bigint, width bigint, values binary, train binary, rest binary, lower binary"
+#: A segment: nodes, training tokens, all tokens, the most successors of a context, and of its first and last context the parts held here.
+BUILT = "segment bigint, uri string, size bigint, total bigint, every bigint, widest bigint, first bigint, first_kinds bigint, first_total bigint, first_begin bigint, last bigint, last_kinds bigint, last_total bigint, last_begin bigint"
+#: A segment's answers to a run, entry by entry.
+ANSWERS = "run bigint, file string, at int, state string, segment bigint, found binary, node binary, begin binary, code binary, target binary, spread binary, count binary"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of non-negative whole numbers in the least width, transposed so that like bytes are together, compressed."""
+    most = int(x.max(initial=0))
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
+    planes = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(len(x), size).T)
+    return bytes([size]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8)
+    return np.ascontiguousarray(flat.reshape(raw[0], -1).T).view(f"<u{raw[0]}").ravel().astype(np.uint64)
+
+
+def rising(x: np.ndarray) -> bytes:
+    """pack() of the steps of a rising sequence."""
+    x = x.astype(np.uint64)
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
+def bits(x: np.ndarray) -> bytes:
+    return pack(np.packbits(x))
+
+
+def unbits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(unpack(raw).astype(np.uint8), count=n).astype(bool)
+
+
+def unigram(count: np.ndarray, n: int, v: int) -> np.ndarray:
+    return np.log10((count.astype(np.float64) + 0.5) / (n + 0.5 * (v + 1)))
+
+
+def _batch(rows: list[dict], ddl: str):
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in fields], [name for name, _ in fields])
+
+
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-        def runs(held):
-            v, c = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            v, back = np.unique(v, return_inverse=True)
-            c = np.bincount(back, weights=c).astype(np.uint32)
-            cut = [0, *np.searchsorted(v, bounds[1:], "left"), len(v)]
-            rows = [(k, squeeze(np.diff(v[a:b], prepend=np.uint64(0))), squeeze(c[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "values", "counts"])
 
-        held, size = [], 0
+# ---- runs -----------------------------------------------------------------------------------
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first token of each text): each text's words and its end."""
+    w = common.word_hashes(data, offsets, common.SPACE_WORD)
+    n = np.diff(w.first)
+    ends = np.cumsum(n + 1) - 1
+    out = np.empty(len(w.hashes) + len(n), np.uint64)
+    out[ends] = END
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = np.where(w.hashes == END, END + np.uint64(1), w.hashes)
+    return out, np.concatenate([[0], ends + 1])
+
+
+def runs(docs: DataFrame, folder: str) -> DataFrame:
+    """Cuts docs(doc_id, held_out, text) into runs in files: their documents and token numbers, and
+    (in a file that the first level reads) their dictionaries; returns RUNS."""
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        part, k = TaskContext.get().partitionId(), 0
+        name = f"{part:06d}-{uuid.uuid4().hex}"
+        files = None
         for batch in batches:
-            for _, _, hashes, first in tokens(batch.column(0)):
-                held.append(np.unique(_values(model, order, hashes, first), return_counts=True))
-                size += len(held[-1][0])
-                if size > 700_000:
-                    yield runs(held)
-                    held, size = [], 0
-        if size:
-            yield runs(held)
+            data, offsets = common.text_buffers(batch.column(2))
+            ids, held = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j in common.runs_of(offsets, RUN_BYTES):
+                files = files or (ngram_trie.Rows(f"{folder}/runs/{name}"), ngram_trie.Rows(f"{folder}/words/{name}"))
+                hashes, first = tokens(data, offsets[i : j + 1])
+                n, own = np.diff(first), ids.slice(i, j - i)
+                words, back = np.unique(hashes, return_inverse=True)
+                every = np.bincount(back, minlength=len(words))
+                train = np.bincount(back[np.repeat(~held[i:j], n)], minlength=len(words))
+                missing = own.is_null().to_numpy(zero_copy_only=False)
+                files[0].add({"ids": pack(own.fill_null(0).to_numpy().view(np.uint64)), "missing": bits(missing), "held": bits(held[i:j]), "n": pack(n), "stream": pack(back)})
+                files[1].add({"values": rising(words), "train": pack(train), "rest": pack(every - train)})
+                yield _batch([{"run": part << 32 | k, "file": f"{folder}/runs/{name}", "at": k, "entries": len(words)}], RUNS)
+                k += 1
+        for file in files or ():
+            file.close()
+
+    return docs.mapInArrow(cut, RUNS)
+
+
+def _asked(run: dict, segment: np.ndarray, context: np.ndarray, successor: np.ndarray, width: int, train: np.ndarray, rest: np.ndarray, lower: np.ndarray, state: str = ""):
+    """A run's questions: rows of ASKED. Entries are in order of (context, successor). A run without
+    any asks for the last successor of context 0, so that every run is answered."""
+    if not len(segment):
+        segment, context, successor, train, rest, lower = (np.array([x], np.uint64) for x in (0, 0, width - 1, 0, 0, 0))
+    cut = np.flatnonzero(np.diff(segment.astype(np.int64), prepend=-1))
+    out = []
+    for a, b in zip(cut, np.append(cut[1:], len(segment))):
+        base = int(context[a])
+        value = (context[a:b] - np.uint64(base)) * np.uint64(width) + successor[a:b]
+        out.append({"segment": int(segment[a]), "run": run["run"], "file": run["file"], "at": run["at"], "state": state, "base": base, "width": width, "values": rising(value), "train": pack(train[a:b]), "rest": pack(rest[a:b]), "lower": pack(lower[a:b])})
+    return _batch(out, ASKED)
+
+
+def asked_words(listed: DataFrame, n_segments: int) -> DataFrame:
+    def ask(batches):
+        for run in _rows(batches):
+            own = ngram_trie.read(run["file"].replace("/runs/", "/words/"), run["at"])
+            h = risen(own["values"])
+            none = np.zeros(len(h), np.uint64)
+            yield _asked(run, ((h >> np.uint64(32)) * np.uint64(n_segments) >> np.uint64(32)).astype(np.int64), none, h, 0, unpack(own["train"]), unpack(own["rest"]), none)
+
+    return listed.repartition("run").mapInArrow(ask, ASKED)
+
+
+# ---- segments -------------------------------------------------------------------------------
+
+
+def built(asked: DataFrame, folder: str, order: int) -> DataFrame:
+    """Merges what runs ask of each segment, writes its trie level and, beside it, where each run's
+    values lie in it; returns BUILT."""
 
     def build(key, table):
         import pyarrow as pa
 
-        v, c = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        waiting, size = [], 0
-
-        def merged():
-            values, back = np.unique(np.concatenate([v, *(w[0] for w in waiting)]), return_inverse=True)
-            return values, np.bincount(back, weights=np.concatenate([c, *(w[1] for w in waiting)])).astype(np.uint64)
-
-        for batch in table.to_batches():
-            for x, y in zip(batch.column("values").to_pylist(), batch.column("counts").to_pylist()):
-                waiting.append((np.cumsum(expand(x, np.uint64), dtype=np.uint64), expand(y, np.uint32)))
-                size += len(waiting[-1][0])
-                if size > 500_000:
-                    v, c = merged()
-                    waiting, size = [], 0
-        if waiting:
-            v, c = merged()
-        k = key[0].as_py()
-        uri = f"{folder}/{order}-{k:06d}-{uuid.uuid4().hex}"
-        ngram_trie.save(uri, ngram_trie.encode(v))
-        ngram_trie.save(f"{uri}.counts", {"count": c.astype(np.uint32 if order > 1 else np.uint64)})
-        return pa.table({"segment": pa.array([k], pa.int32()), "uri": pa.array([uri]), "size": pa.array([len(v)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64())})
-
-    rows = docs.select("text").mapInArrow(count, "segment int, values binary, counts binary")
-    built = common.written(rows.groupBy("segment").applyInArrow(build, "segment int, uri string, size bigint, total bigint"), "trie-segments")
-    listed = sorted(built.collect(), key=lambda r: r.segment)
-    at, out = 0, []
-    for r in listed:
-        out.append((r.uri, int(bounds[r.segment]), at))
-        at += r["size"]
-    return ngram_trie.Level(out, at, sum(r.total for r in listed))
-
-
-def _share(docs: DataFrame, rows: int) -> int:
-    return int(min(1.0, rows / max(1, docs.count())) * (1 << 20)) + 1
-
-
-def _each(spark, level: ngram_trie.Level, work) -> list:
-    """work(segment number) on executors; returns what it returns, in order."""
-    n = len(level.uris)
-    if not n:
-        return []
-
-    def run(batches):
+        rows = sorted(table.to_pylist(), key=lambda r: r["run"])
+        low, width = min(r["base"] for r in rows), np.uint64(rows[0]["width"])
+        parts = [risen(r["values"]) + np.uint64(r["base"] - low) * width for r in rows]
+        ends = np.cumsum([0, *map(len, parts)])
+        value = np.concatenate(parts)
+        place = np.argsort(value, kind="stable")
+        value = value[place]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        back = np.empty(len(place), np.int64)
+        back[place] = np.repeat(np.arange(len(first)), np.diff(first, append=len(place)))
+        value = value[first]
+        train, rest, lower = (np.concatenate([unpack(r[c]) for r in rows]) for c in ("train", "rest", "lower"))
+        train, rest, lower = np.add.reduceat(train[place], first), np.add.reduceat(rest[place], first), lower[place[first]]
+        known = train > 0
+        name = f"{key[0].as_py():08d}-{uuid.uuid4().hex}"
+        uri = f"{folder}/level{order}/{name}"
+        ngram_trie.save(uri, ngram_trie.encode(value[known]))
+        ngram_trie.save(f"{uri}.counts", {"train": train[known], "every": train[known] + rest[known], "lower": lower[known].astype(np.uint8)})
+        rank, found = ngram_trie.Sequence(ngram_trie.load(uri)).search(value)
+        context = value // max(width, np.uint64(1)) + np.uint64(low) if width else np.zeros(len(value), np.uint64)
+        asked_file = ngram_trie.Rows(f"{folder}/asked{order}/{name}")
+        for r, a, b in zip(rows, ends[:-1], ends[1:]):
+            own = back[a:b]
+            asked_file.add({"run": pack(np.array([r["run"]])), "file": r["file"].encode(), "at": pack(np.array([r["at"]])), "state": r["state"].encode(), "n": pack(np.array([b - a])), "rank": rising(rank[own]), "found": bits(found[own]), "context": rising(context[own[~found[own]]])})
+        asked_file.close()
+        begin = np.flatnonzero(np.diff(context[known], prepend=np.uint64(1 << 63)))
+        kinds = np.diff(begin, append=int(known.sum()))
+        out = {"segment": key[0].as_py(), "uri": uri, "size": int(known.sum()), "total": int(train.sum()), "every": int((train + rest)[known].sum()), "widest": int(kinds.max(initial=0))}
+        for side, c in (("first", context[0]), ("last", context[-1])):
+            own = context[known] == c
+            out |= {side: int(c), f"{side}_kinds": int(own.sum()), f"{side}_total": int(train[known][own].sum()), f"{side}_begin": int(own.argmax()) if len(own) else 0}
+        return pa.Table.from_batches([_batch([out], BUILT)])
+
+    return common.written(asked.groupBy("segment").applyInArrow(build, BUILT), "trie-segments")
+
+
+def numbered(segments: DataFrame) -> DataFrame:
+    """segments with node_base and every_base (sums over earlier segments), and for the first and
+    last context their sums over all segments. One short row a segment is all that meets here."""
+    w = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    s = segments.withColumns({"node_base": F.coalesce(F.sum("size").over(w), zero), "every_base": F.coalesce(F.sum("every").over(w), zero)})
+    side = lambda x: s.select("segment", F.col(x).alias("context"), F.col(f"{x}_kinds").alias("kinds"), F.col(f"{x}_total").alias("total"), F.when(F.col(f"{x}_kinds") > 0, F.col("node_base") + F.col(f"{x}_begin")).alias("begin"))
+    edges = side("first").unionByName(side("last")).dropDuplicates(["segment", "context"])
+    sums = edges.groupBy("context").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), F.min("begin").alias("begin"))
+    for x in ("first", "last"):
+        own = sums.select(F.col("context").alias(x), F.col("kinds").alias(f"{x}_all_kinds"), F.col("total").alias(f"{x}_all"), F.coalesce("begin", zero).alias(f"{x}_start"))
+        s = s.join(own, x)
+    return s
+
+
+def answers(segments: DataFrame, order: int, width: int, n: int = 0, v: int = 0) -> DataFrame:
+    """Finishes each segment (probabilities and backoffs, beside its sequence) and answers its runs."""
+    share = SEGMENT_VALUES
+
+    def answer(batches):
+        for row in _rows(batches):
+            uri = row["uri"]
+            sequence, counts = ngram_trie.Sequence(ngram_trie.load(uri)), ngram_trie.load(f"{uri}.counts")
+            train, every = counts["train"].astype(np.float64), counts["every"]
+            if order == 1:
+                context = begin = np.zeros(0, np.uint64)
+                code, backoff, start = ngram_trie.quantise(unigram(train, n, v)), np.zeros(0, np.uint8), np.zeros(len(train), np.int64)
+            else:
+                of = sequence.decode() // np.uint64(width) + np.uint64(row["first"])
+                at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+                context, kinds = of[at], np.diff(at, append=len(of)).astype(np.float64)
+                total = np.add.reduceat(train, at) if len(at) else np.zeros(0)
+                begin = at + row["node_base"]
+                for x in ("first", "last"):
+                    k = int(np.searchsorted(context, np.uint64(row[x])))
+                    if k == len(context) or context[k] != row[x]:
+                        context, kinds, total, begin = np.insert(context, k, np.uint64(row[x])), np.insert(kinds, k, 0.0), np.insert(total, k, 0.0), np.insert(begin, k, 0)
+                    kinds[k], total[k], begin[k] = row[f"{x}_all_kinds"], row[f"{x}_all"], row[f"{x}_start"]
+                weight = DISCOUNT * kinds / np.maximum(total, 1)
+                mine = np.searchsorted(context, of)
+                p = np.maximum(train - DISCOUNT, 0) / total[mine] + weight[mine] * 10 ** ngram_trie.restore(counts["lower"])
+                code, backoff, start = ngram_trie.quantise(np.log10(p)), ngram_trie.quantise(np.log10(np.maximum(weight, 1e-30))), begin[mine]
+            ngram_trie.save(f"{uri}.p", {"p": code, "context": context, "backoff": backoff})
+            before = np.cumsum(every, dtype=np.uint64) - every + np.uint64(row["every_base"])
+            target = before // np.uint64(share)
+            spread = np.where(every <= share, np.uint64(1), (before + every - np.uint64(1)) // np.uint64(share) - target + np.uint64(1))
+            for asked in ngram_trie.every_row(uri.replace(f"/level{order}/", f"/asked{order}/")):
+                found, rank = unbits(asked["found"], int(unpack(asked["n"])[0])), risen(asked["rank"]).astype(np.int64)
+                hit = rank[found]
+                out = np.zeros(len(found), np.uint8)
+                out[found] = code[hit]
+                if order > 1:
+                    out[~found] = backoff[np.searchsorted(context, risen(asked["context"]))]
+                full = {"node": rising(hit + row["node_base"]), "target": rising(target[hit]), "spread": pack(spread[hit])} if order < 3 else {"node": b"", "target": b"", "spread": b""}
+                yield _batch([{"run": int(unpack(asked["run"])[0]), "file": asked["file"].decode(), "at": int(unpack(asked["at"])[0]), "state": asked["state"].decode(), "segment": row["segment"], "found": asked["found"], "code": pack(out), **full, "begin": rising(start[hit]) if order == 2 else b"", "count": pack(counts["train"][hit]) if order == 1 else b""}], ANSWERS)
+
+    n_tasks = max(1, segments.count())
+    return numbered(segments).repartition(n_tasks, "segment").mapInArrow(answer, ANSWERS)
+
+
+class Answers:
+    """What the segments told a run, in the order of the run's entries."""
+
+    def __init__(self, table, order: int):
+        rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
+        self.run = rows[0]
+        code = [unpack(r["code"]) for r in rows]
+        self.found = np.concatenate([unbits(r["found"], len(c)) for r, c in zip(rows, code)])
+        self.code = np.concatenate(code).astype(np.uint8)
+
+        def spaced(name, read, kind):
+            out = np.zeros(len(self.found), kind)
+            out[self.found] = np.concatenate([read(r[name]) for r in rows])
+            return out
+
+        if order < 3:
+            self.node, self.target, self.spread = spaced("node", risen, np.uint64), spaced("target", risen, np.int64), spaced("spread", unpack, np.int64)
+        if order == 1:
+            self.count = spaced("count", unpack, np.uint64)
+        if order == 2:
+            self.begin = spaced("begin", risen, np.uint64)
+
+
+def _targets(target: np.ndarray, spread: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The next level's segment of entries whose successor lies at `part` (0 to 1) of its context's."""
+    return target + np.minimum((part * spread).astype(np.int64), spread - 1)
+
+
+class Run:
+    """A run's tokens as numbers of its dictionary, and its bigrams and trigrams."""
+
+    def __init__(self, run: dict):
+        own = ngram_trie.read(run["file"], run["at"])
+        self.n = unpack(own["n"]).astype(np.int64)
+        self.ids, self.missing = unpack(own["ids"]).view(np.int64), unbits(own["missing"], len(self.n))
+        self.held, self.word = unbits(own["held"], len(self.n)), unpack(own["stream"]).astype(np.int64)
+        self.text = np.repeat(np.arange(len(self.n)), self.n)
+        first = np.cumsum(self.n) - self.n
+        self.place = np.arange(len(self.word)) - np.repeat(first, self.n)
+
+    def pairs(self, known: np.ndarray):
+        """Tokens whose word before is known; (left word, right word) of distinct such bigrams in
+        order, an unknown right word as one past all; and each token's bigram."""
+        at = np.flatnonzero((self.place > 0) & np.concatenate([[False], known[self.word[:-1]]]))
+        size = len(known)
+        key, back = np.unique(self.word[at - 1] * (size + 1) + np.where(known[self.word[at]], self.word[at], size), return_inverse=True)
+        return at, key // (size + 1), key % (size + 1), back
+
+    def triples(self, at: np.ndarray, back: np.ndarray, found: np.ndarray):
+        """Tokens whose context is a known bigram; (context, bigram of the last two) of distinct such
+        trigrams in order, unknown bigrams as one past all; and each token's trigram."""
+        pair = np.full(len(self.word), -1)
+        pair[at] = back
+        mine = np.where(pair >= 0, found[pair], False)
+        own = np.flatnonzero((self.place > 1) & np.concatenate([[False], mine[:-1]]))
+        size = len(found)
+        key, three = np.unique(pair[own - 1] * (size + 1) + np.where(mine[own], pair[own], size), return_inverse=True)
+        return own, key // (size + 1), key % (size + 1), three
+
+    def counts(self, at: np.ndarray, back: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(training, other) occurrences of entries."""
+        held = self.held[self.text[at]]
+        return np.bincount(back[~held], minlength=size), np.bincount(back[held], minlength=size)
+
+
+def asked_bigrams(told: DataFrame, folder: str, n: int, v: int) -> DataFrame:
+    def ask(key, table):
         import pyarrow as pa
 
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([int(work(k))], pa.int64())], ["k", "x"])
+        words = Answers(table, 1)
+        run = Run(words.run)
+        at, left, right, back = run.pairs(words.found)
+        state = f"{folder}/state2/{words.run['run']}-{uuid.uuid4().hex}"
+        ngram_trie.save(state, {"found": words.found, "count": words.count})
+        number = np.append(words.node, np.uint64(v))
+        train, rest = run.counts(at, back, len(left))
+        segment = _targets(words.target[left], words.spread[left], number[right].astype(np.float64) / (v + 1))
+        lower = np.append(words.code, np.uint8(0))[right]
+        return pa.Table.from_batches([_asked(words.run, segment, number[left], number[right], v + 1, train, rest, lower, state)])
 
-    done = common.written(spark.range(0, n, 1, n).mapInArrow(run, "k bigint, x bigint"), "trie-done")
-    return [r.x for r in sorted(done.collect(), key=lambda r: r.k)]
+    return told.groupBy("run").applyInArrow(ask, ASKED)
 
 
-def fit(docs: DataFrame) -> Model:
-    """A trie of docs(doc_id, text, ...) outside the held-out fold; null texts are empty."""
-    spark = docs.sparkSession
-    folder = common.scratch(spark, "trie")
-    train = docs.filter(common.fold_of(F.col("doc_id"), 5) != 1).select(F.coalesce("text", F.lit("")).alias("text"))
-    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_segments = max(1, -(-size // (6 * SEGMENT_VALUES)))
-    model = Model([], 0, 0)
-    model.levels.append(_level(train, model, 1, folder, max(1, n_segments // 4)))
-    model.n, model.v = model.levels[0].total, model.levels[0].size
-    model.levels.append(_level(train, model, 2, folder, n_segments))
-    one, two = model.levels
-
-    def children(k):
-        """Of the words of a segment: where their bigrams begin and their backoff; the most bigrams of one."""
-        word = np.arange(one.first[k], one.first[k + 1] + 1, dtype=np.uint64)
-        begin = two.search(word * np.uint64(model.v))[0]
-        count = ngram_trie.load(f"{one.uris[k]}.counts")["count"]
-        kinds = np.diff(begin)
-        backoff = np.log10(np.maximum(DISCOUNT * kinds, 1e-9) / np.maximum(count, 1))
-        ngram_trie.save(f"{one.uris[k]}.extra", {"child": begin[:-1].astype(np.uint64), "kinds": kinds.astype(np.uint64), "backoff": np.where(kinds > 0, ngram_trie.quantise(backoff), np.uint8(255)), "count": count})
-        return int(kinds.max(initial=0))
-
-    model.width = max([1, *_each(spark, one, children)])
-
-    def bigrams(k):
-        """Probabilities of a segment's bigrams."""
-        value = ngram_trie.segment(two.uris[k]).sequence.decode()
-        left, right = (value // np.uint64(model.v)).astype(np.int64), (value % np.uint64(model.v)).astype(np.int64)
-        count = ngram_trie.load(f"{two.uris[k]}.counts")["count"].astype(np.float64)
-        whole = one.gather("count", left, ".extra").astype(np.float64)
-        lower = 10 ** model.unigram(one.gather("count", right, ".extra").astype(np.float64))
-        p = np.maximum(count - DISCOUNT, 0) / whole + DISCOUNT * one.gather("kinds", left, ".extra") / whole * lower
-        ngram_trie.save(f"{two.uris[k]}.p", {"p": ngram_trie.quantise(np.log10(p))})
-        return 0
-
-    _each(spark, two, bigrams)
-    model.levels.append(_level(train, model, 3, folder, n_segments))
-    three = model.levels[2]
-
-    def contexts(k):
-        """Backoffs of a segment's bigrams as contexts, and how many trigrams each begins."""
-        node = np.arange(two.first[k], two.first[k + 1] + 1, dtype=np.uint64)
-        kinds = np.diff(three.search(node * np.uint64(model.width))[0])
-        count = ngram_trie.load(f"{two.uris[k]}.counts")["count"]
-        backoff = np.log10(np.maximum(DISCOUNT * kinds, 1e-9) / np.maximum(count, 1))
-        ngram_trie.save(f"{two.uris[k]}.extra", {"p": ngram_trie.load(f"{two.uris[k]}.p")["p"], "backoff": np.where(kinds > 0, ngram_trie.quantise(backoff), np.uint8(255))})
-        ngram_trie.save(f"{two.uris[k]}.kinds", {"kinds": kinds.astype(np.uint32), "count": count})
-        return 0
-
-    _each(spark, two, contexts)
-
-    def trigrams(k):
-        """Probabilities of a segment's trigrams: the lower order is the bigram's, quantised as stored."""
-        value = ngram_trie.segment(three.uris[k]).sequence.decode()
-        node, relative = (value // np.uint64(model.width)).astype(np.int64), (value % np.uint64(model.width)).astype(np.int64)
-        middle = _last_word(model, node)
-        inner = one.gather("child", middle, ".extra").astype(np.int64) + relative
-        count = ngram_trie.load(f"{three.uris[k]}.counts")["count"].astype(np.float64)
-        whole, kinds = (two.gather(c, node, ".kinds").astype(np.float64) for c in ("count", "kinds"))
-        lower = 10 ** ngram_trie.restore(two.gather("p", inner, ".extra"))
-        p = np.maximum(count - DISCOUNT, 0) / whole + DISCOUNT * kinds / whole * lower
-        ngram_trie.save(f"{three.uris[k]}.extra", {"p": ngram_trie.quantise(np.log10(p))})
-        return 0
-
-    _each(spark, three, trigrams)
-    return model
-
-
-def _last_word(model: Model, node: np.ndarray) -> np.ndarray:
-    """The second word of bigram nodes: from the decoded sequences of their segments."""
-    two = model.levels[1]
-    known, back = np.unique(node, return_inverse=True)
-    out = np.zeros(len(known), np.int64)
-    cut = np.searchsorted(known, two.first)
-    for k, uri in enumerate(two.uris):
-        if cut[k] < cut[k + 1]:
-            value = ngram_trie.segment(uri).sequence.decode()[known[cut[k] : cut[k + 1]] - two.first[k]]
-            out[cut[k] : cut[k + 1]] = (value % np.uint64(model.v)).astype(np.int64)
-    return out[back]
-
-
-def log_probabilities(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By token: whether it is known, its base and its model log10 probability."""
-    one, two, three = model.levels
-    word = model.ids(hashes)
-    known = word >= 0
-    count = np.zeros(len(word))
-    if known.any():
-        count[known] = one.gather("count", word[known], ".extra")
-    base = model.unigram(count)
-    score = base.copy()
-    inner = np.ones(len(word), bool)
-    inner[first[:-1]] = False
-    at = np.flatnonzero(inner)
-    at = at[word[at - 1] >= 0]
-    if len(at):
-        score[at] += ngram_trie.restore(one.gather("backoff", word[at - 1], ".extra"))
-    node = model.nodes(word, first)
-    at = np.flatnonzero(node >= 0)
-    if len(at):
-        score[at] = ngram_trie.restore(two.gather("p", node[at], ".extra"))
-    at = np.flatnonzero(node >= 0) + 1
-    at = at[at < len(word)]
-    at = at[inner[at]]
-    if len(at):
-        score[at] += ngram_trie.restore(two.gather("backoff", node[at - 1], ".extra"))
-    at, value = model.third(word, node, first)
-    rank, found = three.search(value)
-    if found.any():
-        score[at[found]] = ngram_trie.restore(three.gather("p", rank[found], ".extra"))
-    return known, base, score
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text, ...)."""
-
-    def run(batches):
+def asked_trigrams(told: DataFrame, folder: str, width: int) -> DataFrame:
+    def ask(key, table):
         import pyarrow as pa
 
-        for batch in batches:
-            for i, j, hashes, first in tokens(batch.column(2)):
-                known, base, logp = log_probabilities(model, hashes, first)
-                text = np.repeat(np.arange(j - i), np.diff(first))
-                sums = [np.bincount(text, weights=x, minlength=j - i) for x in (known, base, logp)]
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(j - i, model.n)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        pairs = Answers(table, 2)
+        run, words = Run(pairs.run), ngram_trie.load(pairs.run["state"])
+        at, left, right, back = run.pairs(words["found"])
+        own, context, last, three = run.triples(at, back, pairs.found)
+        state = f"{folder}/state3/{pairs.run['run']}-{uuid.uuid4().hex}"
+        ngram_trie.save(state, {"found": words["found"], "count": words["count"], "pair": pairs.found, "code": pairs.code})
+        relative = np.append(pairs.node - pairs.begin, np.uint64(width - 1))
+        train, rest = run.counts(own, three, len(context))
+        segment = _targets(pairs.target[context], pairs.spread[context], relative[last].astype(np.float64) / width)
+        return pa.Table.from_batches([_asked(pairs.run, segment, pairs.node[context], relative[last], width, train, rest, np.append(pairs.code, np.uint8(0))[last], state)])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), (common.fold_of(F.col("doc_id"), 5) == 1).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return told.groupBy("run").applyInArrow(ask, ASKED)
 
 
-def score_all(docs: DataFrame) -> DataFrame:
-    """Fit on docs and score every row.
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def summed(told: DataFrame, n: int, v: int) -> DataFrame:
+    """SCORES of every text from the last level's answers and what the levels before left in files."""
+
+    def score(key, table):
+        import pyarrow as pa
+
+        trigrams = Answers(table, 3)
+        run, state = Run(trigrams.run), ngram_trie.load(trigrams.run["state"])
+        p1 = unigram(state["count"], n, v)
+        base = p1[run.word]
+        logp = base.copy()
+        at, left, right, back = run.pairs(state["found"])
+        if len(at):
+            logp[at] = (ngram_trie.restore(state["code"]) + np.where(state["pair"], 0.0, np.append(p1, unigram(np.zeros(1), n, v))[right]))[back]
+        own, context, last, three = run.triples(at, back, state["pair"])
+        bare = ngram_trie.restore(trigrams.code)[three]
+        logp[own] = np.where(trigrams.found[three], bare, bare + logp[own])
+        sums = [np.bincount(run.text, weights=x, minlength=len(run.n)) for x in (state["found"][run.word], base, logp)]
+        ids = pa.array(run.ids, pa.int64(), mask=run.missing)
+        return pa.table([ids, pa.array(run.held), pa.array(run.n), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(run.n), n)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return told.groupBy("run").applyInArrow(score, SCORES)
+
+
+def score_all(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
+    """Learn from docs(doc_id, text, ...) outside the held-out rows (by default the fold of the
+    contract) and score every row: SCORES.
 
     A null text is empty: one end token. Repeated rows score alike. Without training rows no token
     is known, and base and score are 0 for each token. Other columns are ignored. An empty table
     gives an empty result.
     """
-    return score(docs, fit(docs))
+    spark = docs.sparkSession
+    folder = common.scratch(spark, "trie")
+    held = F.coalesce(common.fold_of(F.col("doc_id"), 5) == 1 if held_out is None else held_out, F.lit(False))
+    listed = common.written(runs(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text"), folder), "trie-runs")
+    entries = listed.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    one = built(asked_words(listed, max(1, -(-entries // SEGMENT_VALUES))), folder, 1)
+    common.settle(spark, f"{folder}/words")
+    n, v = one.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    two = built(asked_bigrams(answers(one, 1, 1, n, v), folder, n, v), folder, 2)
+    common.settle(spark, f"{folder}/asked1")
+    most = F.greatest(F.max("widest"), F.max("first_all_kinds"), F.max("last_all_kinds"))
+    width = 1 + numbered(two).agg(F.coalesce(most, F.lit(0))).first()[0]
+    three = built(asked_trigrams(answers(two, 2, v + 1), folder, width), folder, 3)
+    common.settle(spark, f"{folder}/asked2", f"{folder}/state2")
+    return summed(answers(three, 3, width), n, v)

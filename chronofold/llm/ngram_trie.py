@@ -4,9 +4,10 @@ A level is one monotone sequence: node i's value is (its context's node) * width
 so the pointers of contexts to their successors and the successors themselves share one sequence.
 It is coded by partitioned Elias-Fano: blocks of 64 values keep a base, the low bits of each value
 in whole words, and the high bits in unary within three words. Beside it lie one byte for each
-node's quantised log probability and, where nodes are contexts, one for its backoff weight. From
-level 3 on a successor is relative to its context: its rank among the successors of the context's
-last word. A level is cut into segments by value; each is an Arrow file, memory-mapped if local.
+node's quantised log probability and one for each context's backoff weight. From level 3 on a
+successor is relative to its context: its rank among the successors of the context's last word. A
+level is cut into segments by value; each is an Arrow file, memory-mapped if local, and is opened
+only by the task that serves its range.
 """
 
 from __future__ import annotations
@@ -16,12 +17,9 @@ import re
 import numpy as np
 
 BLOCK = 64
-#: Queries that a sequence answers at once.
-QUERIES = 1 << 15
-_OPEN: dict[str, "Segment"] = {}
-
-_ZEROS = np.array([[k for k in range(8) if not b >> k & 1] + [0] * bin(b).count("1") for b in range(256)], np.uint8)
-_N_ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.uint8)
+#: Queries that a sequence answers at once, and blocks that it decodes at once.
+QUERIES = 1 << 18
+BLOCKS = 1 << 12
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -64,13 +62,6 @@ class Sequence:
         self.highs = a["highs"].reshape(-1, 24)
         self.n = int(a["n"][0])
 
-    def _zero(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th zero (from 0) in each row of 24 bytes."""
-        upto = np.cumsum(_N_ZEROS[rows], axis=1, dtype=np.uint8)  # at most 192
-        byte = (upto <= k.astype(np.uint8)[:, None]).sum(axis=1)
-        before = np.where(byte > 0, upto[np.arange(len(k)), np.maximum(byte - 1, 0)], 0).astype(np.int64)
-        return byte * 8 + _ZEROS[rows[np.arange(len(k)), byte], k - before]
-
     def _low(self, block: np.ndarray, i: np.ndarray) -> np.ndarray:
         w = self.width[block].astype(np.int64)
         at, shift = self.offset[block].astype(np.int64) + (i * w >> 6), (i * w & 63).astype(np.uint64)
@@ -80,46 +71,42 @@ class Sequence:
         return low & ((np.uint64(1) << w.astype(np.uint64)) - np.uint64(1))
 
     def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of values below q, whether q is there) of uint64 queries, QUERIES at a time."""
-        if len(q) <= QUERIES:
-            return self._search(q)
-        parts = [self._search(q[i : i + QUERIES]) for i in range(0, len(q), QUERIES)]
+        """(number of values below q, whether q is there) of uint64 queries in any order, QUERIES at a time."""
+        parts = [self._search(q[i : i + QUERIES]) for i in range(0, max(1, len(q)), QUERIES)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Finds each query's block by its base, decodes the blocks that any query needs, and
+        searches in those."""
         rank, found = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
         if not self.n or not len(q):
             return rank, found
         block = np.searchsorted(self.base, q, "right") - 1
         todo = np.flatnonzero(block >= 0)
-        block = block[todo]
-        rel = q[todo] - self.base[block]
-        w = self.width[block].astype(np.uint64)
-        hi = rel >> w
-        past = hi > 127
-        rank[todo[past]] = np.minimum((block[past] + 1) * BLOCK, self.n)
-        todo, block, rel, w, hi = (x[~past] for x in (todo, block, rel, w, hi))
-        hi = hi.astype(np.int64)
-        lo = rel & ((np.uint64(1) << w) - np.uint64(1))
-        rows = self.highs[block]
-        at = np.where(hi > 0, self._zero(rows, np.maximum(hi - 1, 0)) - hi + 1, 0)
-        end = np.minimum(self._zero(rows, hi) - hi, self.n - block * BLOCK)
-        live = np.flatnonzero(at < end)
-        while len(live):
-            low = self._low(block[live], at[live])
-            found[todo[live[low == lo[live]]]] = True
-            live = live[low < lo[live]]
-            at[live] += 1
-            live = live[at[live] < end[live]]
-        rank[todo] = block * BLOCK + at
+        if not len(todo):
+            return rank, found
+        block, q = block[todo], q[todo]
+        needed, row = np.unique(block, return_inverse=True)
+        values = self.decode(needed)
+        begin = np.concatenate([[0], np.cumsum(np.minimum(BLOCK, self.n - needed * BLOCK))])
+        at = np.searchsorted(values, q)
+        rank[todo] = block * BLOCK + at - begin[row]
+        inside = at < len(values)
+        found[todo[inside]] = values[at[inside]] == q[inside]
         return rank, found
 
-    def decode(self) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(self.highs), axis=1, bitorder="little")
-        block, at = np.nonzero(bits)
-        i = np.arange(len(block)) - block * BLOCK
-        w = self.width[block].astype(np.uint64)
-        return self.base[block] + ((at - i).astype(np.uint64) << w) + self._low(block, i)
+    def decode(self, blocks: np.ndarray | None = None) -> np.ndarray:
+        """Values of some blocks, or of all."""
+        wanted = np.arange(len(self.base)) if blocks is None else blocks
+        out = []
+        for i in range(0, len(wanted), BLOCKS):
+            own = wanted[i : i + BLOCKS]
+            row, at = np.nonzero(np.unpackbits(self.highs[own], axis=1, bitorder="little"))
+            block = own[row]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            k = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+            out.append(self.base[block] + ((at - k).astype(np.uint64) << self.width[block].astype(np.uint64)) + self._low(block, k))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 #: Log10 probabilities and backoffs are coded in 255 equal steps over this range (fixed values).
@@ -163,62 +150,41 @@ def load(uri: str) -> dict[str, np.ndarray]:
     return {name: np.frombuffer(batch.column(i)[0].as_buffer(), kinds[name]) for i, name in enumerate(batch.schema.names)}
 
 
-class Segment:
+class Rows:
+    """An Arrow file of rows, each some named binary values, that are read by number."""
+
     def __init__(self, uri: str):
-        self.arrays = load(uri)
-        self.sequence = Sequence(self.arrays)
+        store, path = filesystem(uri)
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        self.out, self.file = store.open_output_stream(path), None
 
+    def add(self, row: dict[str, bytes]) -> None:
+        import pyarrow as pa
 
-def segment(uri: str) -> Segment:
-    """A segment's file, kept open in this process."""
-    if uri not in _OPEN:
-        _OPEN[uri] = Segment(uri)
-    return _OPEN[uri]
+        schema = pa.schema([(k, pa.large_binary()) for k in row])
+        if self.file is None:
+            self.file = pa.ipc.new_file(self.out, schema)
+        self.file.write_batch(pa.RecordBatch.from_arrays([pa.array([v], pa.large_binary()) for v in row.values()], schema=schema))
 
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.out.close()
 
-class Level:
-    """A level's segments in order of value: files, first possible values and first node numbers;
-    size is the number of nodes, total the sum of their counts."""
 
-    def __init__(self, segments: list[tuple[str, int, int]], size: int, total: int):
-        self.uris = [s[0] for s in segments]
-        self.lowest = np.array([s[1] for s in segments], np.uint64)
-        self.first = np.array([s[2] for s in segments] + [size], np.int64)
-        self.size, self.total = size, total
+def _opened(uri: str):
+    import pyarrow as pa
+    from pyarrow import fs
 
-    def _parts(self, sorted_q: np.ndarray):
-        cut = np.searchsorted(sorted_q, self.lowest[1:], "left") if len(self.uris) else []
-        edges = [0, *cut, len(sorted_q)]
-        for k, uri in enumerate(self.uris):
-            if edges[k] < edges[k + 1]:
-                yield k, slice(edges[k], edges[k + 1]), uri
+    store, path = filesystem(uri)
+    return pa.ipc.open_file(pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path))
 
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node number or the number of nodes below, whether the value is there)."""
-        known, back = np.unique(q, return_inverse=True)
-        rank, found = np.zeros(len(known), np.int64), np.zeros(len(known), bool)
-        for k, s, uri in self._parts(known):
-            r, f = segment(uri).sequence.search(known[s])
-            rank[s], found[s] = r + self.first[k], f
-        return rank[back], found[back]
-
-    def gather(self, name: str, nodes: np.ndarray, suffix: str) -> np.ndarray:
-        """An array's entries at node numbers."""
-        known, back = np.unique(nodes, return_inverse=True)
-        out = None
-        cut = np.searchsorted(known, self.first)
-        for k, uri in enumerate(self.uris):
-            if cut[k] < cut[k + 1]:
-                got = _extra(uri + suffix)[name][known[cut[k] : cut[k + 1]] - self.first[k]]
-                out = np.zeros(len(known), got.dtype) if out is None else out
-                out[cut[k] : cut[k + 1]] = got
-        return (np.zeros(0) if out is None else out)[back] if len(nodes) else np.zeros(0)
-
-
-_EXTRA: dict[str, dict[str, np.ndarray]] = {}
-
-
-def _extra(uri: str) -> dict[str, np.ndarray]:
-    if uri not in _EXTRA:
-        _EXTRA[uri] = load(uri)
-    return _EXTRA[uri]
+
+def read(uri: str, at: int) -> dict[str, bytes]:
+    return _opened(uri).get_batch(at).to_pylist()[0]
+
+
+def every_row(uri: str):
+    file = _opened(uri)
+    for i in range(file.num_record_batches):
+        yield file.get_batch(i).to_pylist()[0]

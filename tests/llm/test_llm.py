@@ -438,11 +438,14 @@ def test_elias_fano(n, spread):
     assert np.array_equal(rank, np.searchsorted(values, q)) and np.array_equal(found, np.isin(q, values))
 
 
-@pytest.mark.parametrize("segment", [1_000_000, 3_000])
-def test_lm_against_brute_force(spark, monkeypatch, real, segment):
+@pytest.mark.parametrize("segment,run", [(1_000_000, 1 << 20), (3_000, 100_000), (70, 100_000)])
+def test_lm_against_brute_force(spark, monkeypatch, real, segment, run):
     monkeypatch.setattr(lm_scoring, "SEGMENT_VALUES", segment)
+    monkeypatch.setattr(lm_scoring, "RUN_BYTES", run)
     rows = [(r.doc_id, r.text) for r in real.collect()] + [r for r in ODD if r[0] not in (None, 4)]
     rows = [(i + 1000 * (k >= 200), t) for k, (i, t) in enumerate(rows)]
+    if segment == 70:  # words and contexts split over several segments
+        rows = rows[190:]
     from collections import Counter
 
     token = {i: [*re.findall(SPACED, low(t)), None] for i, t in rows}
@@ -466,6 +469,23 @@ def test_lm_against_brute_force(spark, monkeypatch, real, segment):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_counts_beyond_32_bits(spark, tmp_path):
+    v, big = np.array([5, 9], np.uint64), np.array([1 << 33, 7], np.uint64)
+    none = np.zeros(2, np.uint64)
+    rows = [lm_scoring._asked({"run": k, "file": "f", "at": 0}, none, none, v, 0, big, none, none).to_pylist()[0] for k in (0, 1)]
+    asked = spark.createDataFrame([tuple(r.values()) for r in rows], lm_scoring.ASKED)
+    got = lm_scoring.built(asked, f"file://{tmp_path}", 1).first()
+    assert (got["size"], got.total) == (2, 2 * (1 << 33) + 14)
+    assert ngram_trie.load(f"{got.uri}.counts")["train"].tolist() == [1 << 34, 14]
+
+
+def test_lm_packing():
+    for x in (np.zeros(0, np.uint64), np.array([0, 255, 256, 1 << 63], np.uint64), np.arange(70_000)):
+        assert np.array_equal(lm_scoring.unpack(lm_scoring.pack(x)), x)
+    up = np.array([3, 3, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert np.array_equal(lm_scoring.risen(lm_scoring.rising(up)), up)
+
+
 def test_lm_edges(spark):
     assert lm_scoring.score_all(docs(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
