@@ -191,7 +191,7 @@ def built(asked: DataFrame, folder: str, order: int) -> DataFrame:
         name = f"{key[0].as_py():08d}-{uuid.uuid4().hex}"
         uri = f"{folder}/level{order}/{name}"
         ngram_trie.save(uri, ngram_trie.encode(value[known]))
-        ngram_trie.save(f"{uri}.counts", {"train": train[known], "every": train[known] + rest[known], "lower": lower[known].astype(np.uint8)})
+        ngram_trie.save_packed(f"{uri}.counts", {"train": pack(train[known]), "every": pack(train[known] + rest[known]), "lower": pack(lower[known])})
         rank, found = ngram_trie.Sequence(ngram_trie.load(uri)).search(value)
         context = value // max(width, np.uint64(1)) + np.uint64(low) if width else np.zeros(len(value), np.uint64)
         asked_file = ngram_trie.Rows(f"{folder}/asked{order}/{name}")
@@ -232,7 +232,7 @@ def answers(segments: DataFrame, order: int, width: int, n: int = 0, v: int = 0)
     def answer(batches):
         for row in _rows(batches):
             uri = row["uri"]
-            sequence, counts = ngram_trie.Sequence(ngram_trie.load(uri)), ngram_trie.load(f"{uri}.counts")
+            sequence, counts = ngram_trie.Sequence(ngram_trie.load(uri)), {k: unpack(x) for k, x in ngram_trie.read(f"{uri}.counts", 0).items()}
             train, every = counts["train"].astype(np.float64), counts["every"]
             if order == 1:
                 context = begin = np.zeros(0, np.uint64)
@@ -250,9 +250,9 @@ def answers(segments: DataFrame, order: int, width: int, n: int = 0, v: int = 0)
                     kinds[k], total[k], begin[k] = row[f"{x}_all_kinds"], row[f"{x}_all"], row[f"{x}_start"]
                 weight = DISCOUNT * kinds / np.maximum(total, 1)
                 mine = np.searchsorted(context, of)
-                p = np.maximum(train - DISCOUNT, 0) / total[mine] + weight[mine] * 10 ** ngram_trie.restore(counts["lower"])
+                p = np.maximum(train - DISCOUNT, 0) / total[mine] + weight[mine] * 10 ** ngram_trie.restore(counts["lower"].astype(np.uint8))
                 code, backoff, start = ngram_trie.quantise(np.log10(p)), ngram_trie.quantise(np.log10(np.maximum(weight, 1e-30))), begin[mine]
-            ngram_trie.save(f"{uri}.p", {"p": code, "context": context, "backoff": backoff})
+            ngram_trie.save(f"{uri}.p", {"p": code, "backoff": backoff})
             before = np.cumsum(every, dtype=np.uint64) - every + np.uint64(row["every_base"])
             target = before // np.uint64(share)
             spread = np.where(every <= share, np.uint64(1), (before + every - np.uint64(1)) // np.uint64(share) - target + np.uint64(1))
@@ -343,7 +343,7 @@ def asked_bigrams(told: DataFrame, folder: str, n: int, v: int) -> DataFrame:
         run = Run(words.run)
         at, left, right, back = run.pairs(words.found)
         state = f"{folder}/state2/{words.run['run']}-{uuid.uuid4().hex}"
-        ngram_trie.save(state, {"found": words.found, "count": words.count})
+        ngram_trie.save_packed(state, {"found": bits(words.found), "count": pack(words.count)})
         number = np.append(words.node, np.uint64(v))
         train, rest = run.counts(at, back, len(left))
         segment = _targets(words.target[left], words.spread[left], number[right].astype(np.float64) / (v + 1))
@@ -358,11 +358,12 @@ def asked_trigrams(told: DataFrame, folder: str, width: int) -> DataFrame:
         import pyarrow as pa
 
         pairs = Answers(table, 2)
-        run, words = Run(pairs.run), ngram_trie.load(pairs.run["state"])
-        at, left, right, back = run.pairs(words["found"])
+        run, words = Run(pairs.run), ngram_trie.read(pairs.run["state"], 0)
+        count = unpack(words["count"])
+        at, left, right, back = run.pairs(unbits(words["found"], len(count)))
         own, context, last, three = run.triples(at, back, pairs.found)
         state = f"{folder}/state3/{pairs.run['run']}-{uuid.uuid4().hex}"
-        ngram_trie.save(state, {"found": words["found"], "count": words["count"], "pair": pairs.found, "code": pairs.code})
+        ngram_trie.save_packed(state, {**words, "pair": bits(pairs.found), "code": pack(pairs.code)})
         relative = np.append(pairs.node - pairs.begin, np.uint64(width - 1))
         train, rest = run.counts(own, three, len(context))
         segment = _targets(pairs.target[context], pairs.spread[context], relative[last].astype(np.float64) / width)
@@ -381,17 +382,19 @@ def summed(told: DataFrame, n: int, v: int) -> DataFrame:
         import pyarrow as pa
 
         trigrams = Answers(table, 3)
-        run, state = Run(trigrams.run), ngram_trie.load(trigrams.run["state"])
-        p1 = unigram(state["count"], n, v)
+        run, state = Run(trigrams.run), ngram_trie.read(trigrams.run["state"], 0)
+        count, code = unpack(state["count"]), unpack(state["code"]).astype(np.uint8)
+        known, pair = unbits(state["found"], len(count)), unbits(state["pair"], len(code))
+        p1 = unigram(count, n, v)
         base = p1[run.word]
         logp = base.copy()
-        at, left, right, back = run.pairs(state["found"])
+        at, left, right, back = run.pairs(known)
         if len(at):
-            logp[at] = (ngram_trie.restore(state["code"]) + np.where(state["pair"], 0.0, np.append(p1, unigram(np.zeros(1), n, v))[right]))[back]
-        own, context, last, three = run.triples(at, back, state["pair"])
+            logp[at] = (ngram_trie.restore(code) + np.where(pair, 0.0, np.append(p1, unigram(np.zeros(1), n, v))[right]))[back]
+        own, context, last, three = run.triples(at, back, pair)
         bare = ngram_trie.restore(trigrams.code)[three]
         logp[own] = np.where(trigrams.found[three], bare, bare + logp[own])
-        sums = [np.bincount(run.text, weights=x, minlength=len(run.n)) for x in (state["found"][run.word], base, logp)]
+        sums = [np.bincount(run.text, weights=x, minlength=len(run.n)) for x in (known[run.word], base, logp)]
         ids = pa.array(run.ids, pa.int64(), mask=run.missing)
         return pa.table([ids, pa.array(run.held), pa.array(run.n), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(run.n), n)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

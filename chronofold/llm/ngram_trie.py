@@ -172,6 +172,13 @@ class Rows:
         self.out.close()
 
 
+def save_packed(uri: str, row: dict[str, bytes]) -> None:
+    """A file of one row."""
+    file = Rows(uri)
+    file.add(row)
+    file.close()
+
+
 def _opened(uri: str):
     import pyarrow as pa
     from pyarrow import fs
