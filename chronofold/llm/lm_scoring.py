@@ -35,8 +35,8 @@ RUN_BYTES = (1 << 22) - 8
 SEGMENT_VALUES = 3_000_000
 
 RUNS = "run bigint, file string, at int, entries bigint"
-#: What a run asks of a segment: values relative to the context `base`, training counts, other counts, lower-order codes.
-ASKED = "segment bigint, run bigint, file string, at int, state string, base bigint, width bigint, values binary, train binary, rest binary, lower binary"
+#: What a run asks of a segment: contexts from `base` on, successors, training counts, other counts, lower-order codes.
+ASKED = "segment bigint, run bigint, file string, at int, state string, base bigint, width bigint, contexts binary, successors binary, train binary, rest binary, lower binary"
 #: A segment: nodes, training tokens, all tokens, the most successors of a context, and of its first and last context the parts held here.
 BUILT = "segment bigint, uri string, size bigint, total bigint, every bigint, widest bigint, first bigint, first_kinds bigint, first_total bigint, first_begin bigint, last bigint, last_kinds bigint, last_total bigint, last_begin bigint"
 #: A segment's answers to a run, entry by entry.
@@ -148,8 +148,7 @@ def _asked(run: dict, segment: np.ndarray, context: np.ndarray, successor: np.nd
     out = []
     for a, b in zip(cut, np.append(cut[1:], len(segment))):
         base = int(context[a])
-        value = (context[a:b] - np.uint64(base)) * np.uint64(width) + successor[a:b]
-        out.append({"segment": int(segment[a]), "run": run["run"], "file": run["file"], "at": run["at"], "state": state, "base": base, "width": width, "values": rising(value), "train": pack(train[a:b]), "rest": pack(rest[a:b]), "lower": pack(lower[a:b])})
+        out.append({"segment": int(segment[a]), "run": run["run"], "file": run["file"], "at": run["at"], "state": state, "base": base, "width": width, "contexts": rising(context[a:b] - np.uint64(base)), "successors": pack(successor[a:b]) if width else rising(successor[a:b]), "train": pack(train[a:b]), "rest": pack(rest[a:b]), "lower": pack(lower[a:b])})
     return _batch(out, ASKED)
 
 
@@ -176,7 +175,7 @@ def built(asked: DataFrame, folder: str, order: int) -> DataFrame:
 
         rows = sorted(table.to_pylist(), key=lambda r: r["run"])
         low, width = min(r["base"] for r in rows), np.uint64(rows[0]["width"])
-        parts = [risen(r["values"]) + np.uint64(r["base"] - low) * width for r in rows]
+        parts = [(risen(r["contexts"]) + np.uint64(r["base"] - low)) * width + unpack(r["successors"]) if width else risen(r["successors"]) for r in rows]
         ends = np.cumsum([0, *map(len, parts)])
         value = np.concatenate(parts)
         place = np.argsort(value, kind="stable")
@@ -401,26 +400,30 @@ def summed(told: DataFrame, n: int, v: int) -> DataFrame:
     return told.groupBy("run").applyInArrow(score, SCORES)
 
 
-def score_all(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
+def score_all(docs: DataFrame, held_out: Column | None = None, keep: str | None = None) -> DataFrame:
     """Learn from docs(doc_id, text, ...) outside the held-out rows (by default the fold of the
-    contract) and score every row: SCORES.
+    contract) and score every row: SCORES. The trie's files are left in the folder `keep`, if that
+    is given, and else deleted.
 
     A null text is empty: one end token. Repeated rows score alike. Without training rows no token
     is known, and base and score are 0 for each token. Other columns are ignored. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession
-    folder = common.scratch(spark, "trie")
+    folder = keep or common.scratch(spark, "trie")
+    done = lambda *names: common.settle(spark, *(f"{folder}/{x}" for x in names if not (keep and x.startswith("level"))))
     held = F.coalesce(common.fold_of(F.col("doc_id"), 5) == 1 if held_out is None else held_out, F.lit(False))
     listed = common.written(runs(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text"), folder), "trie-runs")
     entries = listed.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     one = built(asked_words(listed, max(1, -(-entries // SEGMENT_VALUES))), folder, 1)
-    common.settle(spark, f"{folder}/words")
+    done("words")
     n, v = one.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     two = built(asked_bigrams(answers(one, 1, 1, n, v), folder, n, v), folder, 2)
-    common.settle(spark, f"{folder}/asked1")
+    done("asked1", "level1")
     most = F.greatest(F.max("widest"), F.max("first_all_kinds"), F.max("last_all_kinds"))
     width = 1 + numbered(two).agg(F.coalesce(most, F.lit(0))).first()[0]
     three = built(asked_trigrams(answers(two, 2, v + 1), folder, width), folder, 3)
-    common.settle(spark, f"{folder}/asked2", f"{folder}/state2")
-    return summed(answers(three, 3, width), n, v)
+    done("asked2", "state2", "level2")
+    out = common.written(summed(answers(three, 3, width), n, v), "scores")
+    done("asked3", "state3", "level3", "runs")
+    return out
