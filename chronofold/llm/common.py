@@ -175,13 +175,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> W
     cut = cut[cut > 0]
     stop[cut - 1] = inside[cut - 1]
     ends = np.flatnonzero(stop) + 1
+    return Words(span_hashes(low, starts, ends), np.searchsorted(starts, starts_at))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans starts[i]:ends[i]."""
+    n = len(raw)
     powers, inverse = _powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
-    h = mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(h, np.searchsorted(starts, starts_at))
+    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:

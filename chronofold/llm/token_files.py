@@ -16,7 +16,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import public_tokenizers
@@ -29,13 +28,25 @@ from . import common
 #: Tokens of a sequence, and sequences of a batch.
 SEQUENCE = 2048
 BATCH = 64
-#: Distinct text units whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of text encoded at once (a longer text is alone), places for the ids of distinct units
+#: that a worker remembers, and ids that it remembers at most (or those of one run of texts).
+RUN_BYTES = (1 << 21) - 8
+PLACES = 1 << 21
+POOL = 1 << 23
 
-_UNITS = re.compile(" (?=\\S)")
-_ODD = re.compile(" (?:\\s|$)")
-_MARKED = re.compile("([^\\W\\d_]+)([^\\w\\s'<]+)")
 _ENCODERS: dict[str, "Encoder"] = {}
+#: Bytes that surely are no white space: ASCII above the space, and leads of characters of two
+#: bytes or more whose range has no white space (fixed values of Unicode).
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_SOLID[0xC3:0xE1] = True
+_SOLID[0xE4:0xF5] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 
 
 def encoder(path: str) -> "Encoder":
@@ -45,12 +56,24 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def unit_starts(raw: np.ndarray) -> np.ndarray:
+    """Where the bytes of a text may be cut so that the ids of the whole are those of the units, one
+    after the other: the vocabulary's pre-tokeniser never joins what lies on either side. True before
+    a space that something solid follows, between a letter and a mark, and after a lone line feed
+    between something solid and a letter."""
+    out = np.zeros(len(raw), bool)
+    if len(raw) > 1:
+        out[:-1] = (raw[:-1] == 0x20) & _SOLID[raw[1:]]
+        out[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]
+        out[2:] |= (raw[1:-1] == 0x0A) & _LETTER[raw[2:]] & _SOLID[raw[:-2]] & (raw[:-2] < 0x7F)
+    return out
+
+
 class Encoder:
-    """Ids of whole texts, by the tokenizers library, with units of text remembered.
+    """Ids of whole texts, by the tokenizers library, with the ids of units of text remembered.
 
-    The vocabulary's pre-tokeniser never joins what stands before a space with the space and the
-    non-space after it, so a text's ids are those of its units (cut before each such space) one
-    after the other. Each distinct unit goes through the library once.
+    Texts are cut into units (unit_starts) that are looked up by 64-bit hashes; the library encodes
+    what is not remembered, each distinct unit once a run.
     """
 
     def __init__(self, path: str):
@@ -58,59 +81,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
         size = self.library.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.marks: dict[str, bytes] = {}
-        self.code = "H" if self.dtype is np.uint16 else "I"
-
-    def _library(self, units: list[str], prefix: str, into: dict[str, bytes]) -> None:
-        for i in range(0, len(units), 4096):
-            part = units[i : i + 4096]
-            encoded = self.library.encode_batch_fast([prefix + u for u in part], add_special_tokens=False)
-            into.update((u, array(self.code, e.ids).tobytes()) for u, e in zip(part, encoded))
-
-    def _words(self, words: list[str]) -> None:
-        """Words of letters alone, many in a text: each begins at the next token that has a space."""
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            at = (np.flatnonzero(self.spaced[ids]) * self.dtype().itemsize).tolist()
+        self.key, self.at, self.n = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)
+        self.pool, self.used = np.zeros(POOL, self.dtype), 0
+
+    def _library(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of each unit's). Words after a space go to the library
+        many in a text: each begins at the next token that has a space."""
+        joined, alone = [], []
+        for i, u in enumerate(units):
+            (joined if u[:1] == b" " and len(u.split()) == 1 and not _SPACE[np.frombuffer(u[1:], np.uint8)].any() else alone).append(i)
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(units)
+        for k in range(0, len(joined), 8192):
+            part = joined[k : k + 8192]
+            ids = np.array(self.library.encode_batch_fast([b"".join(units[i] for i in part).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(part):
-                self._library(part, " ", self.known)
+                alone += part
                 continue
-            raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
-
-    def _learn(self, units: set[str]) -> None:
-        """Marks after letters are a unit of their own: the pre-tokeniser parts them (apart from
-        an apostrophe's contractions, which stay with their letters here)."""
-        known, marks, parted, new = self.known, self.marks, [], set()
-        for u in units:
-            if not u.isalpha() and (m := _MARKED.fullmatch(u)) and m[1].isalpha():
-                parted.append((u, m[1], m[2]))
-            else:
-                new.add(u)
-        new.update(stem for _, stem, _ in parted if stem not in known)
-        self._words([u for u in new if u.isalpha()])
-        self._library([u for u in new if not u.isalpha()], " ", known)
-        self._library(list({mark for _, _, mark in parted if mark not in marks}), "", marks)
-        known.update((u, known[stem] + marks[mark]) for u, stem, mark in parted)
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as bytes of dtype."""
-        tail = np.array([end], self.dtype).tobytes()
-        cut = [_UNITS.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = self.library.encode_batch_fast([c.pop(0) for c in cut], add_special_tokens=False)
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.marks.clear()
-            new = set().union(*cut)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join([array(self.code, h.ids).tobytes(), *map(get, c), tail]) for h, c in zip(heads, cut)]
+            for i, own in zip(part, np.split(ids, at[1:])):
+                out[i] = own
+        for k in range(0, len(alone), 4096):
+            part = alone[k : k + 4096]
+            for i, e in zip(part, self.library.encode_batch_fast([units[i].decode() for i in part], add_special_tokens=False)):
+                out[i] = np.array(e.ids, self.dtype)
+        return np.concatenate([np.zeros(0, self.dtype), *out]), np.array([len(x) for x in out], np.int64)
+
+    def _found(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids) of each unit."""
+        slot = (h % np.uint64(PLACES)).astype(np.int64)
+        hit = self.key[slot] == h
+        at, n = self.at[slot], self.n[slot].astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        if not len(missed):
+            return at, n
+        new, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
+        own = missed[first]
+        ids, count = self._library([raw[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist())])
+        if self.used + len(ids) > len(self.pool):
+            if self.used:
+                self.key[:], self.used = 0, 0
+                return self._found(h, raw, starts, ends)
+            self.pool = np.zeros(len(ids), self.dtype)
+        place = self.used + np.cumsum(count) - count
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        slot = (new % np.uint64(PLACES)).astype(np.int64)
+        self.key[slot], self.at[slot], self.n[slot] = new, place, count
+        at[missed], n[missed] = place[back], count[back]
+        return at, n
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after the other, each with the end id; number of each text's)."""
+        lo = int(offsets[0])
+        raw, at = data[lo : int(offsets[-1])], (offsets - lo).astype(np.int64)
+        begin = unit_starts(raw)
+        filled = at[:-1][np.diff(at) > 0]
+        begin[filled] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(raw))[: len(starts)]
+        h = common.span_hashes(raw, starts, ends)
+        h[h == 0] = 1
+        place, n = self._found(h, raw, starts, ends)
+        text = np.searchsorted(at, starts, "right") - 1
+        of_text = np.bincount(text, weights=n, minlength=len(at) - 1).astype(np.int64) + 1
+        out = np.full(int(of_text.sum()), end, self.dtype)
+        before = np.cumsum(n) - n
+        to = before + text  # earlier texts' end ids lie between
+        step = np.arange(int(n.sum())) - np.repeat(before, n)
+        out[np.repeat(to, n) + step] = self.pool[np.repeat(place, n) + step]
+        return out, of_text
 
 
 def filesystem(uri: str):
@@ -127,7 +169,7 @@ def schema(dtype, sequence: int):
 
 
 class Writer:
-    """Streams token bytes into one file of equal-length sequences."""
+    """Streams token ids into one file of equal-length sequences."""
 
     def __init__(self, uri: str, dtype, sequence: int = SEQUENCE, batch: int = BATCH):
         import pyarrow as pa
@@ -137,17 +179,18 @@ class Writer:
         self.schema, self.dtype, self.sequence, self.size = schema(dtype, sequence), np.dtype(dtype), sequence, batch * sequence
         self.out = store.open_output_stream(path)
         self.file = pa.ipc.new_file(self.out, self.schema)
-        self.waiting, self.bytes, self.n_tokens = [], 0, 0
-
-    def add(self, ids: bytes) -> None:
-        self.waiting.append(ids)
-        self.bytes += len(ids)
-        self.n_tokens += len(ids) // self.dtype.itemsize
-        while self.bytes >= self.size * self.dtype.itemsize:
-            everything = np.frombuffer(b"".join(self.waiting), self.dtype)
-            self._batch(everything[: self.size], self.size)
-            left = everything[self.size :].tobytes()
-            self.waiting, self.bytes = [left], len(left)
+        self.waiting, self.n_tokens = np.zeros(0, self.dtype), 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n_tokens += len(ids)
+        if len(self.waiting) + len(ids) >= self.size:
+            ids = np.concatenate([self.waiting, ids])
+            whole = len(ids) // self.size * self.size
+            for i in range(0, whole, self.size):
+                self._batch(ids[i : i + self.size], self.size)
+            self.waiting = ids[whole:].copy()
+        else:
+            self.waiting = np.concatenate([self.waiting, ids])
 
     def _batch(self, ids: np.ndarray, full: int) -> None:
         import pyarrow as pa
@@ -159,9 +202,30 @@ class Writer:
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
-        if self.bytes:
-            ids = np.frombuffer(b"".join(self.waiting), self.dtype)
-            self._batch(ids, -(-len(ids) // self.sequence) * self.sequence)
+        if len(self.waiting):
+            self._batch(self.waiting, -(-len(self.waiting) // self.sequence) * self.sequence)
+        self.file.close()
+        self.out.close()
+
+
+class Index:
+    """Streams a token file's list of documents."""
+
+    def __init__(self, uri: str):
+        import pyarrow as pa
+
+        store, path = filesystem(uri)
+        self.schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.out = store.open_output_stream(path)
+        self.file, self.n_docs = pa.ipc.new_file(self.out, self.schema), 0
+
+    def add(self, doc_ids, start: np.ndarray, n: np.ndarray) -> None:
+        import pyarrow as pa
+
+        self.n_docs += len(n)
+        self.file.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(start, pa.int64()), pa.array(n, pa.int64())], schema=self.schema))
+
+    def close(self) -> None:
         self.file.close()
         self.out.close()
 
@@ -214,39 +278,35 @@ MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint"
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, sequence: int = SEQUENCE) -> DataFrame:
     """Write docs(doc_id, text, ...) in ascending doc_id order; returns the manifest, part by part.
 
-    Null ids come first; rows of one id are in order of a hash of their text. A null text is
-    empty: only the end id. Without documents the manifest is empty.
+    Null ids come first; rows of one id are in order of a hash of their text, and equal rows in
+    that of the input, so that no range of equal rows is bound to one task. A null text is empty:
+    only the end id. Without documents the manifest is empty.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    rows = rows.withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "_tie", "_row").sortWithinPartitions("doc_id", "_tie", "_row").select("doc_id", "text")
 
     def encode(batches):
         import pyarrow as pa
 
         from pyspark import TaskContext
 
-        coder = writer = None
+        coder = writer = index = None
         path = f"{folder}/{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.arrow"
-        index = []
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(1))
-            for i, j in common.runs_of(offsets, 1 << 20):
+            for i, j in common.runs_of(offsets, RUN_BYTES):
                 if writer is None:
                     coder = encoder(tokenizer)
-                    writer = Writer(path, coder.dtype, sequence)
-                own = batch.slice(i, j - i)
-                for doc_id, ids in zip(own.column(0).to_pylist(), coder.encode(own.column(1).to_pylist(), end)):
-                    index.append((doc_id, writer.n_tokens, len(ids) // writer.dtype.itemsize))
-                    writer.add(ids)
+                    writer, index = Writer(path, coder.dtype, sequence), Index(f"{path}.docs")
+                ids, n = coder.encode(data, offsets[i : j + 1], end)
+                index.add(batch.column(0).slice(i, j - i), writer.n_tokens + np.cumsum(n) - n, n)
+                writer.add(ids)
         if writer is None:
             return
         writer.close()
-        listed = pa.table({"doc_id": pa.array([x[0] for x in index], pa.int64()), "start": pa.array([x[1] for x in index], pa.int64()), "n_tokens": pa.array([x[2] for x in index], pa.int64())})
-        store, at = filesystem(f"{path}.docs")
-        with store.open_output_stream(at) as out, pa.ipc.new_file(out, listed.schema) as file:
-            file.write_table(listed)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([path]), pa.array([len(index)], pa.int64()), pa.array([writer.n_tokens], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
+        index.close()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([path]), pa.array([index.n_docs], pa.int64()), pa.array([writer.n_tokens], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     return common.written(rows.mapInArrow(encode, MANIFEST), "token-manifest")
 
@@ -271,11 +331,12 @@ def _read(manifest: DataFrame, column: str, derive) -> DataFrame:
                 file = TokenFile(path)
                 store, at = filesystem(f"{path}.docs")
                 with store.open_input_file(at) as source:
-                    listed = pa.ipc.open_file(source).read_all()
-                for part in listed.to_batches(max_chunksize=512):
-                    own, n = part.column(1).to_numpy(), part.column(2).to_numpy()
-                    got = [derive(file.tokens(int(a), int(k))) for a, k in zip(own, n)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own + start), part.column(2), pa.array(got, kinds[kind])], ["doc_id", "start", "n_tokens", name])
+                    listed = pa.ipc.open_file(source)
+                    for k in range(listed.num_record_batches):
+                        for part in pa.Table.from_batches([listed.get_batch(k)]).to_batches(max_chunksize=512):
+                            own, n = part.column(1).to_numpy(), part.column(2).to_numpy()
+                            got = [derive(file.tokens(int(a), int(k))) for a, k in zip(own, n)]
+                            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own + start), part.column(2), pa.array(got, kinds[kind])], ["doc_id", "start", "n_tokens", name])
 
     return files.mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, {column}")
 

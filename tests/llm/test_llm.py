@@ -323,7 +323,7 @@ def test_token_files_round_trip(spark, real, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    odd = [(20_000 + i, x) for i, x in enumerate([" a  b", " \n x", "a \nb\n\n c ", "x. y,. z.. ½. 12. 3, <|endoftext|> a<|endoftext|> b", "a , b . c's 'd ,x .y don't.'s", "a b   c", "Ⅷ. a_b. ́x."])]
+    odd = [(20_000 + i, x) for i, x in enumerate([" a  b", " \n x", "a \nb\n\n c ", "x. y,. z.. ½. 12. 3, <|endoftext|> a<|endoftext|> b", "a , b . c's 'd ,x .y don't.'s", "a b   c", "Ⅷ. a_b. ́x.", "a.\nB c\n\nD.\n E\r\nF, \u00a0g \u2003h \u3000 i", "x <|endoftext|> y<|endoftext|>.Z <|endoftext|", " 'll we'll.\nit's:'s é,\né ñ\nn —\nz", "a\x1c b \x1cc d\x85 e"])]
     rows = [(r.doc_id, r.text) for r in real.collect()] + odd + [(r[0] + 100_000, r[1]) for r in ODD if r[0] is not None]
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.round_trip(docs(spark, rows).repartition(3), sequence=64).collect())
     at, want = 0, []
@@ -339,7 +339,7 @@ def test_token_file_random_access(tmp_path):
     w = token_files.Writer(uri, np.uint16, sequence=8, batch=2)
     ids = np.arange(1, 46, dtype=np.uint16)
     for a, b in ((0, 3), (3, 40), (40, 40), (40, 45)):
-        w.add(ids[a:b].tobytes())
+        w.add(ids[a:b])
     w.close()
     f = token_files.TokenFile(uri)
     flat = np.concatenate([f.ids(i) for i in range(len(f))])
