@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,24 +15,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Seconds that settle() waits.
+SETTLE_S = 1.2
 SPACES = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    Where that setting is absent, a temporary folder is made and set if the session runs on one
+    machine (a local master); on a cluster, whose executors could not read it, that is an error.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not re.fullmatch("local(\\[.*\\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noting(paths: list[str]):
+    """Adds the scratch paths made within to the list."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _NOTED:
+        paths.append(path)
+    return path
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +81,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_path(path: str) -> str:
+    """A path without the scheme of local files."""
+    return re.sub("^file:/+", "/", path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more; only folders in the shared one are touched."""
     remove(table.sparkSession, *{f.rsplit("/", 1)[0] for f in table.inputFiles()})
@@ -48,10 +93,9 @@ def discard(table: DataFrame) -> None:
 
 def remove(spark: SparkSession, *folders: str) -> None:
     """Delete folders that lie in the shared one."""
-    local = lambda x: re.sub("^file:/+", "/", x)
-    base = local(shared_dir(spark)) + "/"
+    base = local_path(shared_dir(spark)) + "/"
     for folder in folders:
-        if local(folder).startswith(base):
+        if local_path(folder).startswith(base):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,7 +105,9 @@ def settle(spark: SparkSession, *folders: str) -> None:
     plans that nothing refers to (it does so when the driver's garbage is collected)."""
     remove(spark, *folders)
     gc.collect()
-    spark._jvm.java.lang.System.gc()
+    for wait in (SETTLE_S, SETTLE_S / 4):  # the gateway lets go of the driver's objects a second later
+        time.sleep(wait)
+        spark._jvm.java.lang.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,11 +292,16 @@ def join(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     clouds = common.written(clouds.join(nodes.select("sid", "n", "sketch"), "sid"), "clouds")
     pairs = _filtered(found.filter("not large").select("a", "b"), nodes, near)
     possible = common.written(pairs.unionByName(_tiled(clouds, f"ceil(count(*) / {CHUNK_NODES})", near, False)), "possible")
+    common.discard(found)
+    common.discard(clouds)
+    common.settle(docs.sparkSession)
     groups = components.components(possible).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
     groups = common.written(groups.join(nodes.select("sid", "n", "doc_id"), "sid"), "groups")
     sets = _whole_sets(docs, groups.select("doc_id", "sid"), size)
     members = common.written(groups.join(sets, "sid").select("cloud", "sid", "n", "own"), "sets")
     links = common.written(_tiled(members, f"ceil(sum(octet_length(own)) / {CHUNK_BYTES})", near, True), "verified")
+    common.discard(members)
+    common.settle(docs.sparkSession)
     roots = components.components(links)
     named = nodes.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common, subword
 
@@ -44,16 +45,19 @@ def rejection(model: subword.Model, texts: list[str], langs: list[str]) -> float
     return float(min(max(chance, top[order][good[-1]] if len(good) else MOST_LEVEL), MOST_LEVEL))
 
 
-def predict(docs: DataFrame, model: subword.Model) -> DataFrame:
-    """docs with lang_pred, score and rejected added.
+ADDED = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, model: subword.Model, names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with lang_pred, score and rejected (or other names for these) added.
 
     A null text, or one without a letter, is 'und' with score 0 and rejected. Otherwise lang_pred
     is the likeliest learned language, score its calibrated probability, and rejected tells a
     score under the model's level. Clashing columns of docs named so are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    docs = docs.select(*own)
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+    docs = docs.select(*[c for c, name in zip(common.columns(docs), docs.columns) if name in own])
     at = own.index("text")
 
     def run(batches):
@@ -67,12 +71,12 @@ def predict(docs: DataFrame, model: subword.Model) -> DataFrame:
                 texts = part.column(at).to_pylist()
                 p = np.round(model.probabilities(texts), 9)
                 lettered = np.array([subword.has_letter(t) for t in texts]) & (model.classes[0] is not None)
-                names = [model.classes[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), lettered)]
+                best = [model.classes[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), lettered)]
                 score = np.where(lettered, p.max(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(~lettered | (score < model.reject_below))], [*own, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(score), pa.array(~lettered | (score < model.reject_below))], [*own, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    added = StructType().add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
 
 
 def identify(docs: DataFrame, model: subword.Model | None = None) -> DataFrame:

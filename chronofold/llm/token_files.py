@@ -30,9 +30,9 @@ SEQUENCE = 2048
 BATCH = 64
 #: Bytes of text encoded at once (a longer text is alone), places for the ids of distinct units
 #: that a worker remembers, and ids that it remembers at most (or those of one run of texts).
-RUN_BYTES = (1 << 21) - 8
-PLACES = 1 << 21
-POOL = 1 << 23
+RUN_BYTES = (1 << 19) - 8
+PLACES = 1 << 20
+POOL = 1 << 22
 
 _ENCODERS: dict[str, "Encoder"] = {}
 #: Bytes that surely are no white space: ASCII above the space, and leads of characters of two
@@ -94,8 +94,8 @@ class Encoder:
         for i, u in enumerate(units):
             (joined if u[:1] == b" " and len(u.split()) == 1 and not _SPACE[np.frombuffer(u[1:], np.uint8)].any() else alone).append(i)
         out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(units)
-        for k in range(0, len(joined), 8192):
-            part = joined[k : k + 8192]
+        for k in range(0, len(joined), 2048):
+            part = joined[k : k + 2048]
             ids = np.array(self.library.encode_batch_fast([b"".join(units[i] for i in part).decode()], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(part):
@@ -103,8 +103,8 @@ class Encoder:
                 continue
             for i, own in zip(part, np.split(ids, at[1:])):
                 out[i] = own
-        for k in range(0, len(alone), 4096):
-            part = alone[k : k + 4096]
+        for k in range(0, len(alone), 1024):
+            part = alone[k : k + 1024]
             for i, e in zip(part, self.library.encode_batch_fast([units[i].decode() for i in part], add_special_tokens=False)):
                 out[i] = np.array(e.ids, self.dtype)
         return np.concatenate([np.zeros(0, self.dtype), *out]), np.array([len(x) for x in out], np.int64)

@@ -30,6 +30,11 @@ def docs(spark, rows):
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (4, "a"), (None, "a b"), (5, "é 😀 ñandú"), (6, "word " * 30_000), (7, "x" * 50_000), (8, "Ünïcödé, tést!")]
 
 
+@pytest.fixture(autouse=True)
+def no_waits(monkeypatch):
+    monkeypatch.setattr(common, "SETTLE_S", 0)
+
+
 @pytest.fixture(scope="module")
 def real(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -593,3 +598,46 @@ def test_pipeline(spark, tmp_path):
     assert sorted(kept["decontamination"]) == sorted(set(kept["near_duplicates"]) - bad)
     assert max(map(kept["mixing"].count, set(kept["mixing"]))) <= 3 and sorted(kept["mixing"]) == sorted(kept["sharding"])
     assert p.run(spark, sf).count() == len(kept["sharding"])
+
+
+def test_stages_keep_extra_columns_and_judge_rows_by_their_texts(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    bad, x, y, z = words(40), words(60), words(60), words(60)
+    spark.createDataFrame([(1, bad)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(7, x), (7, y), (3, x), (None, z), (None, z + " more"), (None, bad), (5, bad + " " + words(5)), (5, words(50)), (9, None), (9, "")] + [(100 + i, words(30)) for i in range(30)]
+    extra = "_id string, _times int, _copy int, score string, key string, twin int, times string, copy string, rejected int, `group` int, id string, `a b` int, Doc_key int"
+    rows = [(i, t, "en" if k % 2 else "fr", "src", None, "i", 1, 2, "s", "k", 3, "t", "c", 4, 5, "id", 6, k) for k, (i, t) in enumerate(texts)]
+    table = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
+    kept = {}
+    for name, stage in p.STAGES[:-1]:
+        out = common.written(stage(spark, table, str(tmp_path)), "t")
+        assert out.schema == table.schema or [f.name for f in out.schema] == [f.name for f in table.schema]
+        got = out.collect()
+        assert all((r["score"], r["_id"], r["_times"], r["rejected"], r["a b"]) == ("s", "i", 1, 4, 6) for r in got)
+        kept[name], table = [(r.doc_id, r.text) for r in got], out
+    assert not any(t is None or t == "" for _, t in kept["language"])
+    near = kept["near_duplicates"]
+    assert (7, y) in near and (3, x) in near and (7, x) not in near and len(near) == len(set(near))
+    assert sum(t.startswith(z) for _, t in near) == 1 and sum(t.startswith(bad) for _, t in near) == 1
+    assert not any(t.startswith(bad) for _, t in kept["decontamination"]) and len(kept["decontamination"]) == len(near) - 1
+    empty = table.limit(0)
+    for name, stage in p.STAGES:
+        assert common.written(stage(spark, empty, str(tmp_path)), "t").count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
