@@ -30,9 +30,9 @@ SEQUENCE = 2048
 BATCH = 64
 #: Bytes of text encoded at once (a longer text is alone), places for the ids of distinct units
 #: that a worker remembers, and ids that it remembers at most (or those of one run of texts).
-RUN_BYTES = (1 << 19) - 8
-PLACES = 1 << 20
-POOL = 1 << 22
+RUN_BYTES = (1 << 20) - 8
+PLACES = 1 << 21
+POOL = 1 << 24
 
 _ENCODERS: dict[str, "Encoder"] = {}
 #: Bytes that surely are no white space: ASCII above the space, and leads of characters of two
