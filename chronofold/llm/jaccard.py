@@ -130,8 +130,8 @@ def sketched(docs: DataFrame, size: int, near: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, sid bigint, sketch binary, keys binary")
 
 
-def exploded(nodes: DataFrame) -> DataFrame:
-    """(key, sid): a row for each block key."""
+def exploded(rows: DataFrame) -> DataFrame:
+    """(key, sid): a row for each block key of rows(sid, keys)."""
 
     def run(batches):
         import pyarrow as pa
@@ -144,7 +144,7 @@ def exploded(nodes: DataFrame) -> DataFrame:
                 if len(sid):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw)), pa.array(sid)], ["key", "sid"])
 
-    return nodes.select("sid", "keys").mapInArrow(run, "key bigint, sid bigint")
+    return rows.select("sid", "keys").mapInArrow(run, "key bigint, sid bigint")
 
 
 def matched(keys: DataFrame) -> DataFrame:
@@ -160,6 +160,8 @@ def matched(keys: DataFrame) -> DataFrame:
         key, sid = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((sid, key))
         key, sid = key[order], sid[order]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))  # repeated rows of one id
+        key, sid = key[once], sid[once]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(first, append=len(key))
         pairs, stars = [], []
@@ -285,9 +287,13 @@ def join(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """
     all_rows = common.written(sketched(docs, size, near), "sketches")
     known = all_rows.filter("sid is not null and doc_id is not null")
-    nodes = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    nodes = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = common.written(nodes, "nodes")
-    found = common.written(matched(exploded(nodes)).distinct(), "matches")
+    # keys are large: only those of a node's own document are moved, and only once
+    chosen = nodes.select("sid", "doc_id")
+    keyed = known.select("sid", "doc_id", "keys").join(F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen, ["sid", "doc_id"], "left_semi")
+    found = common.written(matched(exploded(keyed)).distinct(), "matches")
+    common.settle(docs.sparkSession)
     clouds = components.components(found.filter("large").select("a", "b")).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
     clouds = common.written(clouds.join(nodes.select("sid", "n", "sketch"), "sid"), "clouds")
     pairs = _filtered(found.filter("not large").select("a", "b"), nodes, near)
