@@ -19,8 +19,10 @@ from .sources import store
 #: 2024-01-01 00:00 UTC, when events begin.
 T0 = 1_704_067_200
 DAY = 86_400
-PERIODS = generations.calendar([("01/01/24", 1)])
-NOW = T0 + 9 * DAY
+#: Two periods: the second, asked for from 15 January, begins where the first has had two generations.
+PERIODS = generations.calendar([("01/01/24", 1), ("15/01/24", 2)])
+#: So early that points of generation 2 are too far ahead.
+NOW = T0
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,8 +180,10 @@ def dedup_last_write(spark, sf_dir):
 
 
 def value_widening(spark, sf_dir):
-    rows = _points(spark, sf_dir)
-    return rows.select("write_seq", "value")
+    """FLOAT points of events and INT points beyond 2 ** 53, which doubles round."""
+    rows = _points(spark, sf_dir).select(F.col("write_seq").cast("bigint").alias("write_seq"), "kind", F.lit(None).cast("bigint").alias("int_value"), "float_value")
+    whole = rows.select("write_seq", F.lit("INT").alias("kind"), ((F.lit(1 << 53)) + F.col("write_seq")).alias("int_value"), F.lit(None).cast("float").alias("float_value"))
+    return rows.unionByName(whole).select("write_seq", "kind", model.widened(F.col("int_value"), F.col("float_value")).alias("value"))
 
 
 def group_by_tag(spark, sf_dir):
@@ -189,7 +193,7 @@ def group_by_tag(spark, sf_dir):
 
 def _aligned(agg):
     def run(spark, sf_dir):
-        grid = series.last_write(_grouped(spark, sf_dir).withColumn("ts", F.col("ts") - F.col("ts") % 3600))
+        grid = series.last_write(_grouped(spark, sf_dir).withColumn("ts", F.col("ts") - F.col("ts") % 3600), by_series=("cluster",))
         return _rounded(grid.groupBy("metric", "cluster", "ts").agg(getattr(F, agg)("value").alias("value")))
 
     return run
@@ -252,20 +256,63 @@ def rollup_1d(spark, sf_dir):
 
 
 def rollup_transparent(spark, sf_dir):
-    """Two-hourly maxima: hourly rollups to the 20th day, five-minute ones to the 25th, then raw points."""
-    raw = _points(spark, sf_dir).select("metric", "series_key", "ts", "value")
-    rolled = rollup.hourly(raw, ["metric", "series_key"]).filter("agg = 'max'")
-    ends = {rollup.HOUR: T0 + 20 * DAY, rollup.MINUTE5: T0 + 25 * DAY}
-    return _rounded(routing.read(raw, rolled, ["metric", "series_key"], T0, T0 + 31 * DAY, 7200, "max", ends))
+    """Two-hourly sums: hourly rollups as far as they reach, five-minute ones as far as those reach,
+    then raw points. The rollups lack every other point, as if those had come later, so each piece
+    shows in the result; the boundaries are found in the data."""
+    raw = _points(spark, sf_dir)
+    early = rollup.hourly(raw.filter("write_seq % 2 = 0").filter(F.col("ts") < T0 + 25 * DAY), ["metric", "series_key"])
+    rolled = early.filter("agg = 'sum'").filter((F.col("resolution") == rollup.MINUTE5) | (F.col("ts") < T0 + 20 * DAY))
+    out = routing.read(raw.select("metric", "series_key", "ts", "value"), rolled, ["metric", "series_key"], T0, T0 + 31 * DAY, 7200, "sum")
+    return out.withColumn("value", F.round("value", 3))
+
+
+def rollup_job(spark, sf_dir):
+    """The stored job: points written, rolled up by the hour and by the day for each generation, and
+    the rollups read back through pruned scans by resolution and aggregate."""
+    path = _shared(spark, "store")
+    store.write(store.placed(_points(spark, sf_dir), PERIODS, T0 + 31 * DAY), path)
+    store.roll_up(spark, path, PERIODS, T0, T0 + 28 * DAY, "hour")
+    store.roll_up(spark, path, PERIODS, T0, T0 + 28 * DAY, "day")
+    own = filters.from_mapping({"cluster": "c0|c1"})
+    out = None
+    for resolution, agg in ((rollup.HOUR, "max"), (rollup.DAY, "sum")):
+        rows = store.scan(spark, path, "click", T0, T0 + 28 * DAY, own, PERIODS, resolution, agg).select("resolution", "agg", "series_key", "ts", F.round("value", 2).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _known_names(spark, sf_dir):
+    """Names with generations of five days, seven or so, of which suggestions look into three."""
+    return metadata.names(_points(spark, sf_dir).withColumn("generation", F.floor((F.col("ts") - T0) / (5 * DAY)).cast("int")))
 
 
-def _suggest(kind, prefix):
+def _suggest(kind, prefix, limit=5):
     def run(spark, sf_dir):
-        return metadata.suggest(metadata.names(_points(spark, sf_dir)), prefix, kind)
+        return metadata.suggest(_known_names(spark, sf_dir), prefix, kind, limit)
 
     return run
 
 
+_NAMES = """n AS (
+  SELECT DISTINCT ((ts - {t0}) // {span})::INTEGER AS generation, 'metric' AS kind, metric AS name FROM p
+  UNION SELECT ((ts - {t0}) // {span})::INTEGER, 'tagk', unnest(['cluster', 'user']) FROM p
+  UNION SELECT ((ts - {t0}) // {span})::INTEGER, 'tagv', unnest([cluster, user]) FROM p)""".format(t0=T0, span=5 * DAY)
+
+
+def _suggest_sql(kind, prefix, limit=5):
+    return f"""WITH {P}, {_NAMES}, g AS (SELECT DISTINCT generation FROM n ORDER BY 1 DESC LIMIT {metadata.GENERATIONS})
+      SELECT DISTINCT name FROM (SELECT name, row_number() OVER (PARTITION BY generation ORDER BY name) AS r FROM n JOIN g USING (generation) WHERE kind = '{kind}' AND name LIKE '{prefix}%') WHERE r <= {limit}"""
+
+
+def stored_names(spark, sf_dir):
+    """The stored dimension of names, registered in two parts of which the second meets known names."""
+    path = _shared(spark, "names")
+    points = _points(spark, sf_dir).withColumn("generation", F.floor((F.col("ts") - T0) / (5 * DAY)).cast("int"))
+    for part in (points.filter("write_seq % 3 = 0"), points):
+        metadata.register(part, path)
+    return metadata.read_names(spark, path)
+
+
 def distinct_tag_values(spark, sf_dir):
     return metadata.distinct_values(_points(spark, sf_dir), "user")
 
@@ -282,6 +329,11 @@ def generation_id(spark, sf_dir):
     return _generation_rows(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+_G = " ".join(f"WHEN ts >= {p.start} THEN {p.first} + (ts - {p.start}) // {p.length}" for p in reversed(PERIODS))
+_GENERATIONS = f"""g AS (SELECT metric, series_key, ts, (CASE WHEN g > {generations.generation_at(NOW, PERIODS) + 1} THEN -1 ELSE g END)::INTEGER AS generation
+  FROM (SELECT *, CASE {_G} ELSE -1 END AS g FROM p))"""
+
+
 def outlander_split(spark, sf_dir):
     return _generation_rows(spark, sf_dir).filter(F.col("generation") == generations.OUTLANDER).select("metric", "series_key", "ts")
 
@@ -305,10 +357,13 @@ def json_write_points(spark, sf_dir):
 
 
 def list_points_scan(spark, sf_dir):
+    """Each series' values of a day as a list point, written to the store of lists and scanned."""
+    path = _shared(spark, "lists")
     p = _points(spark, sf_dir)
-    lists = p.groupBy("metric", "series_key", F.map_entries("tags").alias("_t"), (F.col("ts") - F.col("ts") % DAY).alias("ts")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), "float_value"))), lambda x: x["float_value"]).alias("float_list"))
-    lists = lists.withColumns({"tags": F.map_from_entries("_t"), "int_list": F.lit(None).cast("array<bigint>")}).drop("_t")
-    found = store.list_points(lists, "click", T0 + 2 * DAY, T0 + 9 * DAY, [filters.of("cluster", "c1|c3")])
+    lists = p.groupBy("metric", "series_key", (F.col("ts") - F.col("ts") % DAY).alias("ts")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), "float_value"))), lambda x: x["float_value"]).alias("float_list"))
+    full = lists.withColumns({"tags": model.tags_of(F.col("series_key")), "kind": F.lit("FLOAT_LIST"), "int_list": F.lit(None).cast("array<bigint>"), "write_seq": F.lit(0).cast(model.SEQUENCE)})
+    store.write_lists(full.select(*model.LISTS.names), path, PERIODS, T0 + 31 * DAY)
+    found = store.scan_lists(spark, path, "click", T0 + 2 * DAY, T0 + 9 * DAY, filters.from_mapping({"cluster": "c1|c3"}), PERIODS)
     return found.select("series_key", "ts", F.posexplode("values").alias("i", "value"))
 
 
@@ -320,16 +375,24 @@ def names_dimension(spark, sf_dir):
     return metadata.names(_points(spark, sf_dir)).select("kind", "name")
 
 
-def result_json(spark, sf_dir):
+def _answer(spark, sf_dir):
+    """Daily sums of two clusters, in hundredths as whole numbers."""
     q = query.Query("click", "sum", tuple(filters.from_mapping({"cluster": "c0|c1"})), downsample=(DAY, "avg"))
     rows = query.plan(_points(spark, sf_dir), query.Request(T0, T0 + 31 * DAY, (q,)), q)
-    return query.to_json_rows(rows.withColumn("value", F.round("value", 4)), "click")
+    return rows.withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
+
+
+def result_json(spark, sf_dir):
+    return query.to_json_rows(_answer(spark, sf_dir), "click")
 
 
 def result_text(spark, sf_dir):
-    q = query.Query("click", "sum", tuple(filters.from_text("cluster->c0 c1")), downsample=(DAY, "avg"))
-    rows = query.plan(_points(spark, sf_dir), query.Request(T0, T0 + 31 * DAY, (q,)), q)
-    return query.to_text_lines(rows.withColumn("value", F.round("value", 4)))
+    return query.to_text_lines(_answer(spark, sf_dir))
+
+
+_ANSWER = f"""WITH {P}, b AS (SELECT cluster, series_key, ts - ts % {DAY} + {DAY // 2} AS ts, avg(value) AS value FROM p WHERE metric = 'click' AND cluster IN ('c0', 'c1') GROUP BY ALL),
+  {_segments_sql('b', 'cluster')}, a AS (SELECT cluster, ts, round(value * 100)::BIGINT AS value FROM (
+  SELECT cluster, ts - ts % {DAY} + {DAY // 2} AS ts, avg(value) AS value FROM (SELECT cluster, ts, sum(value) AS value FROM i GROUP BY ALL) GROUP BY cluster, ts - ts % {DAY}))"""
 
 
 def lag_gauge(spark, sf_dir):
@@ -357,13 +420,13 @@ def _tables():
         "filter_any_tag": (filter_any_tag, f"WITH {P} {_F} metric = 'view' AND user IS NOT NULL"),
         "filter_conjunction": (filter_conjunction, f"WITH {P} {_F} cluster IN ('c0', 'c2') AND ts >= {T0 + 20 * DAY}"),
         "dedup_last_write": (dedup_last_write, f"WITH {L} SELECT series_key, ts, arg_max(value, seq)::DOUBLE AS value FROM d GROUP BY series_key, ts"),
-        "value_widening": (value_widening, f"WITH {P} SELECT write_seq, value FROM p"),
+        "value_widening": (value_widening, f"WITH {P} SELECT write_seq, 'FLOAT' AS kind, value FROM p UNION ALL SELECT write_seq, 'INT', (9007199254740992 + write_seq)::DOUBLE FROM p"),
         "group_by_tag": (group_by_tag, f"WITH {P} SELECT metric, 'cluster=' || cluster AS \"group\", count(DISTINCT series_key) AS n_series, count(*) AS n_points FROM p GROUP BY ALL"),
         "rate": (rate, f"WITH {P} SELECT metric, series_key, ts, round(value, 9) AS value FROM ({_RATE.format(keys='metric, series_key', source='p')})"),
         "segments": (segments, f"WITH {P} SELECT * FROM (SELECT metric, series_key, ts AS x1, value AS y1, lead(ts) OVER w AS x2, lead(value) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY metric, series_key ORDER BY ts)) WHERE x2 IS NOT NULL"),
         "union_times": (union_times, f"WITH {P}, {_segments_sql('p')} SELECT metric, cluster, ts FROM x"),
         "interp_sum_join": (_interp("sum", "join"), _interp_sql("p", "sum")),
-        "interp_sum_sweep": (_interp_sweep, f"SELECT metric, cluster, count(*) AS n, round(avg(value), 3) AS mean FROM ({_interp_sql('p', 'sum').replace('round(sum(value), 6)', 'sum(value)')}) GROUP BY metric, cluster"),
+        "interp_sum_sweep": (_interp_sweep, _interp_sql("p", "sum").replace("round(sum(value), 6)", "round(sum(value), 3)")),
         "interp_downsample": (interp_downsample, f"SELECT metric, cluster, ts - ts % {DAY} + {DAY // 2} AS ts, round(avg(value), 6) AS value FROM (WITH {P}, {_segments_sql('p')} SELECT metric, cluster, ts, max(value) AS value FROM i GROUP BY ALL) GROUP BY metric, cluster, ts - ts % {DAY}"),
         "full_query_group_rate_downsample": (full_query_group_rate_downsample, f"""WITH {P}, c AS (SELECT 'cluster=' || cluster AS g, series_key, ts, value FROM p WHERE metric = 'click' AND cluster IN ('c0', 'c1', 'c2') AND ts >= {T0} AND ts < {T0 + 25 * DAY}),
           w AS ({_down_sql(7200, 'sum', 'g, series_key', 'c')}), r AS ({_RATE.format(keys='g, series_key', source='w')}), {_segments_sql('r', 'g')}
@@ -374,15 +437,21 @@ def _tables():
         "rollup_1d": (rollup_1d, f"""WITH {P}, h AS ({_ROLL.format(n=3600).replace('round((v::FLOAT)::DOUBLE, 3)', '(v::FLOAT)::DOUBLE')})
           SELECT metric, series_key, agg, ts - ts % {DAY} AS ts, round(((CASE agg WHEN 'max' THEN max(value) WHEN 'min' THEN min(value) WHEN 'sum' THEN sum(value) ELSE avg(value) END)::FLOAT)::DOUBLE, 2) AS value
           FROM h GROUP BY metric, series_key, agg, ts - ts % {DAY}"""),
-        "rollup_transparent": (rollup_transparent, f"WITH {P} SELECT metric, series_key, ts - ts % 7200 + 3600 AS ts, round(max(value), 6) AS value FROM p WHERE ts >= {T0} AND ts < {T0 + 31 * DAY} GROUP BY metric, series_key, ts - ts % 7200"),
-        "suggest_metric": (_suggest("metrics", "c"), f"WITH {P} SELECT DISTINCT metric AS name FROM p WHERE metric LIKE 'c%' ORDER BY 1 LIMIT 25"),
-        "suggest_tagk": (_suggest("tagk", ""), "SELECT unnest(['cluster', 'user']) AS name"),
-        "suggest_tagv": (_suggest("tagv", "1"), f"WITH {P} SELECT DISTINCT user AS name FROM p WHERE user LIKE '1%' ORDER BY 1 LIMIT 25"),
+        "rollup_transparent": (rollup_transparent, f"""WITH {P}, r AS (
+            SELECT 3600 AS n, metric, series_key, ts - ts % 3600 AS ts, (sum(value)::FLOAT)::DOUBLE AS value FROM p WHERE write_seq % 2 = 0 AND ts < {T0 + 20 * DAY} GROUP BY metric, series_key, ts - ts % 3600
+            UNION ALL SELECT 300, metric, series_key, ts - ts % 300, (sum(value)::FLOAT)::DOUBLE FROM p WHERE write_seq % 2 = 0 AND ts < {T0 + 25 * DAY} GROUP BY metric, series_key, ts - ts % 300),
+          e AS (SELECT max(ts) FILTER (n = 3600) + 3600 AS a, max(ts) FILTER (n = 300) + 300 AS b FROM r),
+          u AS (SELECT metric, series_key, ts, value FROM r, e WHERE n = 3600 AND ts < a UNION ALL SELECT metric, series_key, ts, value FROM r, e WHERE n = 300 AND ts >= a AND ts < b
+            UNION ALL SELECT metric, series_key, ts, value FROM p, e WHERE ts >= b)
+          SELECT metric, series_key, ts - ts % 7200 + 3600 AS ts, round(sum(value), 3) AS value FROM u GROUP BY metric, series_key, ts - ts % 7200"""),
+        "suggest_metric": (_suggest("metrics", "c"), _suggest_sql("metric", "c")),
+        "suggest_tagk": (_suggest("tagk", ""), _suggest_sql("tagk", "")),
+        "suggest_tagv": (_suggest("tagv", "1"), _suggest_sql("tagv", "1")),
         "distinct_tag_values": (distinct_tag_values, f"WITH {P} SELECT count(DISTINCT user) AS n FROM p"),
         "health_check": (health_check, f"""WITH {P}, c AS (SELECT count(DISTINCT user) FILTER (ts < {T0 + 6 * DAY}) AS count1, count(DISTINCT user) FILTER (ts >= {T0 + 6 * DAY}) AS count2
           FROM p WHERE metric = 'click' AND cluster = 'c1' AND ts >= {T0 + 4 * DAY} AND ts < {T0 + 8 * DAY}) SELECT *, coalesce((count1 - count2)::DOUBLE / nullif(count1, 0) < 0.3, false) AS healthy FROM c"""),
-        "generation_id": (generation_id, f"WITH {P}, g AS (SELECT ts, ((ts - {PERIODS[0].start}) // {PERIODS[0].length})::INTEGER AS g FROM p) SELECT CASE WHEN g > {generations.generation_at(NOW, PERIODS) + 1} THEN -1 ELSE g END AS generation, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY 1"),
-        "outlander_split": (outlander_split, f"WITH {P} SELECT metric, series_key, ts FROM p WHERE (ts - {PERIODS[0].start}) // {PERIODS[0].length} > {generations.generation_at(NOW, PERIODS) + 1}"),
+        "generation_id": (generation_id, f"WITH {P}, {_GENERATIONS} SELECT generation, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY generation"),
+        "outlander_split": (outlander_split, f"WITH {P}, {_GENERATIONS} SELECT metric, series_key, ts FROM g WHERE generation = -1"),
         "shard_predicate": (shard_predicate, f"WITH {P} SELECT '{{cluster: ' || cluster || '}}_7_' || length(cluster)::VARCHAR AS shard, count(*) AS n FROM p WHERE write_seq % 5 <> 0 GROUP BY 1"),
         "parse_put_line": (parse_put_line, f"""WITH {P} SELECT write_seq AS event_id, metric, series_key, ts, CASE WHEN write_seq % {_CASES} = 10 THEN 'INT' ELSE 'FLOAT' END AS kind,
           CASE WHEN write_seq % {_CASES} = 10 THEN write_seq::DOUBLE ELSE ((write_seq::VARCHAR || '.5')::FLOAT)::DOUBLE END AS value FROM p WHERE write_seq % {_CASES} IN (10, 11)"""),
@@ -397,8 +466,17 @@ def _tables():
         "latest_timestamp": (latest_timestamp, f"WITH {P} SELECT metric, max(ts) AS latest FROM p GROUP BY metric"),
         "names_dimension": (names_dimension, f"WITH {P} SELECT DISTINCT 'metric' AS kind, metric AS name FROM p UNION SELECT 'tagk', unnest(['cluster', 'user']) UNION SELECT 'tagv', user FROM p UNION SELECT 'tagv', cluster FROM p"),
         "lag_gauge": (lag_gauge, f"WITH {P}, c AS (SELECT user, count(*) FILTER (ts >= {T0 + 15 * DAY}) AS n FROM p GROUP BY user) SELECT sum(n)::BIGINT AS total, max(n) AS max FROM c"),
-        "result_json": (result_json, None),
-        "result_text": (result_text, None),
+        "result_json": (result_json, _ANSWER + """SELECT 'cluster=' || cluster AS "group", '{"metric":"click","tags":{"cluster":"' || cluster || '"},"dps":{' || string_agg('"' || ts || '":' || value, ',' ORDER BY ts) || '}}' AS json FROM a GROUP BY cluster"""),
+        "result_text": (result_text, _ANSWER + """SELECT 'cluster=' || cluster AS "group", ts AS line, ts || ' ' || value AS text FROM a UNION ALL SELECT DISTINCT 'cluster=' || cluster, -1, '{cluster=' || cluster || '}' FROM a"""),
+        "stored_names": (stored_names, f"WITH {P}, {_NAMES} SELECT generation, kind, name FROM n"),
+        "rollup_job": (rollup_job, f"""WITH {P}, o AS (SELECT * FROM p WHERE metric = 'click' AND cluster IN ('c0', 'c1') AND ts >= {T0} AND ts < {T0 + 28 * DAY}),
+          h AS (SELECT series_key, ts - ts % 3600 AS ts, (max(value)::FLOAT)::DOUBLE AS max, (sum(value)::FLOAT)::DOUBLE AS sum FROM o GROUP BY series_key, ts - ts % 3600)
+          SELECT 3600 AS resolution, 'max' AS agg, series_key, ts, round(max, 2) AS value FROM h UNION ALL
+          SELECT {DAY}, 'sum', series_key, ts - ts % {DAY}, round((sum(sum)::FLOAT)::DOUBLE, 2) FROM h GROUP BY series_key, ts - ts % {DAY}"""),
+        "replay_drop": (replay_drop, f"""WITH {P} SELECT metric, series_key, ts, CASE WHEN write_seq % {_CASES} = 10 THEN write_seq::DOUBLE ELSE ((write_seq::VARCHAR || '.5')::FLOAT)::DOUBLE END AS value FROM p WHERE write_seq % {_CASES} IN (10, 11)"""),
+        "write_points": (write_points, f"""WITH {P} SELECT write_seq AS event_id, CASE WHEN write_seq % 11 = 0 THEN 'invalid timestamp' WHEN write_seq % 13 = 0 THEN 'invalid value' WHEN write_seq % 7 = 0 THEN 'illegal character' END AS error,
+          CASE WHEN write_seq % 7 = 0 OR write_seq % 11 = 0 OR write_seq % 13 = 0 THEN NULL ELSE write_seq::DOUBLE END AS value FROM p"""),
+        "lines_round_trip": (lines_round_trip, f"WITH {P} SELECT metric, series_key, ts, value FROM p"),
         "streaming_rollup": (streaming_rollup, f"WITH {P} SELECT metric, series_key, ts - ts % 3600 AS ts, round((max(value)::FLOAT)::DOUBLE, 3) AS max, round((min(value)::FLOAT)::DOUBLE, 3) AS min FROM p GROUP BY metric, series_key, ts - ts % 3600"),
         "streaming_failover": (streaming_failover, f"SELECT 'drop' AS sink, count(*) AS n FROM events WHERE event_id % {_CASES} IN (7, 8, 10, 11) UNION ALL SELECT 'quarantine', count(*) FROM events WHERE event_id % {_CASES} NOT IN (7, 8, 10, 11)"),
         "stored_scan": (stored_scan, f"WITH {P} {_F} metric = 'view' AND cluster IN ('c1', 'c2') AND ts >= {T0 + DAY} AND ts < {T0 + 20 * DAY}"),
@@ -411,18 +489,22 @@ def _tables():
 
 
 def _interp_sweep(spark, sf_dir):
-    """The sweep cancels large sums, so single values differ in the last places: means of groups."""
+    """Every value; the sweep adds and takes away lines, so the last places differ: three are kept."""
     rows = series.interpolate(_grouped(spark, sf_dir), ["metric", "cluster"], ["series_key"], "sum", "sweep")
-    return rows.groupBy("metric", "cluster").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"))
+    return rows.withColumn("value", F.round("value", 3))
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set."""
+    """A new path in the folder that driver and executors share; a local one only where none is set
+    and the session runs on one machine."""
+    import re
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch("local(\\[.*\\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -465,6 +547,39 @@ def streaming_failover(spark, sf_dir):
     return dropped.unionByName(spark.read.parquet(f"{folder}/bad").agg(F.lit("quarantine").alias("sink"), F.count("*").alias("n")))
 
 
+def replay_drop(spark, sf_dir):
+    """Lines into a main sink that always fails, and the drop replayed into the store."""
+    from .streaming import ingest
+
+    folder = _shared(spark, "replay")
+    _lines(spark, sf_dir).select(F.regexp_replace("line", "\r", "").alias("line")).write.text(f"{folder}/in")
+    lines = spark.readStream.text(f"{folder}/in").withColumnRenamed("value", "line")
+    ingest.ingest(lines, ingest.failing, ingest.parquet_sink(f"{folder}/drop"), ingest.black_hole, f"{folder}/state").awaitTermination()
+
+    def stored(batch, batch_id):
+        store.write(store.placed(batch.filter("kind in ('INT', 'FLOAT')").select(*model.POINTS.names), PERIODS, T0 + 31 * DAY), f"{folder}/store")
+
+    ingest.replay(spark, f"{folder}/drop", stored, f"{folder}/replay")
+    return spark.read.parquet(f"{folder}/store").select("metric", "series_key", "ts", "value")
+
+
+def write_points(spark, sf_dir):
+    """JSON bodies, some bad, as POST /write splits them: valid points and quarantined ones."""
+    host = F.concat(F.when(F.col("event_id") % 7 == 0, "h!").otherwise("h"), F.col("user_id").cast("string"))
+    ts = F.when(F.col("event_id") % 11 == 0, F.lit(-5)).otherwise(model.epoch_seconds("ts"))
+    value = F.when(F.col("event_id") % 13 == 0, F.lit('"abc"')).otherwise(F.col("event_id").cast("string"))
+    bodies = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"'), host, F.lit("/"), F.col("event_type"), F.lit('": {"value": '), value, F.lit(', "timestamp": '), ts, F.lit(', "type": "numeric"}}')).alias("body"))
+    valid, bad = parsing.split_valid(parsing.checked(parsing.parse_json(bodies), ("host",)))
+    widened = model.widened(F.col("int_value"), F.col("float_value"))
+    return valid.select("event_id", F.lit(None).cast("string").alias("error"), widened.alias("value")).unionByName(bad.select("event_id", "error", F.lit(None).cast("double").alias("value")))
+
+
+def lines_round_trip(spark, sf_dir):
+    """Points as the lines that a queue carries, parsed back."""
+    valid, _ = parsing.split_valid(parsing.parse_lines(parsing.to_lines(_points(spark, sf_dir)).select("line")))
+    return valid.select("metric", "series_key", "ts", model.widened(F.col("int_value"), F.col("float_value")).alias("value"))
+
+
 def queries():
     return {k: q for k, (q, _) in _tables().items()}
 

@@ -24,16 +24,21 @@ class Period:
 
 
 def calendar(configs: list[tuple[str, int]]) -> list[Period]:
-    """Periods of (dd/MM/yy date, period_spans), in order of date; numbers go on from one to the next."""
-    dated = sorted((timeutil.aligned_date(d), spans * timeutil.SPAN) for d, spans in configs)
+    """Periods of (dd/MM/yy date, period_spans), in order of date; numbers go on from one to the next.
+
+    No generation is cut: a further period begins where a generation of the period before ends, on
+    or after its own date, and leaves that period AHEAD + 1 generations at least.
+    """
     out: list[Period] = []
-    for start, length in dated:
+    for start, length in sorted((timeutil.aligned_date(d), spans * timeutil.SPAN) for d, spans in configs):
         if length <= 0:
             raise ValueError("a period has one span at least")
-        if out and start <= out[-1].start:
-            raise ValueError("two periods begin on one date")
-        first = 0 if not out else out[-1].first + -(-(start - out[-1].start) // out[-1].length)
-        out.append(Period(start, length, first))
+        if not out:
+            out.append(Period(start, length, 0))
+            continue
+        before = out[-1]
+        n = max(AHEAD + 1, -(-(start - before.start) // before.length))
+        out.append(Period(before.start + n * before.length, length, before.first + n))
     return out
 
 
@@ -59,9 +64,7 @@ def covering(start: int, stop: int, periods: list[Period]) -> list[int]:
 
 
 def time_range(number: int, periods: list[Period]) -> tuple[int, int]:
-    """[start, stop) of a generation; a new period cuts the last generation of the one before."""
-    k = max(i for i, p in enumerate(periods) if p.first <= number)
-    p = periods[k]
+    """[start, stop) of a generation."""
+    p = [p for p in periods if p.first <= number][-1]
     start = p.start + (number - p.first) * p.length
-    stop = start + p.length
-    return start, min(stop, periods[k + 1].start) if k + 1 < len(periods) else stop
+    return start, start + p.length

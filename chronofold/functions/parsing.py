@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 
 MAX_LINE_BYTES = 2048
+#: Legal names: a fixed format.
 _NAME = "^[A-Za-z0-9._/@-]*$"
 _INTEGER = "^[+-]?[0-9]{1,19}$"
 
@@ -31,7 +32,7 @@ def is_list(text: Column) -> Column:
 
 
 def list_items(text: Column) -> Column:
-    """Texts of the items of `[a,b]`; the empty list has none."""
+    """Texts of the items of `[a,b]`; an empty list has none, which is no value."""
     inner = text.substr(F.lit(2), F.length(text) - 2)
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ","))
 
@@ -79,6 +80,7 @@ def _judged(r: Column, t: Column, shard_tags: tuple[str, ...]) -> Column:
         .when(F.coalesce(F.get(w, F.lit(0)), F.lit("")) != "put", "unknown command")
         .when(F.size(w) < 5, "not enough arguments")
         .when(r["ts"].isNull() | (r["ts"] <= 0), "invalid timestamp")
+        .when(F.size(r["items"]) == 0, "empty values list")
         .when(F.exists(r["pairs"], lambda p: p["value"].isNull() | (p["value"] == "") | (p["key"] == "")), "invalid tag")
         .when(F.size(F.array_distinct(t["keys"])) < F.size(t["keys"]), "duplicate tag")
         .when(F.coalesce(bad_item, t["int_value"].isNull() & t["float_value"].isNull()), "invalid value")
@@ -130,3 +132,25 @@ def parse_json(bodies: DataFrame, column: str = "body") -> DataFrame:
         F.when(looks_like_integer(text), parse_long(text)).alias("int_value"),
         F.when(~looks_like_integer(text), float_text(text)).alias("float_value"),
     )
+
+
+def checked(points: DataFrame, shard_tags: tuple[str, ...] = model.SHARD_TAGS) -> DataFrame:
+    """Adds series_key and error (null for valid points) to scalar points that are not lines, such as
+    parse_json's: names, times, values and shard tags are held to the rules of lines."""
+    names = F.concat(F.array("metric"), F.map_keys("tags"), F.map_values("tags"))
+    error = (
+        F.when(F.col("ts").isNull() | (F.col("ts") <= 0), "invalid timestamp")
+        .when(F.coalesce(F.exists(names, lambda x: x.isNull() | (x == "")), F.lit(True)), "invalid tag")
+        .when(F.col("int_value").isNull() & F.col("float_value").isNull(), "invalid value")
+        .when(F.col("ts") >= 1 << 31, "timestamp out of range")
+        .when(F.exists(names, lambda x: ~valid_name(x)), "illegal character")
+        .when(F.coalesce(F.abs("float_value") == float("inf"), F.lit(False)), "value is not finite")
+        .when(F.size(F.filter(F.map_keys("tags"), lambda k: k.isin(*shard_tags))) != 1, "exactly one shard tag needed")
+    )
+    return points.withColumns({"series_key": model.series_key(F.col("tags")), "error": error})
+
+
+def to_lines(points: DataFrame) -> DataFrame:
+    """Scalar points as `put` lines, which parse_lines reads back: what a queue or a file carries."""
+    value = F.when(F.col("kind") == "INT", F.col("int_value").cast("string")).otherwise(F.col("float_value").cast("string"))
+    return points.select("series_key", F.concat_ws(" ", F.lit("put"), "metric", F.col("ts").cast("string"), value, F.regexp_replace("series_key", ",", " ")).alias("line"))

@@ -21,8 +21,17 @@ def rollup_points(points: DataFrame, keys: list[str], resolution: int, value_typ
 
 
 def hourly(points: DataFrame, keys: list[str], value_type: str = "float") -> DataFrame:
-    """Raw to five minutes and to an hour, in one shuffle: both buckets lie within an hour."""
-    return rollup_points(points, keys, MINUTE5, value_type).unionByName(rollup_points(points, keys, HOUR, value_type))
+    """Raw to five minutes and, from their sums and counts, to an hour: one read and one shuffle, by
+    the hour, in which both buckets lie."""
+    hour, minutes = timeutil.floor(F.col("ts"), HOUR).alias("_hour"), timeutil.floor(F.col("ts"), MINUTE5).alias("ts")
+    rows = points.select(*keys, hour, minutes, "value").repartition(*keys, "_hour")
+    five = rows.groupBy(*keys, "_hour", "ts").agg(F.max("value").alias("max"), F.min("value").alias("min"), F.sum("value").alias("sum"), F.count("value").alias("n"))
+    part = F.collect_list(F.struct(F.lit(MINUTE5).alias("resolution"), "ts", "max", "min", "sum", "n")).alias("parts")  # twelve at most
+    whole = five.groupBy(*keys, "_hour").agg(F.max("max").alias("max"), F.min("min").alias("min"), F.sum("sum").alias("sum"), F.sum("n").alias("n"), part)
+    every = F.concat("parts", F.array(F.struct(F.lit(HOUR).alias("resolution"), F.col("_hour").alias("ts"), "max", "min", "sum", "n")))
+    rows = whole.select(*keys, F.inline(every)).withColumn("avg", F.try_divide("sum", "n"))
+    long = rows.select(*keys, "resolution", "ts", F.expr("stack(4, " + ", ".join(f"'{a}', {a}" for a in AGGREGATES) + ") AS (agg, value)"))
+    return long.select(*keys, "resolution", "agg", "ts", F.col("value").cast(value_type).cast("double").alias("value"))
 
 
 def daily(hours: DataFrame, keys: list[str], value_type: str = "float") -> DataFrame:

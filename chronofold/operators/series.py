@@ -5,25 +5,35 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .. import model
 from ..functions import aggregators, timeutil
 
-#: Points of a group that one time slot should hold, and (segment, time) pairs evaluated at once.
+#: Points of a group that one time slot should hold, (segment, time) pairs evaluated at once, and
+#: the quantiles of a group's times at which it may be cut.
 SLOT_POINTS = 200_000
 PAIRS = 4_000_000
+QUANTILES = 1024
+_FIXED = (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
-def last_write(points: DataFrame, seq: str = "write_seq") -> DataFrame:
+def last_write(points: DataFrame, seq: str = "write_seq", by_series: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (metric, series_key, ts): the latest write; of one write, INT before FLOAT.
 
-    max_by is combined before the shuffle, so a series of any number of writes is fine.
+    Each column is a max_by of fixed width, combined in hash maps before the shuffle, so a series of
+    any number of writes is fine. Tags come from the series key. by_series names further columns
+    that are the same in all points of a series; other columns of text or nested types are carried
+    too, but then Spark sorts instead of hashing.
     """
-    keys = ["metric", "series_key", "ts"]
-    rest = [c for c in points.columns if c not in keys and c != "tags"]
-    order = F.struct(F.col(seq), (F.col("kind") == "INT").cast("int"))
-    whole = F.max_by(F.struct(*rest, F.map_entries("tags").alias("_tags")), order).alias("_p")
-    return points.groupBy(*keys).agg(whole).select(*[F.col(k) if k in keys else F.map_from_entries("_p._tags").alias("tags") if k == "tags" else F.col(f"_p.{k}").alias(k) for k in points.columns])
+    keys = ["metric", "series_key", "ts", *by_series]
+    order = F.col(seq).cast("decimal(38,0)") * 2 + (F.col("kind") == "INT").cast("int")
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    rest = [c for c in points.columns if c not in keys and c not in ("tags", "kind")]
+    out = points.groupBy(*keys).agg(F.max_by(F.col("kind") == "INT", order).alias("_int"), *[F.max_by(c, order).alias(c) for c in rest if isinstance(kinds[c], _FIXED)], *[F.max_by(F.struct(c), order)[c].alias(c) for c in rest if not isinstance(kinds[c], _FIXED)])
+    made = {"kind": F.when(F.col("_int"), "INT").otherwise("FLOAT").alias("kind"), "tags": model.tags_of(F.col("series_key")).alias("tags")}
+    return out.select(*[made.get(c, F.col(c)) for c in points.columns])
 
 
 def rate(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,54 +68,87 @@ def interpolate(points: DataFrame, group: list[str], series: list[str], aggregat
 
     Methods give equal results (sums up to rounding):
     slots - (group, time slot) tasks evaluate segments on the slot's times in numpy; only segments
-    are shuffled, and a group of any size is cut by time. For the built-in aggregators.
-    sweep - sum and avg as running sums of line coefficients; two windows, no pairs at all.
-    join - a range join of times and segments; for any registered aggregator.
+    are shuffled. For the built-in aggregators.
+    sweep - sum and avg as running sums of line coefficients; one window a slot, no pairs at all.
+    join - a range join of times and segments within slots; for any registered aggregator.
+    In all three a group of any size is cut by the quantiles of its own times.
     """
     if method == "auto":
         method = "slots" if aggregator in aggregators.BUILT_IN else "join"
-    segs = segments(points, [*group, *series])
-    if method == "join":
-        return _by_join(segs, group, aggregator)
-    if method == "sweep":
-        return _by_sweep(segs, group, aggregator)
-    if aggregator not in aggregators.BUILT_IN:
+    if method == "sweep" and aggregator not in ("sum", "avg"):
+        raise ValueError("the method sweep knows sum and avg only")
+    if method == "slots" and aggregator not in aggregators.BUILT_IN:
         raise ValueError(f"the method {method} knows {', '.join(sorted(aggregators.BUILT_IN))} only")
-    return _by_slots(segs, group, aggregator, slot)
+    rows = slotted(points, group, series, slot)
+    return {"join": _by_join, "sweep": _by_sweep, "slots": _by_slots}[method](rows, group, aggregator)
 
 
 _VALUE = "CASE WHEN ts = x2 THEN y2 WHEN ts = x1 THEN y1 ELSE y1 + ((y2 - y1) * (ts - x1)) / (x2 - x1) END"
 
 
-def _by_join(segs: DataFrame, group: list[str], aggregator: str) -> DataFrame:
-    times = output_times(segs, group)
-    right = segs.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "x1", "y1", "x2", "y2", "first")
-    on = (F.col("ts") <= F.col("x2")) & ((F.col("ts") > F.col("x1")) | (F.col("first") & (F.col("ts") == F.col("x1"))))
-    for i, g in enumerate(group):
-        on = times[g].eqNullSafe(F.col(f"_g{i}")) & on
-    hit = times.join(right, on).select(*group, "ts", F.expr(_VALUE).alias("value"))
-    return hit.groupBy(*group, "ts").agg(aggregators.get(aggregator)(F.col("value")).alias("value"))
+def _on(left: DataFrame, right: DataFrame, names: list[str]):
+    """Null-safe equality of left's columns with right's, which are called _g0, _g1 and so on."""
+    on = F.lit(True)
+    for i, g in enumerate(names):
+        on = on & left[g].eqNullSafe(right[f"_g{i}"])
+    return on
+
 
+def cuts(points: DataFrame, group: list[str]) -> DataFrame:
+    """_g0, _g1, ..., cuts, origin of each group: times that cut it into slots of about SLOT_POINTS
+    points, by quantiles of its own times, and its first time. One aggregation, combined before the shuffle."""
+    own = points.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "ts")
+    stats = own.groupBy(*[f"_g{i}" for i in range(len(group))]).agg(F.count("*").alias("n"), F.min("ts").alias("origin"), F.percentile_approx("ts", [i / QUANTILES for i in range(1, QUANTILES)]).alias("q"))
+    slots = F.least(F.ceil(F.col("n") / SLOT_POINTS), F.lit(QUANTILES)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), slots - 1), lambda i: F.get(F.col("q"), F.floor(i * QUANTILES / slots).cast("int") - 1))
+    none = F.array().cast("array<bigint>")
+    return stats.select(*[f"_g{i}" for i in range(len(group))], F.when(slots > 1, F.array_distinct(at)).otherwise(none).alias("cuts"), "origin")
 
-def slot_seconds(segs: DataFrame, group: list[str]) -> int:
-    """A slot's seconds by which the largest group has about SLOT_POINTS segments in each."""
-    n, span = segs.groupBy(*group).agg(F.count("*").alias("n"), (F.max("x2") - F.min("x1") + 1).alias("span")).agg(F.max("n"), F.max("span")).first()
-    return max(60, int((span or 1) * SLOT_POINTS / max(n or 1, 1)) + 1) if (n or 0) > SLOT_POINTS else max(1, span or 1) * 2
 
+def slotted(points: DataFrame, group: list[str], series: list[str], slot: int | None = None) -> DataFrame:
+    """Segments once for each time slot of their group that they touch: with _slot, its times
+    [_from, _to) and _origin. Slots are a group's own; `slot` gives all a fixed width in seconds."""
+    segs = segments(points, [*group, *series])
+    if slot:
+        rows = segs.withColumns({"_slot": F.explode(F.sequence(F.floor(F.col("x1") / slot), F.floor(F.col("x2") / slot))), "_origin": F.lit(0).cast("bigint")})
+        return rows.withColumns({"_from": F.col("_slot") * slot, "_to": (F.col("_slot") + 1) * slot})
+    known = cuts(points, group)
+    rows = segs.join(known, _on(segs, known, group))
+    place = lambda x: F.size(F.filter("cuts", lambda c: c <= F.col(x)))
+    reached = F.when(F.size("cuts") == 0, F.array(F.lit(0))).otherwise(F.sequence(place("x1"), place("x2")))
+    rows = rows.withColumn("_slot", F.explode(reached.cast("array<bigint>")))
+    low, high = F.lit(-(1 << 62)), F.lit(1 << 62)
+    return rows.select(*segs.columns, "_slot", F.coalesce(F.get("cuts", F.col("_slot").cast("int") - 1), low).alias("_from"), F.coalesce(F.get("cuts", F.col("_slot").cast("int")), high).alias("_to"), F.col("origin").alias("_origin"))
+
+
+def _times(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Distinct output times by group and slot; each time lies in one slot."""
+    ends = rows.select(*group, "_slot", "_from", "_to", "_origin", F.explode(F.array("x1", "x2")).alias("ts"))
+    return ends.filter("ts >= _from and ts < _to").select(*group, "_slot", "_origin", "ts").distinct()
+
+
+def _by_join(rows: DataFrame, group: list[str], aggregator: str) -> DataFrame:
+    """Times and segments meet within (group, slot)."""
+    times = _times(rows, group)
+    keys = [*group, "_slot"]
+    right = rows.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(keys)], "x1", "y1", "x2", "y2", "first")
+    within = (F.col("ts") <= F.col("x2")) & ((F.col("ts") > F.col("x1")) | (F.col("first") & (F.col("ts") == F.col("x1"))))
+    hit = times.join(right, _on(times, right, keys) & within).select(*group, "ts", F.expr(_VALUE).alias("value"))
+    return hit.groupBy(*group, "ts").agg(aggregators.get(aggregator)(F.col("value")).alias("value"))
 
-def _by_slots(segs: DataFrame, group: list[str], aggregator: str, slot: int | None) -> DataFrame:
-    n = slot or slot_seconds(segs, group)
-    rows = segs.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("x1") / n), F.floor(F.col("x2") / n))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segs.schema if f.name in group) + (", " if group else "") + "ts bigint, value double"
-    names = [f.name for f in segs.schema if f.name in group]
+
+def _by_slots(rows: DataFrame, group: list[str], aggregator: str) -> DataFrame:
+    own = [f for f in rows.schema if f.name in group]
+    schema = T.StructType([*own, T.StructField("ts", T.LongType()), T.StructField("value", T.DoubleType())])
+    names = [f.name for f in own]
 
     def run(key, table):
         import pyarrow as pa
 
         x1, x2, y1, y2, first = (table.column(c).to_numpy() for c in ("x1", "x2", "y1", "y2", "first"))
-        low = key[-1].as_py() * n
+        low, high = table.column("_from")[0].as_py(), table.column("_to")[0].as_py()
         ends = np.concatenate([x1, x2])
-        grid = np.unique(ends[(ends >= low) & (ends < low + n)])
+        grid = np.unique(ends[(ends >= low) & (ends < high)])
         begin = np.searchsorted(grid, x1, "right") - (first & np.isin(x1, grid))
         count = np.maximum(np.searchsorted(grid, x2, "right") - begin, 0)
         out = {"min": np.full(len(grid), np.inf), "max": np.full(len(grid), -np.inf)}.get(aggregator, np.zeros(len(grid)))
@@ -136,21 +179,26 @@ def _by_slots(segs: DataFrame, group: list[str], aggregator: str, slot: int | No
     return rows.groupBy(*names, "_slot").applyInArrow(run, schema)
 
 
-def _by_sweep(segs: DataFrame, group: list[str], aggregator: str) -> DataFrame:
-    """Running sums of a + b * x over events: a segment's line enters after its start and leaves at its end."""
-    if aggregator not in ("sum", "avg"):
-        raise ValueError("the method sweep knows sum and avg only")
-    origin = Window.partitionBy(*group)
-    s = segs.withColumn("_o", F.min("x1").over(origin)).withColumn("_b", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).withColumn("_a", F.col("y1") - F.col("_b") * (F.col("x1") - F.col("_o")))
+def _by_sweep(rows: DataFrame, group: list[str], aggregator: str) -> DataFrame:
+    """Running sums of a + b * x over events: a segment's line enters after its start and leaves at
+    its end. A slot's sums begin anew: segments that reach into a slot enter at its beginning, so
+    the windows hold one slot of one group, and no slot waits for another."""
+    keys = [*group, "_slot"]
+    s = rows.withColumn("_b", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    base = F.greatest("_from", "_origin")
+    s = s.withColumns({"_base": base, "_a": F.col("y1") - F.col("_b") * (F.col("x1") - base)})
     # an event at key 2x acts from time x on, one at 2x + 1 from after x
-    enter = s.select(*group, "_o", (2 * F.col("x1") + F.when(F.col("first"), 0).otherwise(1)).alias("_k"), F.col("_a"), F.col("_b"), F.lit(1).alias("_n"))
-    leave = s.select(*group, "_o", (2 * F.col("x2") + 1).alias("_k"), -F.col("_a"), -F.col("_b"), F.lit(-1).alias("_n"))
-    ask = output_times(segs, group).select(*group, F.lit(None).cast("bigint").alias("_o"), (2 * F.col("ts")).alias("_k"), F.lit(0.0), F.lit(0.0), F.lit(0))
-    by_key = enter.unionByName(leave.toDF(*enter.columns)).union(ask).groupBy(*group, "_k").agg(F.max("_o").alias("_o"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum("_n").alias("_n"))
-    w = origin.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    run = by_key.select(*group, "_k", F.max("_o").over(origin).alias("_o"), F.sum("_a").over(w).alias("_a"), F.sum("_b").over(w).alias("_b"), F.sum("_n").over(w).alias("_n"))
-    run = run.filter((F.col("_k") % 2 == 0) & (F.col("_n") > 0)).withColumn("ts", (F.col("_k") / 2).cast("bigint"))
-    value = F.col("_a") + F.col("_b") * (F.col("ts") - F.col("_o"))
+    enter = F.when(F.col("x1") < F.col("_from"), 2 * F.col("_from")).otherwise(2 * F.col("x1") + F.when(F.col("first"), 0).otherwise(1))
+    event = lambda k, sign: F.struct(k.alias("k"), (F.col("_a") * sign).alias("a"), (F.col("_b") * sign).alias("b"), F.lit(sign).alias("n"))
+    ask = lambda x: F.struct((2 * F.col(x)).alias("k"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("n"))
+    inside = lambda x: (F.col(x) >= F.col("_from")) & (F.col(x) < F.col("_to"))
+    none = F.array().cast("array<struct<k:bigint,a:double,b:double,n:int>>")
+    events = F.concat(F.array(event(enter, 1), event(2 * F.col("x2") + 1, -1)), F.when(inside("x1"), F.array(ask("x1"))).otherwise(none), F.when(inside("x2"), F.array(ask("x2"))).otherwise(none))
+    by_key = s.select(*keys, "_base", "_from", "_to", F.explode(events).alias("e")).groupBy(*keys, "_base", "_to", F.col("e.k").alias("_k")).agg(F.sum("e.a").alias("_a"), F.sum("e.b").alias("_b"), F.sum("e.n").alias("_n"), F.max(F.col("e.n") == 0).alias("_asked"))
+    w = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    run = by_key.select(*group, "_k", "_base", "_asked", F.sum("_a").over(w).alias("_a"), F.sum("_b").over(w).alias("_b"), F.sum("_n").over(w).alias("_n"))
+    run = run.filter((F.col("_k") % 2 == 0) & F.col("_asked") & (F.col("_n") > 0)).withColumn("ts", F.shiftright("_k", 1))
+    value = F.col("_a") + F.col("_b") * (F.col("ts") - F.col("_base"))
     return run.select(*group, "ts", (value / F.col("_n") if aggregator == "avg" else value).alias("value"))
 
 

@@ -1,4 +1,4 @@
-"""A small HTTP front: POST /api/query, GET /api/suggest, GET /points/<metric>, GET /health."""
+"""A small HTTP front: POST /api/query, POST /write, GET /api/suggest, GET /points/<metric>, GET /health."""
 
 from __future__ import annotations
 
@@ -10,15 +10,19 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import model
+from ..functions import parsing
 from ..operators import filters
 from . import metadata, query
 
 
 class Service:
-    """Answers requests over a DataFrame of points and, where given, of their rollups."""
+    """Answers requests over a DataFrame of points and, where given, of their rollups and the stored
+    names; sink and quarantine (functions of a DataFrame) take the points that clients write."""
 
-    def __init__(self, points: DataFrame, rolled: DataFrame | None = None, now=None):
-        self.points, self.rolled, self.now = points, rolled, now or (lambda: int(time.time()))
+    def __init__(self, points: DataFrame, rolled: DataFrame | None = None, now=None, names: DataFrame | None = None, sink=None, quarantine=None, shard_tags=("host",)):
+        self.points, self.rolled, self.now, self.names = points, rolled, now or (lambda: int(time.time())), names
+        self.sink, self.quarantine, self.shard_tags = sink, quarantine, shard_tags
 
     def answer(self, method: str, target: str, body: str = "") -> tuple[int, str, str]:
         """(status, content type, text). Bad requests are 400, unknown paths 404."""
@@ -27,6 +31,8 @@ class Service:
         try:
             if method == "POST" and url.path == "/api/query":
                 return 200, "application/json", self.query(body)
+            if method == "POST" and url.path == "/write" and self.sink:
+                return 200, "application/json", self.write(body)
             if method == "GET" and url.path == "/api/suggest":
                 return 200, "application/json", self.suggest(args)
             if method == "GET" and url.path.startswith("/points/"):
@@ -45,10 +51,24 @@ class Service:
             out += [json.loads(r.json) for r in query.to_json_rows(result, q.metric).orderBy("group").toLocalIterator()]
         return json.dumps(out)
 
+    def write(self, body: str) -> str:
+        """JSON points: valid ones go to the sink, others with their error to the quarantine."""
+        json.loads(body)
+        rows = self.points.sparkSession.createDataFrame([(body,)], "body string")
+        found = parsing.checked(parsing.parse_json(rows), self.shard_tags).drop("body").persist()
+        valid, bad = parsing.split_valid(found)
+        n = {"written": valid.count(), "rejected": bad.count()}
+        if n["written"]:
+            self.sink(valid.withColumn("value", model.widened(F.col("int_value"), F.col("float_value"))))
+        if n["rejected"] and self.quarantine:
+            self.quarantine(bad)
+        found.unpersist()
+        return json.dumps(n)
+
     def suggest(self, args: dict[str, str]) -> str:
         if args["type"] not in metadata.KINDS:
             raise ValueError(f"the type is one of {', '.join(metadata.KINDS)}")
-        names = metadata.suggest(metadata.names(self.points), args.get("q", ""), args["type"], int(args.get("max", metadata.LIMIT)))
+        names = metadata.suggest(metadata.names(self.points) if self.names is None else self.names, args.get("q", ""), args["type"], int(args.get("max", metadata.LIMIT)))
         return json.dumps([r.name for r in names.collect()])
 
     def simple(self, metric: str, args: dict[str, str]) -> str:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,10 +30,9 @@ def names(points: DataFrame) -> DataFrame:
 def suggest(known: DataFrame, prefix: str, kind: str, limit: int = LIMIT) -> DataFrame:
     """name, in order: the first `limit` names of each of the latest generations that begin so."""
     own = known.filter((F.col("kind") == KINDS.get(kind, kind)) & F.col("name").startswith(prefix))
-    recent = F.dense_rank().over(Window.orderBy(F.desc("generation")))
-    latest = known.select("generation").distinct().withColumn("_g", recent).filter(F.col("_g") <= GENERATIONS).drop("_g")
+    latest = [r.generation for r in known.select("generation").distinct().orderBy(F.desc("generation")).limit(GENERATIONS).collect()]
     w = Window.partitionBy("generation").orderBy("name")
-    ranked = own.join(F.broadcast(latest), "generation").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    ranked = own.filter(F.col("generation").isin(latest)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
     return ranked.select("name").distinct().orderBy("name")
 
 
@@ -41,6 +41,24 @@ def unregistered(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known, ["generation", "kind", "name"], "left_anti")
 
 
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """The stored dimension of names: (generation, kind, name); empty before the first name."""
+    schema = "name string, generation int, kind string"
+    try:
+        return spark.read.schema(schema).parquet(path).select("generation", "kind", "name")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).select("generation", "kind", "name")
+
+
+def register(points: DataFrame, path: str) -> None:
+    """Append the names of points that the stored dimension lacks: only what is new is written, so
+    a suggestion reads names, not points."""
+    new = unregistered(names(points).select(F.col("generation").cast("int").alias("generation"), "kind", "name"), read_names(points.sparkSession, path))
+    new.repartition("generation", "kind").write.mode("append").partitionBy("generation", "kind").parquet(path)
+
+
 def distinct_values(points: DataFrame, tag: str) -> DataFrame:
     return points.filter(F.col("tags")[tag].isNotNull()).agg(F.countDistinct(F.col("tags")[tag]).alias("n"))
 

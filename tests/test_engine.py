@@ -122,7 +122,7 @@ def test_lines(spark):
     ok, lists, ints, neg, empty = parsed(spark, "put m 10 1.5 cluster=a host=h\r", "put m 10 [1,2,3.0] cluster=a", "put  m 10 [1,2] cluster=a", "put m 10 -7 b=c cluster=a", "put m 1 [] cluster=a")
     assert (ok.error, ok.metric, ok.ts, ok.float_value, ok.series_key) == (None, "m", 10, 1.5, "cluster=a,host=h")
     assert lists.float_list == [1.0, 2.0, 3.0] and lists.kind == "FLOAT_LIST" and ints.int_list == [1, 2]
-    assert neg.int_value == -7 and neg.tags == {"b": "c", "cluster": "a"} and empty.int_list == [] and empty.error is None
+    assert neg.int_value == -7 and neg.tags == {"b": "c", "cluster": "a"} and empty.error == "empty values list"
     bad = parsed(spark, "", None, "put m x 1 cluster=a", "put m 10 1 cluster=a cluster=b", "put m 10 1 cluster", "put m 10 1 h=x", "put m! 10 1 cluster=a", "put m 10 99999999999999999999 cluster=a", "put m 10 1e400 cluster=a", "put m 4294967000 1 cluster=a", "put m 10 [1,x] cluster=a", "put m 10 1 cluster=a h=" + "x" * 2048)
     assert [r.error for r in bad] == ["unknown command", "unknown command", "invalid timestamp", "duplicate tag", "invalid tag", "exactly one shard tag needed", "illegal character", "invalid value", "value is not finite", "timestamp out of range", "invalid value", "line too long"]
 
@@ -159,6 +159,113 @@ def test_generations(spark):
     assert generations.covering(0, 1, periods) == []
 
 
+def test_a_further_period_cuts_no_generation():
+    first, second = generations.calendar([("01/01/15", 26), ("26/02/15", 1)])
+    assert second.start == 1482969600 and second.first == 2 and (second.start - first.start) % first.length == 0
+    assert [generations.time_range(g, [first, second])[1] for g in (0, 1, 2)] == [first.start + first.length, second.start, second.start + timeutil.SPAN]
+
+
+def test_skewed_groups_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(series, "SLOT_POINTS", 100)
+    rows = [("dense", f"s{i % 3}", i, float(i % 7)) for i in range(2000)] + [("sparse", "s", t, 1.0) for t in (0, 4 * 10**8)]
+    slots = {(r.g, r._slot): r.n for r in series.slotted(frame(spark, rows), ["g"], ["s"]).groupBy("g", "_slot").agg(F.count("*").alias("n")).collect()}
+    assert max(slots.values()) < 250 and sum(g == "dense" for g, _ in slots) >= 15 and sum(g == "sparse" for g, _ in slots) == 1
+    want = slow(rows, "sum")
+    for method in ("slots", "sweep", "join"):
+        got = {(r.g, r.ts): r.value for r in series.interpolate(frame(spark, rows), ["g"], ["s"], "sum", method).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+
+
+def test_last_write_and_hourly_plans(spark):
+    p = points(spark, [("m", {"cluster": "a"}, i, i, i) for i in range(10)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan(series.last_write(p)) and "HashAggregate" in plan(series.last_write(p))
+    text = plan(rollup.hourly(p, ["metric", "series_key"]))
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Scan") == 1
+
+
+def test_write_seq_of_many_partitions(spark):
+    rows = spark.range(0, 1000, 1, 200)
+    got = [r.s for b in (0, 1) for r in rows.select(ingest.write_seq(b).alias("s")).collect()]
+    assert len(set(got)) == 2000 and min(got[1000:]) > max(got[:1000])
+
+
+def test_replay_brings_the_drop_back_once(spark, tmp_path):
+    drop, out = str(tmp_path / "drop"), str(tmp_path / "out")
+    spark.range(5).write.parquet(f"{drop}/batch=0")
+    state = f"file://{tmp_path}/replay"
+    ingest.replay(spark, drop, ingest.parquet_sink(out), state)
+    ingest.replay(spark, drop, ingest.parquet_sink(out), state)
+    spark.range(5, 8).write.parquet(f"{drop}/batch=1")
+    query = ingest.replay(spark, drop, ingest.parquet_sink(out), state)
+    assert spark.read.parquet(out).count() == 8
+    assert ingest.meters(query)["rows"] == 3 and ingest.meters(query)["p95_ms"] >= ingest.meters(query)["median_ms"] > 0
+    (tmp_path / "replay" / "replaying").write_text("")
+    with pytest.raises(RuntimeError):
+        ingest.replay(spark, drop, ingest.parquet_sink(out), state)
+
+
+def test_supervised_waits_longer_each_time():
+    class Query:
+        def __init__(self, ok):
+            self.ok = ok
+
+        def awaitTermination(self):
+            if not self.ok:
+                raise RuntimeError("lost")
+
+    runs, waits = iter([Query(False), Query(False), Query(True)]), []
+    assert ingest.supervised(lambda: next(runs), first_wait=0.5, sleep=waits.append) == 2 and waits == [0.5, 1.0]
+    with pytest.raises(RuntimeError):
+        ingest.supervised(lambda: Query(False), retries=1, sleep=waits.append)
+
+
+def test_counted_points(spark):
+    rows, seen = ingest.counted(parsing.parse_lines(spark.createDataFrame([("put m 1 1 cluster=a",), ("put m 1 1.5 cluster=a",), ("put m 1 [1] cluster=a",), ("x",)], "line string")))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"all": 4, "rejected": 1, "int": 1, "float": 1, "int_list": 1, "float_list": 0}
+
+
+def test_compressed_socket_lands_in_files_that_are_streamed(spark, tmp_path):
+    import socket
+
+    a, b = socket.socketpair()
+    a.sendall(zlib.compress(b"".join(b"put m %d 1 cluster=a\n" % i for i in range(1, 26))))
+    a.close()
+    assert lines.land(lines.inflated(lines.received(b, 7)), str(tmp_path / "in"), 10) == 3
+    ingest.ingest(lines.stream_files(spark, str(tmp_path / "in"), 2), ingest.parquet_sink(str(tmp_path / "out")), ingest.black_hole, ingest.black_hole, str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 25
+
+
+def test_kafka_rows_hold_lines(spark):
+    p = points(spark, [("m", {"cluster": "a", "h": "x"}, 5, 7, 1), ("m", {"cluster": "a", "h": "x"}, 6, 1.5, 2)])
+    rows = lines.kafka_rows(p).select(F.col("key").cast("string"), F.col("value").cast("string").alias("line")).orderBy("line").collect()
+    assert [(r.key, r.line) for r in rows] == [("cluster=a,h=x", "put m 5 7 cluster=a h=x"), ("cluster=a,h=x", "put m 6 1.5 cluster=a h=x")]
+
+
+def test_compacting_changed_partitions_alone(spark, tmp_path):
+    periods = generations.calendar([("01/01/24", 1)])
+    at, path = periods[0].start, str(tmp_path / "a")
+    one = lambda c, v: store.write(store.placed(points(spark, [("m", {"cluster": c}, at, v, v)]), periods, at), path)
+    one("a", 1), one("a", 2), one("b", 5)
+    before = {f for f in spark.read.parquet(path).inputFiles() if "shard=b" in f}
+    assert store.compact_changed(spark, path, str(tmp_path / "staging")) == 1
+    rows = spark.read.parquet(path)
+    assert sorted((r.shard, r.value) for r in rows.collect()) == [("a", 2.0), ("b", 5.0)]
+    assert before == {f for f in rows.inputFiles() if "shard=b" in f}
+
+
+def test_http_write_splits_points(spark):
+    from chronofold.plans import http
+
+    kept, bad = [], []
+    service = http.Service(spark.range(1), sink=lambda df: kept.extend(df.collect()), quarantine=lambda df: bad.extend(df.collect()))
+    body = json.dumps([{"h/m": {"value": 3, "timestamp": 5, "type": "numeric"}}, {"h!/m": {"value": 1.5, "timestamp": 5, "type": "numeric"}}])
+    assert service.answer("POST", "/write", body)[::2] == (200, '{"written": 1, "rejected": 1}')
+    assert [(r.metric, r.value) for r in kept] == [("l.m", 3.0)] and [r.error for r in bad] == ["illegal character"]
+    assert service.answer("POST", "/write", "{")[0] == 400
+
+
 def test_rollups(spark):
     rows = [("g", "s", i * 60, float(i * 60 // 3600)) for i in range(3600)]
     hours = rollup.hourly(frame(spark, rows), ["g", "s"])
