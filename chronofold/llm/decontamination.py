@@ -317,10 +317,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_w
     are ignored.
     """
     n, queries = blocks(items, size, block_words)
-    if n == 1:
-        queries = list(queries)
-    index = common.written(build_index(docs, queries[0].vocab if n == 1 else None), "postings")
-    return search(index, queries, n)
+    return search(common.written(build_index(docs), "postings"), queries, n)
 
 
 def near(index: DataFrame, terms: list[str], slop: int) -> DataFrame:

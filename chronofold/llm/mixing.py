@@ -1,8 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
-Slots of equal numbers of words are dealt to sources: slot k's golden-ratio point
-frac((k + 0.5) * phi) falls into one source's interval of the cumulative weights, and a slot's
-rank among its source's slots tells which block of that source it takes. A source's documents,
+Slots of equal numbers of words are dealt to sources by van der Corput points: slot k of 2**bits
+has the point whose binary digits are those of k, reversed, a whole number below 2**bits. Each
+point is taken exactly once, so a source whose interval of the cumulative weights is n points wide
+gets exactly n slots, at any size, and any run of slots holds its share of each source to within
+the sequence's discrepancy. A slot's rank among its source's slots tells which block of that source
+it takes. A source's documents,
 shuffled by a hash, form a stream that repeats for each epoch; block r is its words
 [r * block, (r + 1) * block). Joining slots with blocks gives what the mix takes from a document.
 Prefix sums go by hash buckets, so a source of any size is spread over many tasks.
@@ -20,10 +23,8 @@ from . import common
 BLOCK_WORDS = 4096
 #: No document is taken more often.
 MAX_EPOCHS = 3
-#: Cells of the unit interval, by which points meet intervals.
-CELLS = 4096
-#: Fixed value: the golden ratio's fractional part.
-PHI = 0.6180339887498949
+#: Cells of the points, by which they meet intervals: a power of two, as a power of two.
+CELL_BITS = 12
 
 
 def n_words(text: Column) -> Column:
@@ -54,24 +55,37 @@ def targets(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return s.withColumn("n_slots", F.ceil(F.col("quota") / F.lit(block_words)).cast("bigint"))
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """(slot, source_ix, rank): n_slots of every source, spread evenly over the slots.
+def reversed_bits(k: Column, bits: int) -> Column:
+    """The lowest `bits` binary digits of k in reverse (at most 62)."""
+    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("bigint")
 
-    2 * sum(n_slots) points are drawn: gaps between n golden-ratio points are under 1.9 / n, so
-    an interval as wide as n_slots / sum gets n_slots of them at least; ranks past it are left out.
-    """
-    spark = sources.sparkSession
-    total = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
-    points = spark.range(2 * total).withColumn("_u", ((F.col("id") + 0.5) * F.lit(PHI)) % 1.0)
-    points = points.select(F.col("id").alias("slot"), "_u", F.floor(F.col("_u") * CELLS).alias("_cell"))
+
+def bits_for(total: int) -> int:
+    """Points are 2**bits, the least power of two that holds all slots."""
+    return max(1, (max(total, 1) - 1).bit_length())
+
+
+def dealt(points: DataFrame, sources: DataFrame, bits: int) -> DataFrame:
+    """(slot, source_ix) of points(id): the source in whose interval, n_slots wide, the slot's point
+    lies; points past the last interval belong to none. The intervals' running sum needs all
+    sources in one place: a row for each source, which is the bound of this step."""
+    cells = min(CELL_BITS, bits)
+    down = bits - cells
+    at = points.withColumn("_u", reversed_bits(F.col("id"), bits)).select(F.col("id").alias("slot"), "_u", F.shiftrightunsigned("_u", down).alias("_cell"))
     w = Window.partitionBy(F.lit(0)).orderBy("source_ix")
-    ends = sources.filter("n_slots > 0").withColumn("_hi", F.sum("n_slots").over(w))
-    ends = ends.select("source_ix", "n_slots", ((F.col("_hi") - F.col("n_slots")) / F.lit(float(max(total, 1)))).alias("_lo"), (F.col("_hi") / F.lit(float(max(total, 1)))).alias("_hi"))
-    cells = ends.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
-    dealt = points.join(cells, "_cell").filter("_u >= _lo and _u < _hi")
-    dealt = dealt.select("slot", "source_ix", "n_slots", F.floor(F.col("slot") * F.lit(common.buckets_for(2 * total)) / F.lit(max(1, 2 * total))).alias("_bucket"), F.lit(1).cast("bigint").alias("_one"))
-    ranked = common.prefix_sums(dealt, ["source_ix"], "_bucket", ["slot"], "_one")
-    return ranked.filter("before < n_slots").select("slot", "source_ix", F.col("before").alias("rank"))
+    ends = sources.filter("n_slots > 0").withColumn("_hi", F.sum("n_slots").over(w)).select("source_ix", (F.col("_hi") - F.col("n_slots")).alias("_lo"), "_hi")
+    wide = ends.withColumn("_cell", F.explode(F.sequence(F.shiftrightunsigned("_lo", down), F.shiftrightunsigned(F.col("_hi") - 1, down))))
+    return at.join(wide, "_cell").filter("_u >= _lo and _u < _hi").select("slot", "source_ix")
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """(slot, source_ix, rank): exactly n_slots of every source, spread evenly over the slots."""
+    total = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    bits = bits_for(total)
+    slots = dealt(sources.sparkSession.range(1 << bits if total else 0), sources, bits)
+    n = common.buckets_for(1 << bits)
+    own = slots.withColumns({"_bucket": F.shiftrightunsigned("slot", max(0, bits - (n.bit_length() - 1))), "_one": F.lit(1).cast("bigint")})
+    return common.prefix_sums(own, ["source_ix"], "_bucket", ["slot"], "_one").select("slot", "source_ix", F.col("before").alias("rank"))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

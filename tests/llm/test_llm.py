@@ -125,6 +125,8 @@ def test_decontamination_against_brute_force(spark, block_words):
 
 def test_decontamination_without_items_and_digest(spark):
     none = decontamination.decontaminate(docs(spark, ODD), spark.createDataFrame([], "item_id bigint, text string"))
+    some = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    assert decontamination.decontaminate(docs(spark, []), some).count() == 0
     rows = decontamination.digest(none).collect()
     assert len(rows) == len(ODD) and all(r.n_hit == 0 and not r.contaminated and r.items_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
 
@@ -235,6 +237,23 @@ def test_schedule_is_spread_evenly(spark):
     assert 17 <= first <= 23
 
 
+def test_schedule_of_more_than_a_thousand_million_slots(spark):
+    """Only cells of the points that hold small sources' intervals are made, not the whole schedule."""
+    n_slots = [1, 1_500_000_000, 1, 2, 700_000_000, 1]
+    bits = mixing.bits_for(sum(n_slots))
+    assert bits == 32
+    sources = spark.createDataFrame(list(enumerate(n_slots)), "source_ix int, n_slots bigint")
+    turned = lambda u: int(f"{u:0{bits}b}"[::-1], 2)
+    ends = np.cumsum(n_slots).tolist()
+    wanted = {turned(u): k for k in (0, 2, 3, 5) for u in range(ends[k] - n_slots[k], ends[k])}
+    wanted |= {turned(u): None for u in (ends[-1], (1 << bits) - 1)} | {turned(ends[1] - 1): 1, turned(ends[4] - 1): 4}
+    points = spark.createDataFrame([(k,) for k in wanted], "id bigint")
+    got = {r.slot: r.source_ix for r in mixing.dealt(points, sources, bits).collect()}
+    assert got == {k: v for k, v in wanted.items() if v is not None}
+    back = spark.range(1000).select("id", mixing.reversed_bits(mixing.reversed_bits(F.col("id"), 62), 62).alias("x")).filter("id <> x").count()
+    assert back == 0
+
+
 # ---- 4: personal data ---------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -517,6 +536,26 @@ def test_sharding(spark, real):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_placement_by_an_independent_tree(spark):
+    """The law recomputed: two regions of two racks of four shards, least draw at each level."""
+    def draw(key, path, weight):
+        return -math.log((int(hashlib.md5(f"{key}|{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
+
+    def descend(key, grown):
+        tops = [("r0", 8.0), ("r1", 8.0)] + ([("r2", 1.0)] if grown else [])
+        r = min(tops, key=lambda t: draw(key, f"/{t[0]}", t[1]))[0]
+        if r == "r2":
+            return 16
+        k = min(("k0", "k1"), key=lambda k: draw(key, f"/{r}/{k}", 4.0))
+        first = 8 * int(r[1]) + 4 * int(k[1])
+        return min(range(first, first + 4), key=lambda s: draw(key, f"/{r}/{k}/s{s}", 1.0))
+
+    rows = sharding.shard(docs(spark, [(i, "x") for i in range(500)] + [(None, "y")])).collect()
+    for r in rows:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (descend(key, False), descend(key, True))
+
+
 def test_weights_move_only_what_they_must(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     a = sharding.balanced(8, weights=[1.0] * 8)
@@ -535,6 +574,19 @@ def test_weights_move_only_what_they_must(spark):
 # ---- 10: metric join ----------------------------------------------------------------------
 
 
+def test_metric_pivots_prune_clusters_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 50)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 16))
+    rows = [(k, (base[k % 20] + rng.normal(0, 0.02, 16)).tolist(), 0) for k in range(1000)]
+    points = common.written(metric_join.nodes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")), "t")
+    told = metric_join.replication(metric_join.celled(points, float(np.sqrt(2 - 2 * 0.93)))).first()
+    assert told.vectors == 1000 and told.cells > 5 and told.compared < 0.25
+    huge = spark.createDataFrame([(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [1e200, -1e200], 0)], "vec_id bigint, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.component_id) for r in metric_join.near_duplicates(huge).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert metric_join.near_duplicates(huge.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("cell,chunk", [(4000, 4096), (20, 16)])
 def test_metric_join_against_brute_force(spark, monkeypatch, cell, chunk):
     monkeypatch.setattr(metric_join, "CELL", cell)
