@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text in a segment (a longer document is a segment alone).
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 20
 #: Words of a window.
 WINDOW = 13
 #: Query words in one broadcast block, at most (8 bytes each, 13 times for windows).

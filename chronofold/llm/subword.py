@@ -103,19 +103,25 @@ class Features:
             words.append(np.arange(len(begin), dtype=np.int32))
         yield np.concatenate(words), (common.mix64(np.concatenate(hashes)) >> shift).astype(np.int32), text_of
 
-    def bag(self, texts: list[str | None], rows_seen: int = 1):
-        """CSR (first, bucket, weight) of the texts' features that rows_seen texts have at least;
-        weights are shares of all of a text's features. Texts are read twice to hold little."""
-        seen = np.zeros(1 << self.bits, np.int32)
+    def seen(self, texts: list[str | None]) -> np.ndarray:
+        """How many of the texts have each feature."""
+        out = np.zeros(1 << self.bits, np.int32)
         for text in texts:
-            for _, col, _ in self.buckets([text]):
-                seen[np.unique(col)] += 1
+            out[np.unique(np.concatenate([col for _, col, _ in self.buckets([text])]))] += 1
+        return out
+
+    def bag(self, texts: list[str | None], rows_seen: int = 1, of: np.ndarray | None = None):
+        """CSR (first, bucket, weight) of the texts' features that rows_seen texts have at least;
+        weights are shares of the sum over all of a text's features, each counting as `of` says (1
+        by default). Texts are read twice to hold little."""
+        seen = self.seen(texts)
         first, cols, weights = [0], [], []
         for text in texts:
             col, count = np.unique(np.concatenate([bucket for _, bucket, _ in self.buckets([text])]), return_counts=True)
             kept = seen[col] >= rows_seen
             cols.append(col[kept].astype(np.int32))
-            weights.append((count[kept] / max(1, count.sum())).astype(np.float32))
+            count = count if of is None else count * of[col]
+            weights.append((count[kept] / max(1e-9, count.sum())).astype(np.float32))
             first.append(first[-1] + int(kept.sum()))
         return np.array(first), np.concatenate(cols), np.concatenate(weights), seen
 
@@ -131,30 +137,20 @@ class Model:
     slope: float = 1.0
     shift: np.ndarray | float = 0.0
     reject_below: float = 0.0
+    #: What a bucket counts in a text's mean; 1 without it.
+    weight: np.ndarray | None = None
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.table.shape[1]))
         count = np.zeros(len(texts))
         for word, bucket, text_of in self.features.buckets(texts):
             row = text_of[word]
-            count += np.bincount(row, minlength=len(texts))
+            w = None if self.weight is None else self.weight[bucket]
+            count += np.bincount(row, weights=w, minlength=len(texts))
             for c in range(out.shape[1]):
-                out[:, c] += np.bincount(row, weights=self.table[bucket, c], minlength=len(texts))
-        return out / np.maximum(count, 1)[:, None] + self.bias
-
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        """For two classes: the text's mean margin, and the greatest mean margin of one of its words."""
-        difference = self.table[:, 1] - self.table[:, 0]
-        out, count = np.zeros((len(texts), 2)), np.zeros(len(texts))
-        for word, bucket, text_of in self.features.buckets(texts):
-            v = difference[bucket]
-            by_word = np.bincount(word, weights=v, minlength=len(text_of))
-            n = np.bincount(word, minlength=len(text_of))
-            out[:, 0] += np.bincount(text_of, weights=by_word, minlength=len(texts))
-            count += np.bincount(text_of, weights=n, minlength=len(texts))
-            np.maximum.at(out[:, 1], text_of, by_word / np.maximum(n, 1))
-        out[:, 0] /= np.maximum(count, 1)
-        return out
+                own = self.table[bucket, c]
+                out[:, c] += np.bincount(row, weights=own if w is None else own * w, minlength=len(texts))
+        return out / np.where(count > 0, count, 1)[:, None] + self.bias
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         return softmax(self.logits(texts) * self.slope + self.shift)
@@ -171,9 +167,20 @@ def split(n: int, held_back: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.split(order, [int(n * held_back)]))
 
 
-def train(texts: list[str | None], labels: list, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32, held_back: float = 0.15, rows_seen: int = 3, seed: int = 7) -> Model:
+def salience(features: Features, texts: list[str | None], y: np.ndarray) -> np.ndarray:
+    """Of two classes, how surely a feature's log odds differ from none (in standard errors, cubed):
+    few features tell the classes apart, and in a plain mean all others drown them."""
+    seen = [features.seen([t for t, c in zip(texts, y) if c == k]) + 0.5 for k in (0, 1)]
+    odds = np.log(seen[1] / ((y == 1).sum() + 1)) - np.log(seen[0] / ((y == 0).sum() + 1))
+    return (np.abs(odds) / np.sqrt(1 / seen[0] + 1 / seen[1])) ** 3 + 1e-3
+
+
+def train(texts: list[str | None], labels: list, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32, held_back: float = 0.15, rows_seen: int = 3, seed: int = 7, weighed: bool = False, odds: float | None = None) -> Model:
     """Fit embeddings and the linear layer together by stochastic gradient descent (Adagrad steps).
 
+    With weighed (two classes), means are weighted by the fitted rows' salience. odds are those of
+    the second class where the model is used, if the rows were drawn otherwise.
+
     A part of the rows is held back for calibration: a temperature (and with two classes a shift)
     that minimises its log loss. Without rows, or with one class, the model is a constant.
     """
@@ -182,8 +189,9 @@ def train(texts: list[str | None], labels: list, features: Features, dim: int =
     if len(classes) < 2:
         return Model(features, classes or [None], np.zeros((1 << features.bits, max(1, len(classes))), np.float32), np.zeros(max(1, len(classes))))
     y = np.searchsorted(classes, labels)
-    first, bucket, weight, seen_in = features.bag(texts, rows_seen)
     back, fit = split(len(texts), held_back, seed)
+    of = salience(features, [texts[i] for i in fit], y[fit]) if weighed else None
+    first, bucket, weight, seen_in = features.bag(texts, rows_seen, of)
     n_class = len(classes)
     size = 1 << features.bits
     e = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
@@ -221,37 +229,26 @@ def train(texts: list[str | None], labels: list, features: Features, dim: int =
             w -= (step * gw / np.sqrt(w_sum)).astype(np.float32)
             b -= (step * gb / np.sqrt(b_sum)).astype(np.float32)
     e[seen_in < rows_seen] = 0
-    model = Model(features, classes, (e @ w).astype(np.float32), b.astype(np.float64))
+    model = Model(features, classes, (e @ w).astype(np.float32), b.astype(np.float64), weight=None if of is None else of.astype(np.float32))
     if len(back) and len(set(y[back])) > 1:
         row, col, val = gathered(back)
         z = mean(back, row, col, val) @ w + b
-        calibrate(model, z, y[back])
+        share = np.ones(len(classes)) if odds is None else np.array([1.0, odds * (y == 0).sum() / max(1, (y == 1).sum())])
+        calibrate(model, z, y[back], share[y[back]])
     return model
 
 
-def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
-    """The temperature, and with two classes the shift, of least log loss on a fixed grid."""
+def calibrate(model: Model, z: np.ndarray, y: np.ndarray, share: np.ndarray) -> None:
+    """The temperature, and with two classes the shift, of least log loss on a fixed grid; rows count by share."""
     shifts = [np.array([0.0, s]) for s in np.linspace(-3, 3, 25)] if z.shape[1] == 2 else [np.zeros(z.shape[1])]
     best = (np.inf, 1.0, shifts[0])
     for slope in np.geomspace(0.1, 4, 33):
         for shift in shifts:
             p = softmax(z * slope + shift)[np.arange(len(y)), y]
-            best = min(best, (float(-np.log(np.maximum(p, 1e-12)).mean()), float(slope), shift), key=lambda t: t[0])
+            best = min(best, (float(-(np.log(np.maximum(p, 1e-12)) * share).sum() / share.sum()), float(slope), shift), key=lambda t: t[0])
     _, model.slope, model.shift = best
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights and intercept of least penalised log loss, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.append(np.ones(x.shape[1] - 1), 1e-3)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
-        w -= step / max(1.0, float(np.abs(step).max()))
-    return w
-
-
 def drawn(rows, key, most: int, by=None, count=None):
     """About `most` rows of each class, drawn by a hash of the key: a fraction of most / class size.
 
