@@ -38,7 +38,7 @@ BAND_GROWTH = 1.25
 #: Blocks left out, as a part of those needed.
 SPARE = 3
 #: Nodes in a tile's chunk, and ids that may be broadcast (8 bytes each).
-CHUNK_NODES = 4096
+CHUNK_NODES = 1024
 MOST_SENT = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -149,7 +149,8 @@ def exploded(rows: DataFrame) -> DataFrame:
 
 def matched(keys: DataFrame) -> DataFrame:
     """(a, b, large): pairs of nodes that share a key of up to SMALL nodes; for a larger key, each
-    of its nodes with the least one, and large set."""
+    of its nodes with the least one, and large set. A task holds its keys (16 bytes for each), so
+    there are four times as many as shuffles have otherwise."""
 
     def run(batches):
         import pyarrow as pa
@@ -180,7 +181,8 @@ def matched(keys: DataFrame) -> DataFrame:
                     own = ab[i : i + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array(np.full(len(own), large))], ["a", "b", "large"])
 
-    return keys.repartition("key").mapInArrow(run, "a bigint, b bigint, large boolean")
+    parts = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").mapInArrow(run, "a bigint, b bigint, large boolean")
 
 
 def near_enough(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, near: int) -> np.ndarray:

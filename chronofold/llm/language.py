@@ -12,11 +12,12 @@ from . import common, subword
 FEATURES = subword.Features(sizes=(2, 3, 4), bits=17)
 #: Rows of each language that the model is fitted on, at most about (drawn by a hash).
 SAMPLE_ROWS = 500
-#: Of held-back rows that the model doesn't reject, at least this share is right.
-KEPT_ACCURACY = 0.99
 UNKNOWN = "und"
-#: The rejection level at most: a text of two languages, near a half of each, is not rejected.
-MOST_LEVEL = 0.35
+#: Of cuts of held-back rows, in words (and whole), at most this share may be rejected.
+CUTS = (1, 2, 3, 5, 10, 20)
+REJECTED = 0.005
+HELD_BACK = 0.15
+SEED = 7
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> subword.Model:
@@ -25,24 +26,34 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> subword.Model:
     # by id and text, as ids may be null or repeated (a hash leaves nulls out)
     sample = subword.drawn(rows, F.xxhash64("doc_id", "text"), sample_rows, "lang").select("doc_id", "lang", "text")
     sample = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.text) for r in sample.toLocalIterator() if subword.has_letter(r.text))
-    model = subword.train([r[3] for r in sample], [r[0] for r in sample], FEATURES, epochs=5)
-    model.reject_below = rejection(model, [r[3] for r in sample], [r[0] for r in sample])
+    texts, langs = [r[3] for r in sample], [r[0] for r in sample]
+    model = subword.train(texts, langs, FEATURES, epochs=5, held_back=HELD_BACK, seed=SEED)
+    back, _ = subword.split(len(texts), HELD_BACK, SEED)
+    model.reject_below = rejection(model, [texts[i] for i in back])
     return model
 
 
-def rejection(model: subword.Model, texts: list[str], langs: list[str]) -> float:
-    """The lowest level of the top probability above which KEPT_ACCURACY holds on short cuts of the
-    sample: whole texts are too easy to tell where the model begins to err."""
-    if len(model.classes) < 2:
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters dealt anew: letters and word lengths of a language, but no language."""
+    at = [i for i, c in enumerate(text) if c.isalpha()]
+    out = list(text)
+    for i, j in zip(at, rng.permutation(len(at))):
+        out[i] = text[at[j]]
+    return "".join(out)
+
+
+def rejection(model: subword.Model, held_back: list[str]) -> float:
+    """The level of evidence under which a text is rejected: half-way between what cuts of held-back
+    rows have, but for REJECTED of them, and what the median cut has when its letters are shuffled;
+    never above the former. The evidence counts the two likeliest languages, so a text of two
+    languages is not rejected, and the share of learned features, so two languages suffice."""
+    if len(model.classes) < 2 or not held_back:
         return 0.0
-    cuts = [" ".join(t.split()[:3]) for t in texts]
-    p = model.probabilities(cuts)
-    top, right = p.max(axis=1), np.array([model.classes[k] == y for k, y in zip(p.argmax(axis=1), langs)])
-    order = np.argsort(-top, kind="stable")
-    kept = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(kept >= KEPT_ACCURACY)
-    chance = 1 / len(model.classes)
-    return float(min(max(chance, top[order][good[-1]] if len(good) else MOST_LEVEL), MOST_LEVEL))
+    cuts = [c for t in held_back for k in (*CUTS, None) if subword.has_letter(c := " ".join(t.split()[:k]))]
+    rng = np.random.default_rng(SEED)
+    own, other = (model.evidence(x)[1] for x in (cuts, [shuffled(c, rng) for c in cuts if len(c.split()) >= 3] or cuts))
+    least = float(np.quantile(own, REJECTED))
+    return min(least, (least + float(np.median(other))) / 2)
 
 
 ADDED = ("lang_pred", "score", "rejected")
@@ -52,8 +63,9 @@ def predict(docs: DataFrame, model: subword.Model, names: tuple[str, str, str] =
     """docs with lang_pred, score and rejected (or other names for these) added.
 
     A null text, or one without a letter, is 'und' with score 0 and rejected. Otherwise lang_pred
-    is the likeliest learned language, score its calibrated probability, and rejected tells a
-    score under the model's level. Clashing columns of docs named so are replaced.
+    is the likeliest learned language, score its calibrated probability, and rejected tells that the
+    text is less like the learned ones than the model's level. Clashing columns of docs named so are
+    replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
@@ -69,11 +81,12 @@ def predict(docs: DataFrame, model: subword.Model, names: tuple[str, str, str] =
             for i, j in common.runs_of(offsets, 1 << 22):
                 part = batch.slice(i, j - i)
                 texts = part.column(at).to_pylist()
-                p = np.round(model.probabilities(texts), 9)
+                p, evidence = model.evidence(texts)
+                p = np.round(p, 9)
                 lettered = np.array([subword.has_letter(t) for t in texts]) & (model.classes[0] is not None)
                 best = [model.classes[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), lettered)]
                 score = np.where(lettered, p.max(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(score), pa.array(~lettered | (score < model.reject_below))], [*own, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(score), pa.array(~lettered | (evidence < model.reject_below))], [*own, *names])
 
     added = StructType().add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))

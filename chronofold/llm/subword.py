@@ -141,16 +141,29 @@ class Model:
     weight: np.ndarray | None = None
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
+        return self._read(texts)[0]
+
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and how far a text is like what was learned: the share of its features that
+        the fitted rows have, times the probability of its two likeliest classes."""
+        z, learned = self._read(texts, (self.table != 0).any(axis=1))
+        p = softmax(z * self.slope + self.shift)
+        return p, learned * np.sort(p, axis=1)[:, -2:].sum(axis=1)
+
+    def _read(self, texts: list[str | None], learned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and the share of features that are learned."""
         out = np.zeros((len(texts), self.table.shape[1]))
-        count = np.zeros(len(texts))
+        count, n = np.zeros(len(texts)), np.zeros((2, len(texts)))
         for word, bucket, text_of in self.features.buckets(texts):
             row = text_of[word]
             w = None if self.weight is None else self.weight[bucket]
+            if learned is not None:
+                n += [np.bincount(row, minlength=len(texts)), np.bincount(row, weights=learned[bucket], minlength=len(texts))]
             count += np.bincount(row, weights=w, minlength=len(texts))
             for c in range(out.shape[1]):
                 own = self.table[bucket, c]
                 out[:, c] += np.bincount(row, weights=own if w is None else own * w, minlength=len(texts))
-        return out / np.where(count > 0, count, 1)[:, None] + self.bias
+        return out / np.where(count > 0, count, 1)[:, None] + self.bias, n[1] / np.maximum(n[0], 1)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         return softmax(self.logits(texts) * self.slope + self.shift)

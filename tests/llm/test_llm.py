@@ -159,6 +159,34 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.rejected for r in rows) <= 0.02 * len(rows)
 
 
+@pytest.mark.parametrize("langs", [("en", "de"), ("de", "en", "es", "fr")])
+def test_language_rejects_what_was_not_learned(spark, langs):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isin(*langs))
+    model = language.fit(table)
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(k)) for k in (3, 10, 50, 200) for _ in range(5)]
+    junk += ["Zażółć gęślą jaźń, a potem idź do domu i odpocznij trochę", "Быстрая коричневая лиса прыгает через ленивую собаку", "Kissa nukkuu sohvalla ja lapset leikkivät ulkona"]
+    texts = {r.lang: r.text for r in table.filter("length(text) > 500").collect()}
+    mixed = " ".join(x for l in langs[:2] for x in texts[l].split()[:60])
+    rows = {r.doc_id: r for r in language.predict(docs(spark, [*enumerate(junk), (1000, mixed), *((1001 + i, t) for i, t in enumerate(texts.values()))]), model).collect()}
+    assert sum(rows[i].rejected for i in range(len(junk))) >= len(junk) - 1
+    assert not any(r.rejected for i, r in rows.items() if i >= 1000)
+
+
+def test_language_reliability(spark):
+    """Held out at sf0.1, on cuts of three words: of each band of scores, about so many are right."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null and lang is not null")
+    model = language.fit(table)
+    held = table.filter(common.fold_of(F.col("doc_id"), 4) == 2).select("doc_id", "lang", F.expr("array_join(slice(split(text, ' '), 1, 3), ' ')").alias("text"))
+    rows = [r for r in language.predict(held, model).collect() if r.lang_pred != "und"]
+    for low, high in ((0.25, 0.6), (0.6, 0.8), (0.8, 0.95), (0.95, 1.01)):
+        own = [r for r in rows if low <= r.score < high]
+        right, said = (sum(r.lang == r.lang_pred for r in own) / max(1, len(own)), sum(r.score for r in own) / max(1, len(own)))
+        print(low, high, len(own), round(right, 3), round(said, 3))
+        assert len(own) < 30 or abs(right - said) <= 0.2
+    assert sum(r.rejected for r in rows) <= 0.02 * len(rows)
+
+
 def test_language_edges(spark):
     model = subword.train(["the cat and the dog", "the house of the man"] * 20 + ["le chat et le chien", "la maison de la femme"] * 20, ["en"] * 40 + ["fr"] * 40, language.FEATURES, epochs=8)
     got = {(r.doc_id, r.text): r for r in language.predict(docs(spark, ODD + [(9, "123 !"), (10, "the man and the cat"), (11, "la femme et le chat")]), model).collect()}
