@@ -230,9 +230,11 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
 def _tiled(rows: DataFrame, chunk: str, near: int, exact: bool) -> DataFrame:
     """A forest of the links inside each cloud of rows(cloud, sid, n, sketch or own), tile by tile:
     links by the Hamming test, or with exact by whole sets. chunk: SQL for the number of chunks."""
-    chunks = rows.groupBy("cloud").agg(F.expr(chunk).cast("int").alias("c"))
+    # most clouds are one chunk: only the others are looked up, so that rows stay where they are
+    chunks = common.written(rows.groupBy("cloud").agg(F.expr(chunk).cast("int").alias("c")).filter("c > 1"), "chunks")
+    chunks = F.broadcast(chunks) if chunks.count() <= MOST_SENT else chunks
     payload = "own" if exact else "sketch"
-    dealt = rows.join(chunks, "cloud").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
+    dealt = rows.join(chunks, "cloud", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select("cloud", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "n", payload)
 
     def tile(frame):
