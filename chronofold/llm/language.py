@@ -46,10 +46,13 @@ def rejection(model: subword.Model, held_back: list[str]) -> float:
     """The level of evidence under which a text is rejected: half-way between what cuts of held-back
     rows have, but for REJECTED of them, and what the median cut has when its letters are shuffled;
     never above the former. The evidence counts the two likeliest languages, so a text of two
-    languages is not rejected, and the share of learned features, so two languages suffice."""
+    languages is not rejected, and the share of learned features, so two languages suffice. Of too
+    few cuts to tell that share, no level is set and only texts without a letter are rejected."""
     if len(model.classes) < 2 or not held_back:
         return 0.0
     cuts = [c for t in held_back for k in (*CUTS, None) if subword.has_letter(c := " ".join(t.split()[:k]))]
+    if len(cuts) * REJECTED < 1:
+        return 0.0
     rng = np.random.default_rng(SEED)
     own, other = (model.evidence(x)[1] for x in (cuts, [shuffled(c, rng) for c in cuts if len(c.split()) >= 3] or cuts))
     least = float(np.quantile(own, REJECTED))
