@@ -72,23 +72,45 @@ def located(text: Column, pattern: str) -> Column:
     return F.struct(found.alias("m"), pieces.alias("p"))
 
 
-def placed(found: Column) -> Column:
-    """Spans of what located() returned."""
+def items(found: Column) -> Column:
+    """Matches of what located() returned: array of (n, l, m, b, a), n the characters since the last one."""
     n = F.size(found["m"])
-    lengths = F.transform(found["m"], lambda m: F.char_length(m).cast("bigint"))
-    starts = F.aggregate(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("s")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.get(found["p"], i)["n"] + F.get(lengths, i)).alias("at"),
-            F.concat(acc["s"], F.array(acc["at"] + F.get(found["p"], i)["n"])).alias("s"),
-        ),
-        lambda acc: acc["s"],
-    )
-    return F.transform(starts, lambda s, i: F.struct(
-        s.alias("s"), (s + F.char_length(F.get(found["m"], i))).alias("e"), F.get(found["m"], i).alias("m"),
-        F.get(found["p"], i)["b"].alias("b"), F.get(found["p"], i + 1)["a"].alias("a"),
-    ))
+    left = F.zip_with(found["m"], F.slice(found["p"], 1, n), lambda m, p: F.struct(m.alias("m"), p["n"].alias("n"), p["b"].alias("b")))
+    return F.zip_with(left, F.slice(found["p"], 2, n), lambda x, q: F.struct(x["n"].alias("n"), F.char_length(x["m"]).cast("bigint").alias("l"), x["m"].alias("m"), x["b"].alias("b"), q["a"].alias("a")))
+
+
+def blocks(xs: Column) -> Column:
+    """The array column xs cut into arrays of the root of its length: what goes over the blocks and
+    then into them takes n ** 1.5 steps at most, not n ** 2. xs has to be a column of its own, as a
+    lambda would compute an expression anew for each block."""
+    n = F.size(xs)
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1, step)).otherwise(F.array().cast("array<int>")), lambda at: F.slice(xs, at + 1, step))
+
+
+def scanned(xs: Column, out: str, step) -> Column:
+    """Runs through the array column xs with a whole number, 0 at first: step(number, x) gives the
+    next number and an array of results, which are appended to those (of type `out`) before."""
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{out}>").alias("out"))
+
+    def one(acc, x):
+        at, found = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], found).alias("out"))
+
+    def block(acc, part):
+        own = F.array(F.aggregate(part, begin(acc["at"]), one))
+        return F.get(F.transform(own, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out"))), F.lit(0))
+
+    return F.aggregate(blocks(xs), begin(F.lit(0).cast("bigint")), block, lambda acc: acc["out"])
+
+
+def placed(xs: Column) -> Column:
+    """Spans (s, e, m, b, a) of a column of items()."""
+    def step(at, x):
+        s = at + x["n"]
+        return s + x["l"], F.array(F.struct(s.alias("s"), (s + x["l"]).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a")))
+
+    return scanned(xs, "struct<s:bigint,e:bigint,m:string,b:string,a:string>", step)
 
 
 def digits_of(m: Column) -> Column:
@@ -182,16 +204,22 @@ def candidates(docs: DataFrame) -> DataFrame:
         columns[f"t_{kind}"] = usable
     rows = rows.withColumns(columns).drop("text")
     rows = rows.withColumns({f"b_{k}": located(F.col(f"t_{k}"), BASE[k]) for k in KINDS} | {f"l_{k}{i}": located(F.col(f"t_{k}"), p) for k in KINDS for i, p in enumerate(LOOSE[k])}).drop(*columns)
-    rows = rows.withColumns({f"p_{k}": placed(F.col(f"b_{k}")) for k in KINDS} | {f"q_{k}{i}": placed(F.col(f"l_{k}{i}")) for k in KINDS for i in range(len(LOOSE[k]))})
+    each = [f"b_{k}" for k in KINDS] + [f"l_{k}{i}" for k in KINDS for i in range(len(LOOSE[k]))]
+    rows = rows.withColumns({c: items(F.col(c)) for c in each})
+    rows = rows.withColumns({c: placed(F.col(c)) for c in each})
 
     def checked(k):
-        return F.transform(F.filter(F.col(f"p_{k}"), lambda c: valid(k, c["m"])), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+        return F.transform(F.filter(F.col(f"b_{k}"), lambda c: valid(k, c["m"])), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
 
     rows = rows.withColumns({f"base_{k}": checked(k) for k in KINDS})
+    # base spans are in order and apart, so a block of them reaches from its first to its last
+    reach = lambda g: F.struct(F.element_at(g, 1)["s"].alias("s"), F.element_at(g, -1)["e"].alias("e"), g.alias("own"))
+    rows = rows.withColumns({f"g_{k}": F.transform(blocks(F.col(f"base_{k}")), reach) for k in KINDS})
 
     def judged(k):
-        every = F.concat(*[F.col(f"q_{k}{i}") for i in range(len(LOOSE[k]))])
-        on = lambda kind, c: F.exists(F.col(f"base_{kind}"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        every = F.concat(*[F.col(f"l_{k}{i}") for i in range(len(LOOSE[k]))])
+        meets = lambda b, c: (b["s"] < c["e"]) & (c["s"] < b["e"])
+        on = lambda kind, c: F.exists(F.col(f"g_{kind}"), lambda g: meets(g, c) & F.exists(g["own"], lambda b: meets(b, c)))
 
         def one(c):
             wrong = known_wrong(k, c)
@@ -200,9 +228,15 @@ def candidates(docs: DataFrame) -> DataFrame:
             right = on(k, c)
             return F.struct(c["s"].alias("s"), c["e"].alias("e"), _vector(k, c).alias("f"), right.alias("y"), (~right & wrong).alias("w"))
 
-        return F.array_distinct(F.transform(every, one))
+        return F.array_sort(F.transform(every, one))
+
+    def distinct(k):  # of a sorted array; array_distinct compares all pairs of structs
+        c = F.col(f"loose_{k}")
+        return F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1)))
 
-    return rows.select("doc_id", "fold", "decoy", *[f"base_{k}" for k in KINDS], *[judged(k).alias(f"loose_{k}") for k in KINDS])
+    own = ["doc_id", "fold", "decoy", *[f"base_{k}" for k in KINDS]]
+    rows = rows.select(*own, *[judged(k).alias(f"loose_{k}") for k in KINDS])
+    return rows.select(*own, *[distinct(k).alias(f"loose_{k}") for k in KINDS])
 
 
 def counted(found: DataFrame) -> tuple[list, int]:
@@ -324,13 +358,22 @@ def fit(found: DataFrame) -> dict[str, Booster]:
     return models
 
 
-def selected(kind: str, model: Booster) -> Column:
-    """Unlabelled candidates above the threshold; of overlapping ones the leftmost, then the longest."""
+def chosen(kind: str, model: Booster) -> Column:
+    """Unlabelled candidates above the threshold, by start, the longest first."""
     if math.isinf(model.threshold):
         return F.array().cast("array<struct<s:bigint,e:bigint>>")
-    chosen = F.filter(F.col(f"loose_{kind}"), lambda c: ~c["y"] & ~c["w"] & (model.column(c["f"]) >= model.threshold))
-    plain = F.transform(F.array_sort(F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e")))), lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e")))
-    return F.aggregate(plain, F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda acc, c: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > c["s"]), acc).otherwise(F.concat(acc, F.array(c))))
+    own = F.filter(F.col(f"loose_{kind}"), lambda c: ~c["y"] & ~c["w"] & (model.column(c["f"]) >= model.threshold))
+    ordered = F.array_sort(F.transform(own, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e"))))
+    return F.transform(ordered, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e")))
+
+
+def thinned(spans: Column) -> Column:
+    """Of a column of spans in order, those that begin where the ones taken before have ended."""
+    def step(end, c):
+        past = end <= c["s"]
+        return F.when(past, c["e"]).otherwise(end), F.when(past, F.array(c)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+
+    return scanned(spans, "struct<s:bigint,e:bigint>", step)
 
 
 def joined(spans: Column) -> Column:
@@ -352,7 +395,8 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     found = common.written(candidates(docs), "candidates")
     models = fit(found)
-    found = found.filter("not decoy").withColumns({f"extra_{k}": selected(k, models[k]) for k in KINDS})
+    found = found.filter("not decoy").withColumns({f"extra_{k}": chosen(k, models[k]) for k in KINDS})
+    found = found.withColumns({f"extra_{k}": thinned(F.col(f"extra_{k}")) for k in KINDS})
     found = found.withColumns({f"both_{k}": F.concat(f"base_{k}", f"extra_{k}") for k in KINDS})
     return found.select("doc_id", *[f"base_{k}" for k in KINDS], _kinds("base").alias("base"), _kinds("both").alias("all"))
 

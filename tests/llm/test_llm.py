@@ -385,6 +385,31 @@ def test_pii_known_wrong(spark):
     assert state(8, "email") == {"wrong"} and state(9, "email") == {"open"}
 
 
+def test_pii_many_matches_in_one_text(spark):
+    n = 12_000
+    text, at, ips, emails = [], 0, [], []
+    for i in range(n):
+        for own, into in ((f"10.{i % 256}.{i // 256}.7", ips), (f"a{i}@b.co", emails)):
+            into.append((at, at + len(own)))
+            text.append(own)
+            at += len(own) + 1
+    row = pii.detect(docs(spark, [(1, " ".join(text))])).first()
+    assert [(x.s, x.e) for x in row.base_ip] == ips and [(x.s, x.e) for x in row.base_email] == emails
+
+
+def test_pii_thins_spans_from_the_left(spark):
+    rng = random.Random(5)
+    spans = sorted({(s, s + rng.randint(1, 9)) for s in (rng.randint(0, 400) for _ in range(300))}, key=lambda x: (x[0], -x[1]))
+    want, end = [], 0
+    for s, e in spans:
+        if s >= end:
+            want.append((s, e))
+            end = e
+    table = spark.createDataFrame([(1, spans), (2, [])], "i int, x array<struct<s:bigint,e:bigint>>")
+    found = {r.i: [(x.s, x.e) for x in r.x] for r in table.withColumn("x", pii.thinned(F.col("x"))).collect()}
+    assert found == {1: want, 2: []}
+
+
 def test_pii_coarsens_features_past_the_bound(spark, monkeypatch):
     rng = random.Random(8)
     number = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
