@@ -33,7 +33,7 @@ SKETCH_BITS = 1024
 #: Nodes that share a key and are still joined pair by pair.
 SMALL = 16
 #: Bytes of whole sets in a chunk; a tile compares two chunks.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 24 << 20
 BAND_GROWTH = 1.25
 #: Blocks left out, as a part of those needed.
 SPARE = 3
