@@ -7,13 +7,16 @@ The sketch of a band is cut into D + 1 + x blocks: of two such sets, x + 1 block
 equal. A block is keyed by the XOR of its toggled bits' codes, and equal keys are joined. Each set
 leaves out x blocks, those with the fewest shingles, which unlike sets share most; the order is by
 content alone, so of the equal blocks the two sets leave out nested parts, x at most, and one
-remains. Joined pairs pass a Hamming test on a 1024-bit folded sketch and are verified on whole sets.
+remains. Joined pairs pass a Hamming test on folded sketches of about a bit for each shingle (fewer
+would let all pairs of large sets pass) and are verified on whole sets.
 
 Sets that are equal are one node. Keys shared by up to SMALL nodes give their pairs; the nodes of
 larger keys form clouds, whose sketches are compared in tiles of bounded size, each giving only a
-forest of its possible links. Nodes that possible links connect then meet with their whole sets,
-again in tiles, which give a forest of verified links. So rows grow with the nodes, never with a
-group's pairs.
+forest of its possible links. Of the nodes that possible links connect each is first verified
+against its least neighbour, by whole sets. That leaves parts; a group of several is compared once
+more by sketches, across parts alone, and only nodes that may still link another part meet with
+their whole sets in tiles. So rows grow with the nodes, never with a group's pairs, and a group
+whose possible links hold copies no set into tiles.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from . import common, components
 SHINGLE = 4
 #: J >= NEAR / 100.
 NEAR = 85
+#: A set's folded sketch has the power of two of bits from its size on, within these.
 SKETCH_BITS = 1024
+MOST_SKETCH_BITS = 1 << 15
 #: Nodes that share a key and are still joined pair by pair.
 SMALL = 16
 #: Bytes of whole sets in a chunk; a tile compares two chunks.
@@ -37,6 +42,8 @@ CHUNK_BYTES = 24 << 20
 BAND_GROWTH = 1.25
 #: Blocks left out, as a part of those needed.
 SPARE = 3
+#: Neighbours verified in one task against one node, whose set is sent once for so many.
+FAN = 64
 #: Nodes in a tile's chunk, and ids that may be broadcast (8 bytes each).
 CHUNK_NODES = 1024
 MOST_SENT = 500_000
@@ -72,8 +79,20 @@ def identity(own: np.ndarray) -> int:
 
 
 def folded(own: np.ndarray) -> bytes:
-    bit = (own & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(bit, minlength=SKETCH_BITS) & 1 == 1).tobytes()
+    bits = min(max(SKETCH_BITS, 1 << max(len(own) - 1, 0).bit_length()), MOST_SKETCH_BITS)
+    bit = (own & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=bits) & 1 == 1).tobytes()
+
+
+def narrowed(sketches: list[bytes], words: int) -> np.ndarray:
+    """Rows of `words` uint64: folded sketches of as many or more, folded down to that width."""
+    width = np.array([len(s) // 8 for s in sketches], np.int64)
+    out = np.empty((len(sketches), words), np.uint64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        raw = np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), w // words, words)
+        out[at] = np.bitwise_xor.reduce(raw, axis=1)
+    return out
 
 
 def block_keys(own: np.ndarray, ends: np.ndarray, near: int = NEAR) -> np.ndarray:
@@ -217,8 +236,13 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 5))
-                ok = near_enough(x, y, batch.column(2).to_numpy(), batch.column(4).to_numpy(), near)
+                x, y = (batch.column(i).to_pylist() for i in (3, 5))
+                nx, ny = (batch.column(i).to_numpy() for i in (2, 4))
+                width = np.array([min(len(s), len(t)) // 8 for s, t in zip(x, y)], np.int64)
+                ok = np.zeros(len(width), bool)
+                for w in np.unique(width).tolist():
+                    at = np.flatnonzero(width == w)
+                    ok[at] = near_enough(narrowed([x[i] for i in at], w), narrowed([y[i] for i in at], w), nx[at], ny[at], near)
                 import pyarrow as pa
 
                 yield batch.select([0, 1]).filter(pa.array(ok))
@@ -228,32 +252,42 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
 
 
 def _tiled(rows: DataFrame, chunk: str, near: int, exact: bool) -> DataFrame:
-    """A forest of the links inside each cloud of rows(cloud, sid, n, sketch or own), tile by tile:
-    links by the Hamming test, or with exact by whole sets. chunk: SQL for the number of chunks."""
+    """A forest of the links between parts of each cloud of rows(cloud, part, sid, n, sketch or own),
+    tile by tile: links by the Hamming test, or with exact by whole sets, where a part's nodes count
+    as linked already. chunk: SQL for the number of chunks."""
     # most clouds are one chunk: only the others are looked up, so that rows stay where they are
     chunks = common.written(rows.groupBy("cloud").agg(F.expr(chunk).cast("int").alias("c")).filter("c > 1"), "chunks")
     chunks = F.broadcast(chunks) if chunks.count() <= MOST_SENT else chunks
     payload = "own" if exact else "sketch"
     dealt = rows.join(chunks, "cloud", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select("cloud", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "n", payload)
+    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, c - 1)"))).select("cloud", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "part", "sid", "n", payload)
 
     def tile(frame):
         import pandas as pd
 
         frame = frame.sort_values(["n", "sid"], kind="stable")
-        sid, side, n = (frame[c].to_numpy() for c in ("sid", "i", "n"))
+        sid, side, n, part = (frame[c].to_numpy() for c in ("sid", "i", "n", "part"))
         sets = [np.frombuffer(o, np.uint64) for o in frame["own"]] if exact else []
-        sketch = np.frombuffer(b"".join(map(folded, sets)) if exact else b"".join(frame["sketch"]), np.uint64).reshape(len(sid), -1)
+        sketches = list(map(folded, sets)) if exact else list(frame["sketch"])
+        width = np.array([len(s) // 8 for s in sketches], np.int64)  # grows with n, as rows do
+        begin, at_width = 0, -1
         alike = side.min() == side.max()
         forest, out = Forest(len(sid)), []
+        if exact:
+            _, first, own = np.unique(part, return_index=True, return_inverse=True)
+            forest.up = first[own].tolist()
         upto = np.searchsorted(near * n, 100 * n, "right")
         for p in range(len(sid)):
             q = np.arange(p + 1, upto[p])
+            q = q[part[q] != part[p]]
             if not alike:
                 q = q[side[q] != side[p]]
             if not len(q):
                 continue
-            for k in q[near_enough(sketch[p], sketch[q], n[p], n[q], near)].tolist():
+            if width[p] != at_width:
+                begin, at_width = p, int(width[p])
+                sketch = narrowed(sketches[p : int(upto[width == at_width].max())], at_width)
+            for k in q[near_enough(sketch[p - begin], sketch[q - begin], n[p], n[q], near)].tolist():
                 x, y = forest.root(p), forest.root(k)
                 if x != y and (not exact or linked(sets[p], sets[k], near)):
                     forest.up[max(x, y)] = min(x, y)
@@ -263,6 +297,23 @@ def _tiled(rows: DataFrame, chunk: str, near: int, exact: bool) -> DataFrame:
     return dealt.groupBy("cloud", "x", "y").applyInPandas(tile, "a bigint, b bigint")
 
 
+def _verified(edges: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """Those of edges(a, b) that whole sets(sid, own) confirm. A row of edges brings b's set, and each FAN of a node a its own."""
+    many = edges.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("c"))
+    dealt = edges.join(many, "a").withColumn("i", F.pmod(F.xxhash64("b"), F.col("c")).cast("int"))
+    asked = dealt.select("a", "i", F.col("b").alias("sid")).unionByName(dealt.select("a", "i", F.col("a").alias("sid")).distinct())
+
+    def check(key, frame):
+        import pandas as pd
+
+        found = {s: np.frombuffer(o, np.uint64) for s, o in zip(frame["sid"], frame["own"])}
+        hub = found.pop(key[0], None)
+        kept = [s for s, o in found.items() if hub is not None and linked(hub, o, near)]
+        return pd.DataFrame({"a": pd.Series([key[0]] * len(kept), dtype="int64"), "b": pd.Series(kept, dtype="int64")})
+
+    return asked.join(sets, "sid").select("a", "i", "sid", "own").groupBy("a", "i").applyInPandas(check, "a bigint, b bigint")
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(sid, own) of the wanted(doc_id, sid): sets made again from the texts."""
 
@@ -299,7 +350,7 @@ def join(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     found = common.written(matched(exploded(keyed)).distinct(), "matches")
     common.settle(docs.sparkSession)
     clouds = components.components(found.filter("large").select("a", "b")).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
-    clouds = common.written(clouds.join(nodes.select("sid", "n", "sketch"), "sid"), "clouds")
+    clouds = common.written(clouds.join(nodes.select("sid", "n", "sketch"), "sid").withColumn("part", F.col("sid")), "clouds")
     pairs = _filtered(found.filter("not large").select("a", "b"), nodes, near)
     possible = common.written(pairs.unionByName(_tiled(clouds, f"ceil(count(*) / {CHUNK_NODES})", near, False)), "possible")
     common.discard(found)
@@ -307,9 +358,22 @@ def join(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     common.settle(docs.sparkSession)
     groups = components.components(possible).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
     groups = common.written(groups.join(nodes.select("sid", "n", "doc_id"), "sid"), "groups")
-    sets = _whole_sets(docs, groups.select("doc_id", "sid"), size)
-    members = common.written(groups.join(sets, "sid").select("cloud", "sid", "n", "own"), "sets")
-    links = common.written(_tiled(members, f"ceil(sum(octet_length(own)) / {CHUNK_BYTES})", near, True), "verified")
+    sets = common.written(_whole_sets(docs, groups.select("doc_id", "sid"), size), "sets")
+    nearest = possible.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a"))
+    links = common.written(_verified(nearest, sets, near), "verified")
+    common.discard(possible)
+    common.settle(docs.sparkSession)
+    parts = components.components(links).select(F.col("node").alias("sid"), F.col("root").alias("part"))
+    parted = common.written(groups.join(parts, "sid", "left").select("cloud", F.coalesce("part", "sid").alias("part"), "sid", "n"), "parts")
+    split = parted.groupBy("cloud").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("cloud")
+    across = parted.join(split, "cloud").join(nodes.select("sid", "sketch"), "sid")
+    open_ = common.written(_tiled(across, f"ceil(count(*) / {CHUNK_NODES})", near, False), "open")
+    common.settle(docs.sparkSession)
+    again = components.components(open_).select(F.col("node").alias("sid"), F.col("root").alias("cloud"))
+    members = common.written(parted.drop("cloud").join(again, "sid").join(sets, "sid").select("cloud", "part", "sid", "n", "own"), "members")
+    common.discard(sets)
+    common.settle(docs.sparkSession)
+    links = links.unionByName(common.written(_tiled(members, f"ceil(sum(octet_length(own)) / {CHUNK_BYTES})", near, True), "linked"))
     common.discard(members)
     common.settle(docs.sparkSession)
     roots = components.components(links)

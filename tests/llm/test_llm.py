@@ -520,6 +520,26 @@ def test_jaccard_against_brute_force(spark, monkeypatch, small, chunk):
     assert len(set(want)) < len(rows) - 60
 
 
+def test_unlike_large_sets_form_no_group():
+    """Of 3,000 shingles the 1,024-bit sketches of any two sets passed the Hamming test."""
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3000, 2900, 2500, 2000)]
+    like = np.unique(np.concatenate([sets[0][:2800], sets[1][:200]]))
+    test = lambda x, y: bool(jaccard.near_enough(*(jaccard.narrowed([jaccard.folded(s)], min(len(jaccard.folded(x)), len(jaccard.folded(y))) // 8) for s in (x, y)), len(x), len(y), 80)[0])
+    assert not any(test(x, y) for x in sets for y in sets if x is not y)
+    assert jaccard.linked(sets[0], like, 80) and test(sets[0], like)
+
+
+def test_jaccard_copies_of_a_large_group_meet_in_no_tile(spark, monkeypatch):
+    """Near copies of one text are one part after a comparison each; their sets go into no tile."""
+    rows = [(i, " ".join(f"w{k if k != i else k + 1000}" for k in range(300))) for i in range(200)]
+    dealt, tiled = [], jaccard._tiled
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard, "_tiled", lambda r, chunk, near, exact: (dealt.append((exact, r.count())), tiled(r, chunk, near, exact))[1])
+    got = jaccard.join(docs(spark, rows)).collect()
+    assert {r.component_id for r in got} == {0} and [c for exact, c in dealt if exact] == [0]
+
+
 def test_jaccard_edges(spark):
     got = jaccard.join(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 4} == {4}
