@@ -45,9 +45,10 @@ def _merged(rows: DataFrame) -> DataFrame:
     return series.last_write(rows, by_series=("generation", "resolution", "agg", "shard"))
 
 
-def compact(spark: SparkSession, path: str, to: str) -> None:
-    """The stored points with only each time's last write, to another path, in a few sorted files."""
-    write(_merged(spark.read.parquet(path)), to, "overwrite")
+def compact(spark: SparkSession, path: str, to: str, deduplicate: bool = True) -> None:
+    """The stored points with only each time's last write, or all of them, to another path, in a few sorted files."""
+    rows = spark.read.parquet(path)
+    write(_merged(rows) if deduplicate else rows, to, "overwrite")
 
 
 def compact_changed(spark: SparkSession, path: str, staging: str, most_files: int = 1) -> int:
@@ -74,9 +75,10 @@ def scan_lists(spark: SparkSession, path: str, metric: str, start: int, stop: in
     return scan(spark, path, metric, start, stop, tag_filters, periods).withColumn("values", model.widened_list(F.col("int_list"), F.col("float_list")))
 
 
-def roll_up(spark: SparkSession, path: str, periods: list[generations.Period], start: int, stop: int, granularity: str) -> list[int]:
+def roll_up(spark: SparkSession, path: str, periods: list[generations.Period], start: int, stop: int, granularity: str, deduplicate: bool = True) -> list[int]:
     """The rollup job: for each generation that [start, stop) meets, read its raw (by the hour) or
-    hourly (by the day) points alone, and append their rollups to the store; the generations done."""
+    hourly (by the day) points alone, and append their rollups to the store; the generations done.
+    Of one time's writes the last counts, or all do."""
     rollup.check_range(start, stop, granularity)
     done = []
     for g in generations.covering(start, stop, periods):
@@ -85,7 +87,7 @@ def roll_up(spark: SparkSession, path: str, periods: list[generations.Period], s
         keys = ["metric", "series_key", "generation", "shard"]
         if granularity == "hour":
             raw = rows.filter((F.col("resolution") == rollup.RAW) & (F.col("agg") == "none"))
-            out = rollup.hourly(series.last_write(raw, by_series=("generation", "shard", "agg")), keys)
+            out = rollup.hourly(series.last_write(raw, by_series=("generation", "shard", "agg")) if deduplicate else raw, keys)
         else:
             out = rollup.daily(rows.filter(F.col("resolution") == rollup.HOUR).select(*keys, "resolution", "agg", "ts", "value"), keys)
         full = out.withColumns({"tags": model.tags_of(F.col("series_key")), "kind": F.lit("FLOAT"), "int_value": F.lit(None).cast("bigint"), "float_value": F.col("value").cast("float"), "write_seq": F.lit(0).cast(model.SEQUENCE)})
