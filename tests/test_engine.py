@@ -102,6 +102,33 @@ def test_a_time_does_not_meet_all_segments_of_its_group():
         assert math.isclose(tree.total()[x], y.sum(), rel_tol=1e-12) and math.isclose(tree.least(1.0)[x], y.min(), abs_tol=1e-12) and math.isclose(-tree.least(-1.0)[x], y.max())
 
 
+def test_keys_of_events_are_written_out(spark):
+    """Sorting a map of tags for each event took most of the scan."""
+    rows = spark.createDataFrame([(0, "click", 5, 1.0), (1, "click", -3, 1.0), (2, "click", None, 1.0)], "event_id bigint, event_type string, user_id bigint, value double")
+    p = model.event_points(rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")))
+    assert "array_sort" not in p.select("series_key")._jdf.queryExecution().optimizedPlan().toString()
+    got = p.orderBy("write_seq").select("series_key", model.series_key(F.col("tags"))).collect()
+    assert [tuple(r) for r in got] == [("cluster=c1,user=5",) * 2, ("cluster=c-3,user=-3",) * 2, ("", "")]
+
+
+def test_segments_are_shuffled_once_to_their_slots(spark):
+    """By one number that they are sorted by alone; a shuffle to the cuts of their group came before."""
+    rows = frame(spark, [(g, f"s{i}", t, 1.0) for g in "ab" for i in range(3) for t in range(5)])
+    plan = series.interpolate(rows, ["g"], ["s"], "sum")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "Sort [_task#" in plan and plan.count("Exchange hashpartitioning(_task#") == 1
+
+
+def test_slots_that_share_a_number_are_parted(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(g, f"s{i}", t, rng.random()) for g in ("a", "b", None) for i in range(6) for t in rng.sample(range(100), 9)]
+    points = frame(spark, rows)
+    monkeypatch.setattr(series.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
+    got = {(r.g, r.ts): r.value for r in series.interpolate(points, ["g"], ["s"], "sum", slot=40).collect()}
+    want = slow(rows, "sum")
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 @pytest.mark.parametrize("agg,method", [("sum", "slots"), ("min", "slots"), ("avg", "join"), ("max", "slots")])
 def test_interpolation_over_nulls(spark, agg, method):
     rows = [("g", "a", 0, 1.0), ("g", "a", 10, None), ("g", "a", 20, 3.0), ("g", "b", 0, None), ("g", "b", 5, 2.0), ("g", "b", 15, 4.0), ("g", "c", 30, None), ("g", "c", 31, None)]
