@@ -119,6 +119,16 @@ def test_segments_are_shuffled_once_to_their_slots(spark):
     assert "Sort [_task#" in plan and plan.count("Exchange hashpartitioning(_task#") == 1
 
 
+@pytest.mark.parametrize("name", ["interp_min"])
+def test_queries_shuffle_points_and_segments_once(spark, name):
+    from chronofold import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # points to their series, segments to their slots, and no sorting of segments by text
+    assert plan.count("Exchange hashpartitioning(_task#") == 1 and plan.count("Window [") == 1
+    assert "SortMergeJoin" not in plan and "array_sort" not in plan and "Sort [_task#" in plan
+
+
 def test_slots_that_share_a_number_are_parted(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(g, f"s{i}", t, rng.random()) for g in ("a", "b", None) for i in range(6) for t in rng.sample(range(100), 9)]
