@@ -119,7 +119,7 @@ def test_segments_are_shuffled_once_to_their_slots(spark):
     assert "Sort [_task#" in plan and plan.count("Exchange hashpartitioning(_task#") == 1
 
 
-@pytest.mark.parametrize("name", ["interp_min"])
+@pytest.mark.parametrize("name", ["interp_min", "interp_downsample"])
 def test_queries_shuffle_points_and_segments_once(spark, name):
     from chronofold import catalog
 
