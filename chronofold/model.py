@@ -77,18 +77,20 @@ def shard_name(tag: Column, value: Column) -> Column:
     return F.concat(F.lit("{"), tag, F.lit(": "), value, F.lit("}_"), F.length(tag).cast("string"), F.lit("_"), F.length(value).cast("string"))
 
 
-def complete(rows: DataFrame) -> DataFrame:
-    """POINTS columns from metric, tags, ts, kind, int_value, float_value and write_seq."""
-    return rows.select("metric", "tags", series_key(F.col("tags")).alias("series_key"), F.col("ts").cast("bigint").alias("ts"), "kind", F.col("int_value").cast("bigint").alias("int_value"), F.col("float_value").cast("float").alias("float_value"), widened(F.col("int_value"), F.col("float_value")).alias("value"), F.col("write_seq").cast(SEQUENCE).alias("write_seq"))
+def complete(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """POINTS columns from metric, tags, ts, kind, int_value, float_value and write_seq; key names a column that has the series key."""
+    own = series_key(F.col("tags")) if key is None else F.col(key)
+    return rows.select("metric", "tags", own.alias("series_key"), F.col("ts").cast("bigint").alias("ts"), "kind", F.col("int_value").cast("bigint").alias("int_value"), F.col("float_value").cast("float").alias("float_value"), widened(F.col("int_value"), F.col("float_value")).alias("value"), F.col("write_seq").cast(SEQUENCE).alias("write_seq"))
 
 
 def event_points(events: DataFrame) -> DataFrame:
     """FLOAT points of an event table: metric event_type, tags user and cluster. The key is written
-    out in the order of its two names, as sorting a map row by row takes several times as long."""
-    tags = F.create_map(F.lit("cluster"), F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")), F.lit("user"), F.col("user_id").cast("string"))
-    points = complete(events.select(F.col("event_type").alias("metric"), tags.alias("tags"), epoch_seconds("ts").alias("ts"), F.lit("FLOAT").alias("kind"), F.lit(None).cast("bigint").alias("int_value"), F.col("value").cast("float").alias("float_value"), F.col("event_id").alias("write_seq")))
-    own = [F.concat(F.lit(f"{k}="), F.col("tags")[k]) for k in ("cluster", "user")]
-    return points.withColumn("series_key", F.concat_ws(",", *own))
+    out in the order of its two names, as sorting a map row by row takes several times as long, and
+    not from tags, so that a query without them makes no map."""
+    own = {"cluster": F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")), "user": F.col("user_id").cast("string")}
+    tags = F.create_map(*[c for k, v in own.items() for c in (F.lit(k), v)])
+    key = F.concat_ws(",", *[F.concat(F.lit(f"{k}="), v) for k, v in own.items()])
+    return complete(events.select(F.col("event_type").alias("metric"), tags.alias("tags"), key.alias("_key"), epoch_seconds("ts").alias("ts"), F.lit("FLOAT").alias("kind"), F.lit(None).cast("bigint").alias("int_value"), F.col("value").cast("float").alias("float_value"), F.col("event_id").alias("write_seq")), "_key")
 
 
 def quantity_points(lineitem: DataFrame) -> DataFrame:
